@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from codestrata.plans.corpora import CORPORA, duck
+
 _AREAS = [
     "quality", "inventory", "collection", "technology", "dependency", "security",
     "lint", "symbol", "token", "tree", "report", "change", "stream",
@@ -28,5 +30,19 @@ def queries() -> dict:
     return _merged("QUERIES")
 
 
+def _share_corpora(sql: str) -> str:
+    """Render each corpus once per oracle, as a materialized common table."""
+    shared = []
+    for name in CORPORA:
+        text = duck(name)
+        if text in sql:
+            sql = sql.replace(text, f"select * from corpus_{name}")
+            shared.append(f"corpus_{name} as materialized ({text})")
+    if not shared:
+        return sql
+    rest = ", " + sql[5:] if sql.startswith("with ") else " " + sql
+    return "with " + ", ".join(shared) + rest
+
+
 def oracle_sql() -> dict:
-    return _merged("ORACLES")
+    return {name: _share_corpora(sql) for name, sql in _merged("ORACLES").items()}
