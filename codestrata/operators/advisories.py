@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codestrata.functions import rules
 from codestrata.functions.text import contains_any, lookup, trim
+from codestrata.session import stage
 
 ADVISORY_SCHEMA = (
     "name string, version string, severity string, cve_id string, description string, recommendation string"
@@ -36,9 +35,7 @@ def load_advisories(spark: SparkSession, path: str | None = None) -> DataFrame:
 def clean_version(version: Column) -> Column:
     """Strip each known prefix at most once, in the fixed order."""
     for p in rules.VERSION_PREFIXES:
-        version = F.when(version.startswith(p), F.substring(version, F.lit(len(p) + 1), F.length(version))).otherwise(
-            version
-        )
+        version = F.regexp_replace(version, rf"\A\Q{p}\E", "")
     return trim(version)
 
 
@@ -47,54 +44,101 @@ def strip_operators(version: Column) -> Column:
     return trim(F.regexp_replace(version, r"\A[\^~><=! ]*v?", ""))
 
 
-def match_advisories(deps: DataFrame, advisories: DataFrame, strict: bool = False) -> DataFrame:
-    """Known advisory: same name, version equal to or starting with the listed one.
+_FINDING = (
+    "struct<stage:bigint,advisory_version:string,severity:string,cve_id:string,description:string,recommendation:string>"
+)
+
 
-    An equi-join on the package name; Spark broadcasts the advisories while
-    they are small and otherwise splits popular names with AQE. ``strict``
-    cleans pins such as ``==1.2`` completely.
+def _known(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Dependencies with the advisories of their package name in ``_known``.
+
+    One equi-join on the name. Spark broadcasts the advisories while their size
+    is below its threshold; beyond it AQE splits a popular name.
     """
-    clean = strip_operators if strict else clean_version
-    known = advisories.select(
-        F.col("name").alias("_name"), F.col("version").alias("advisory_version"),
-        "severity", "cve_id", "description", "recommendation",
+    listed = advisories.groupBy(F.col("name").alias("_name")).agg(
+        # advisories of one package only
+        F.array_sort(
+            F.collect_list(F.struct("version", "severity", "cve_id", "description", "recommendation"))
+        ).alias("_known")
     )
-    hit = (F.col("name") == F.col("_name")) & clean(F.col("version")).startswith(clean(F.col("advisory_version")))
-    return deps.select(*_KEEP).join(known, hit).drop("_name")
+    return deps.join(listed, F.col("name") == F.col("_name"), "left").drop("_name")
 
 
-def _finding(deps: DataFrame, severity: str, description: Column | str, recommendation: str) -> DataFrame:
-    text = F.lit(description) if isinstance(description, str) else description
-    return deps.select(
-        *_KEEP, F.lit(None).cast("string").alias("advisory_version"), F.lit(severity).alias("severity"),
-        F.lit("").alias("cve_id"), text.alias("description"), F.lit(recommendation).alias("recommendation"),
+def _matches(strict: bool = False) -> Column:
+    """Advisories whose version equals, or is a prefix of, the installed one."""
+    clean = strip_operators if strict else clean_version
+    installed = clean(F.col("version"))
+    hits = F.filter(F.col("_known"), lambda a: installed.startswith(clean(a["version"])))
+    facts = F.transform(
+        hits,
+        lambda a: F.struct(
+            F.lit(1).cast("long").alias("stage"), a["version"].alias("advisory_version"), a["severity"].alias("severity"),
+            a["cve_id"].alias("cve_id"), a["description"].alias("description"), a["recommendation"].alias("recommendation"),
+        ),
     )
+    return F.coalesce(facts, F.array().cast(f"array<{_FINDING}>"))
 
 
-def deprecated(deps: DataFrame) -> DataFrame:
-    reason = lookup(F.col("name"), rules.DEPRECATED)
-    return _finding(
-        deps.filter(F.col("name").isin(list(rules.DEPRECATED))), "medium",
-        F.concat(F.lit("Package is deprecated: "), reason), "Consider migrating to an alternative package",
+def _pattern(stage: int, test: Column, severity: str, description: Column, recommendation: str) -> Column:
+    return F.when(
+        test,
+        F.struct(
+            F.lit(stage).cast("long").alias("stage"), F.lit(None).cast("string").alias("advisory_version"),
+            F.lit(severity).alias("severity"), F.lit("").alias("cve_id"), description.alias("description"),
+            F.lit(recommendation).alias("recommendation"),
+        ),
     )
 
 
-def very_old(deps: DataFrame) -> DataFrame:
-    return _finding(
-        deps.filter(F.col("version").rlike(r"\A[~^>=<]*0\.")), "medium",
-        "Package version is very old and may contain known vulnerabilities",
+def _very_old() -> Column:
+    return _pattern(
+        2, F.col("version").rlike(r"\A[~^>=<]*0\."), "medium",
+        F.lit("Package version is very old and may contain known vulnerabilities"),
         "Update to the latest stable version",
     )
 
 
-def prerelease(deps: DataFrame) -> DataFrame:
+def _prerelease() -> Column:
     marked = contains_any(F.lower("version"), rules.PRERELEASE_MARKS)
-    return _finding(
-        deps.filter((F.col("type") == "production") & marked), "low",
-        "Using pre-release version in production dependencies", "Use stable release versions for production",
+    return _pattern(
+        3, (F.col("type") == "production") & marked, "low",
+        F.lit("Using pre-release version in production dependencies"), "Use stable release versions for production",
     )
 
 
+def _deprecated() -> Column:
+    reason = lookup(F.col("name"), rules.DEPRECATED)
+    return _pattern(
+        4, reason.isNotNull(), "medium", F.concat(F.lit("Package is deprecated: "), reason),
+        "Consider migrating to an alternative package",
+    )
+
+
+def _findings(rows: DataFrame, facts: Column) -> DataFrame:
+    return rows.select(*_KEEP, F.inline(facts))
+
+
+def _single(deps: DataFrame, fact: Column) -> DataFrame:
+    return _findings(deps, F.array_compact(F.array(fact))).drop("stage")
+
+
+def match_advisories(deps: DataFrame, advisories: DataFrame, strict: bool = False) -> DataFrame:
+    """Known advisories. ``strict`` cleans pins such as ``==1.2`` completely."""
+    return _findings(_known(deps, advisories), _matches(strict)).drop("stage")
+
+
+def deprecated(deps: DataFrame) -> DataFrame:
+    return _single(deps, _deprecated())
+
+
+def very_old(deps: DataFrame) -> DataFrame:
+    return _single(deps, _very_old())
+
+
+def prerelease(deps: DataFrame) -> DataFrame:
+    return _single(deps, _prerelease())
+
+
 def outdated(deps: DataFrame) -> DataFrame:
     return deps.filter(clean_version(F.col("version")).startswith("0.0.")).select(
         "repo", "ecosystem", "manifest", "name", F.col("version").alias("current_version"),
@@ -103,12 +147,10 @@ def outdated(deps: DataFrame) -> DataFrame:
 
 
 def check_dependencies(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """All findings with ``stage``, the order of checks for one dependency."""
-    parts = [match_advisories(deps, advisories), very_old(deps), prerelease(deps), deprecated(deps)]
-    return reduce(
-        DataFrame.unionByName,
-        [p.withColumn("stage", F.lit(i).cast("long")) for i, p in enumerate(parts, start=1)],
-    )
+    """All findings of all dependencies in one pass; ``stage`` is the order of
+    the checks for one dependency."""
+    patterns = F.array_compact(F.array(_very_old(), _prerelease(), _deprecated()))
+    return _findings(_known(deps, advisories), F.concat(_matches(), patterns))
 
 
 def _encounter() -> list[Column]:
@@ -135,7 +177,11 @@ def vuln_counts(findings: DataFrame, old: DataFrame) -> DataFrame:
 
 def vuln_summary(findings: DataFrame, old: DataFrame, n: int = 5) -> DataFrame:
     """Report rows: counts, the ``n`` most severe findings, the first ``n`` outdated
-    packages and how many more there are."""
+    packages and how many more there are.
+
+    Both inputs are staged: counts and rankings read the same narrow rows.
+    """
+    findings, old = stage(findings), stage(old)
     worst = Window.partitionBy("repo").orderBy(
         lookup(F.col("severity"), rules.SEVERITY_RANK), *_encounter(), "stage", "advisory_version", "cve_id"
     )

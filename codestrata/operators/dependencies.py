@@ -1,120 +1,125 @@
 """Dependencies declared in root manifests of six ecosystems.
 
-Manifests are picked by exact root path before their content is read; all
-parsing stays inside the manifest's row. Result columns:
+Manifests are picked by exact root path before their content is read. Each
+parser is an array expression inside the manifest's row, so all ecosystems
+together are one pass without a shuffle. Result columns:
 repo, ecosystem, manifest, name, version, type, direct, line_no.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.functions import rules
 from codestrata.functions.text import any_of, rx, split_lines, trim
-from codestrata.sources.manifests import json_maps, section_lines, string_values
+from codestrata.sources.manifests import json_maps, numbered_lines, section_lines, string_values
 
 _SP = r"[\t\n\f\r ]"
+_ENTRY = "array<struct<name:string,version:string,type:string,direct:boolean,line_no:bigint>>"
 
 
-def _manifest(files: DataFrame, *names: str) -> DataFrame:
-    return files.filter(F.col("path").isin(*names)).select("repo", "path", "content")
-
-
-def _shape(rows: DataFrame, ecosystem: str) -> DataFrame:
-    return rows.select(
-        "repo", F.lit(ecosystem).alias("ecosystem"), F.col("path").alias("manifest"),
-        "name", "version", "type",
-        (F.col("direct") if "direct" in rows.columns else F.lit(True)).alias("direct"),
-        F.col("line_no").cast("long").alias("line_no"),
+def _entry(name: Column, version: Column, kind: Column | str, line_no: Column | None, direct: Column | None = None) -> Column:
+    return F.struct(
+        name.alias("name"), version.alias("version"),
+        (F.lit(kind) if isinstance(kind, str) else kind).alias("type"),
+        (F.lit(True) if direct is None else direct).alias("direct"),
+        (F.lit(None).cast("long") if line_no is None else line_no).alias("line_no"),
     )
 
 
-def _json_deps(files: DataFrame, manifest: str, sections: dict[str, str], ecosystem: str) -> DataFrame:
+def _json_entries(sections: dict[str, str]) -> Column:
     """The document is parsed once for all sections."""
-    parsed = _manifest(files, manifest).withColumn("_doc", json_maps(F.col("content"), list(sections)))
+    doc = json_maps(F.col("content"), list(sections))
 
-    def entries(field: str, kind: str) -> Column:
-        pairs = F.transform(
-            F.map_entries(string_values(F.col(f"_doc.`{field}`"))),
-            lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version"), F.lit(kind).alias("type")),
+    def members(d: Column, field: str, kind: str) -> Column:
+        found = F.transform(
+            F.map_entries(string_values(d[field])), lambda e: _entry(e["key"], e["value"], kind, None)
         )
-        return F.coalesce(pairs, F.array().cast("array<struct<name:string,version:string,type:string>>"))
+        return F.coalesce(found, F.array().cast(_ENTRY))
 
-    found = F.concat(*[entries(f, k) for f, k in sections.items()])
-    rows = parsed.select("repo", "path", F.inline(found)).withColumn("line_no", F.lit(None).cast("long"))
-    return _shape(rows, ecosystem)
+    # a one-element array binds the parsed document for all sections
+    return F.flatten(
+        F.transform(F.array(doc), lambda d: F.concat(*[members(d, f, k) for f, k in sections.items()]))
+    )
 
 
-def node_deps(files: DataFrame) -> DataFrame:
-    return _json_deps(files, "package.json", rules.NODE_SECTIONS, "Node.js")
+def _node() -> Column:
+    return _json_entries(rules.NODE_SECTIONS)
 
 
-def composer_deps(files: DataFrame) -> DataFrame:
-    rows = _json_deps(files, "composer.json", rules.COMPOSER_SECTIONS, "PHP")
-    return rows.filter(~((F.col("name") == "php") & (F.col("type") == "production")))
+def _composer() -> Column:
+    return F.filter(
+        _json_entries(rules.COMPOSER_SECTIONS), lambda e: ~((e["name"] == "php") & (e["type"] == "production"))
+    )
 
 
-def go_deps(files: DataFrame) -> DataFrame:
+def _go() -> Column:
     """Require block or single line; ``// indirect`` marks a transitive one."""
     def marker(line: Column) -> Column:
         # a lone ")" matters only inside a block, where it closes it
         return F.when(line.startswith("require ("), "b").when(line == ")", "x")
 
-    line = trim(F.regexp_replace(F.col("line"), r"\Arequire ", ""))
-    words = F.filter(F.split(line, _SP + "+"), lambda w: w != "")
-    rows = (
-        section_lines(_manifest(files, "go.mod"), marker)
-        .filter((F.col("section") == "b") | F.col("line").startswith("require "))
-        .select("repo", "path", "line_no", line.alias("line"), words.alias("_words"))
-        .filter(~F.col("line").startswith("//") & (F.size("_words") >= 2))
-        .withColumn("direct", ~F.col("line").contains("// indirect"))
-        .select(
-            "repo", "path", "line_no", F.col("_words")[0].alias("name"), F.col("_words")[1].alias("version"),
-            F.when(F.col("direct"), "production").otherwise("development").alias("type"), "direct",
-        )
+    required = F.filter(
+        section_lines(F.col("content"), marker),
+        lambda x: (x["section"] == "b") | x["line"].startswith("require "),
+    )
+    words = F.transform(
+        required,
+        lambda x: F.struct(
+            x["line_no"].alias("line_no"), x["line"].contains("// indirect").alias("indirect"),
+            F.filter(
+                F.split(trim(F.regexp_replace(x["line"], r"\Arequire ", "")), _SP + "+"), lambda w: w != ""
+            ).alias("words"),
+        ),
+    )
+    complete = F.filter(words, lambda x: (F.size(x["words"]) >= 2) & ~F.get(x["words"], F.lit(0)).startswith("//"))
+    return F.transform(
+        complete,
+        lambda x: _entry(
+            F.get(x["words"], F.lit(0)), F.get(x["words"], F.lit(1)),
+            F.when(x["indirect"], "development").otherwise("production"), x["line_no"], ~x["indirect"],
+        ),
     )
-    return _shape(rows, "Go")
 
 
 _REQUIREMENT = rx(r"\A([a-zA-Z0-9\-_.]+)([><=!~]+)?(.*)\z")
 
 
-def python_requirements(files: DataFrame) -> DataFrame:
-    line = F.col("line")
-    rows = (
-        _manifest(files, "requirements.txt", "requirements-dev.txt")
-        .select("repo", "path", F.posexplode(F.transform(split_lines(F.col("content")), trim)).alias("_pos", "line"))
-        .filter((line != "") & ~line.startswith("#") & line.rlike(_REQUIREMENT))
-        .select(
-            "repo", "path", (F.col("_pos") + 1).alias("line_no"),
-            F.regexp_extract(line, _REQUIREMENT, 1).alias("name"),
-            F.concat(F.regexp_extract(line, _REQUIREMENT, 2), F.regexp_extract(line, _REQUIREMENT, 3)).alias("version"),
-            F.when(F.col("path") == "requirements.txt", "production").otherwise("development").alias("type"),
-        )
+def _requirements(kind: str) -> Column:
+    named = F.filter(
+        numbered_lines(F.col("content")),
+        lambda x: (x["line"] != "") & ~x["line"].startswith("#") & x["line"].rlike(_REQUIREMENT),
+    )
+    return F.transform(
+        named,
+        lambda x: _entry(
+            F.regexp_extract(x["line"], _REQUIREMENT, 1),
+            F.concat(F.regexp_extract(x["line"], _REQUIREMENT, 2), F.regexp_extract(x["line"], _REQUIREMENT, 3)),
+            kind, x["line_no"],
+        ),
     )
-    return _shape(rows, "Python")
 
 
-def _toml_deps(files: DataFrame, manifest: str, marker, ecosystem: str) -> DataFrame:
+def _toml_entries(marker) -> Column:
     """``name = value`` lines; section state ``p`` is production, ``d`` development."""
-    line = F.col("line")
-    cut = F.instr(line, "=")
-    rows = (
-        section_lines(_manifest(files, manifest), marker)
-        .filter(F.col("section").isin("p", "d") & line.contains("="))
-        .select(
-            "repo", "path", "line_no",
-            trim(F.left(line, cut - 1)).alias("name"),
-            F.btrim(trim(F.substring(line, cut + 1, F.length(line))), F.lit("\"'")).alias("version"),
-            F.when(F.col("section") == "p", "production").otherwise("development").alias("type"),
-        )
+    assigned = F.filter(
+        section_lines(F.col("content"), marker),
+        lambda x: x["section"].isin("p", "d") & x["line"].contains("="),
     )
-    return _shape(rows, ecosystem)
 
+    def parse(x: Column) -> Column:
+        line = x["line"]
+        cut = F.instr(line, "=")
+        return _entry(
+            trim(F.left(line, cut - 1)),
+            F.btrim(trim(F.substring(line, cut + 1, F.length(line))), F.lit("\"'")),
+            F.when(x["section"] == "p", "production").otherwise("development"), x["line_no"],
+        )
 
-def pyproject_deps(files: DataFrame) -> DataFrame:
+    return F.transform(assigned, parse)
+
+
+def _pyproject() -> Column:
     def marker(line: Column) -> Column:
         dev = any_of(
             line.startswith(h) for h in ("[tool.poetry.dev-dependencies]", "[tool.poetry.group.dev.dependencies]")
@@ -123,58 +128,103 @@ def pyproject_deps(files: DataFrame) -> DataFrame:
             F.when(line.startswith("[tool.poetry.dependencies]"), "p").when(dev, "d").when(line.startswith("["), "x")
         )
 
-    return _toml_deps(files, "pyproject.toml", marker, "Python")
-
-
-def pipfile_deps(files: DataFrame) -> DataFrame:
-    def marker(line: Column) -> Column:
-        return F.when(line == "[packages]", "p").when(line == "[dev-packages]", "d").when(line.startswith("["), "x")
+    return _toml_entries(marker)
 
-    return _toml_deps(files, "Pipfile", marker, "Python")
 
+def _pipfile() -> Column:
+    return _toml_entries(
+        lambda line: F.when(line == "[packages]", "p").when(line == "[dev-packages]", "d").when(line.startswith("["), "x")
+    )
 
-def cargo_deps(files: DataFrame) -> DataFrame:
-    def marker(line: Column) -> Column:
-        return (
-            F.when(line == "[dependencies]", "p")
-            .when(line.isin("[dev-dependencies]", "[build-dependencies]"), "d")
-            .when(line.startswith("["), "x")
-        )
 
-    return _toml_deps(files, "Cargo.toml", marker, "Rust")
+def _cargo() -> Column:
+    return _toml_entries(
+        lambda line: F.when(line == "[dependencies]", "p")
+        .when(line.isin("[dev-dependencies]", "[build-dependencies]"), "d")
+        .when(line.startswith("["), "x")
+    )
 
 
 _GEM = rx(rf"gem{_SP}+['\"]([^'\"]+)['\"](?:{_SP}*,{_SP}*['\"]([^'\"]+)['\"])?")
 
 
-def gemfile_deps(files: DataFrame) -> DataFrame:
-    line = F.col("line")
-    dev = line.contains("group:") & (line.contains("development") | line.contains("test"))
-    rows = (
-        _manifest(files, "Gemfile")
-        .select("repo", "path", F.posexplode(F.transform(split_lines(F.col("content")), trim)).alias("_pos", "line"))
-        .filter(line.startswith("gem ") & line.rlike(_GEM))
-        .select(
-            "repo", "path", (F.col("_pos") + 1).alias("line_no"),
-            F.regexp_extract(line, _GEM, 1).alias("name"),
-            F.regexp_extract(line, _GEM, 2).alias("version"),
-            F.when(dev, "development").otherwise("production").alias("type"),
-        )
+def _gemfile() -> Column:
+    gems = F.filter(
+        numbered_lines(F.col("content")), lambda x: x["line"].startswith("gem ") & x["line"].rlike(_GEM)
     )
-    return _shape(rows, "Ruby")
 
+    def parse(x: Column) -> Column:
+        line = x["line"]
+        dev = line.contains("group:") & (line.contains("development") | line.contains("test"))
+        return _entry(
+            F.regexp_extract(line, _GEM, 1), F.regexp_extract(line, _GEM, 2),
+            F.when(dev, "development").otherwise("production"), x["line_no"],
+        )
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """All ecosystems."""
-    parts = [
-        node_deps, go_deps, python_requirements, pyproject_deps, pipfile_deps,
-        cargo_deps, gemfile_deps, composer_deps,
-    ]
-    return reduce(DataFrame.unionByName, [p(files) for p in parts])
+    return F.transform(gems, parse)
 
 
 ECOSYSTEMS = ["Node.js", "Go", "Python", "Rust", "Ruby", "PHP"]
 
+# root manifest to (ecosystem, parser)
+_PARSERS = {
+    "package.json": ("Node.js", _node),
+    "go.mod": ("Go", _go),
+    "requirements.txt": ("Python", lambda: _requirements("production")),
+    "requirements-dev.txt": ("Python", lambda: _requirements("development")),
+    "pyproject.toml": ("Python", _pyproject),
+    "Pipfile": ("Python", _pipfile),
+    "Cargo.toml": ("Rust", _cargo),
+    "Gemfile": ("Ruby", _gemfile),
+    "composer.json": ("PHP", _composer),
+}
+
+
+def dependencies(files: DataFrame, manifests: list[str] | None = None) -> DataFrame:
+    """Dependencies of the given root manifests, by default of all of them."""
+    chosen = {m: _PARSERS[m] for m in (manifests or _PARSERS)}
+    path = F.col("path")
+    entries, ecosystem = None, None
+    for name, (eco, parser) in chosen.items():
+        here = path == name
+        entries = F.when(here, parser()) if entries is None else entries.when(here, parser())
+        ecosystem = F.when(here, eco) if ecosystem is None else ecosystem.when(here, eco)
+    return files.filter(path.isin(list(chosen))).select(
+        "repo", ecosystem.alias("ecosystem"), path.alias("manifest"), F.inline(entries)
+    )
+
+
+def node_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ["package.json"])
+
+
+def go_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ["go.mod"])
+
+
+def python_requirements(files: DataFrame) -> DataFrame:
+    return dependencies(files, ["requirements.txt", "requirements-dev.txt"])
+
+
+def pyproject_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ["pyproject.toml"])
+
+
+def pipfile_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ["Pipfile"])
+
+
+def cargo_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ["Cargo.toml"])
+
+
+def gemfile_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ["Gemfile"])
+
+
+def composer_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ["composer.json"])
+
 
 def dependency_analysis(deps: DataFrame) -> DataFrame:
     """Totals per repository; peer dependencies count in the total only."""
@@ -221,6 +271,6 @@ def external_dep_count(files: DataFrame) -> DataFrame:
 
     hits = F.filter(F.transform(split_lines(F.col("content")), trim), counted)
     return (
-        _manifest(files, "go.mod", "package.json", "requirements.txt")
+        files.filter(F.col("path").isin("go.mod", "package.json", "requirements.txt"))
         .groupBy("repo").agg(F.sum(F.size(hits).cast("long")).alias("external_deps"))
     )

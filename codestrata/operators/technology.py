@@ -82,13 +82,18 @@ def _contained(text: Column, table: dict[str, str], confidence: float, category:
     return [F.when(text.contains(k), _fact(v, confidence, category)) for k, v in table.items()]
 
 
-def _package(*fields: str) -> Column:
-    return F.when(F.col("path") == "package.json", json_maps(F.col("content"), list(fields)))
+def _parsed(files: DataFrame) -> DataFrame:
+    """Adds the two package sections, parsed once: all keys and string values."""
+    doc = F.when(F.col("path") == "package.json", json_maps(F.col("content"), ["dependencies", "devDependencies"]))
+    return files.select("repo", "path", "content", doc.alias("_doc")).select(
+        "repo", "path", "content",
+        F.map_keys("_doc.dependencies").alias("_prod_names"), F.map_keys("_doc.devDependencies").alias("_dev_names"),
+        string_values(F.col("_doc.dependencies")).alias("_prod"), string_values(F.col("_doc.devDependencies")).alias("_dev"),
+    )
 
 
 def _frontend() -> Column:
-    doc = _package("dependencies", "devDependencies")
-    prod, dev = string_values(doc["dependencies"]), string_values(doc["devDependencies"])
+    prod, dev = F.col("_prod"), F.col("_dev")
     return _some(*[
         F.when(
             F.coalesce(dev[k], prod[k]).isNotNull(),
@@ -99,7 +104,7 @@ def _frontend() -> Column:
 
 
 def _backend() -> Column:
-    prod = string_values(_package("dependencies")["dependencies"])
+    prod = F.col("_prod")
     node = [
         F.when(prod[k].isNotNull(), _fact(v, 0.9, "framework", F.regexp_replace(prod[k], r"\A\^", "")))
         for k, v in rules.BACKEND_PACKAGES.items()
@@ -125,14 +130,8 @@ def _build() -> Column:
 
 def _databases() -> Column:
     path, content = F.col("path"), F.col("content")
-    doc = _package("dependencies", "devDependencies")
-
-    def either(name: str) -> Column:
-        return F.coalesce(F.map_contains_key(doc["dependencies"], name), F.lit(False)) | F.coalesce(
-            F.map_contains_key(doc["devDependencies"], name), F.lit(False)
-        )
-
-    npm = [F.when(either(k), _fact(v, 0.9, "database")) for k, v in rules.DATABASE_NPM.items()]
+    names = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("_prod_names", "_dev_names")])
+    npm = [F.when(F.array_contains(names, k), _fact(v, 0.9, "database")) for k, v in rules.DATABASE_NPM.items()]
     by_content = (
         F.when(path == "package.json", _some(*npm))
         .when(path == "requirements.txt", _some(*_contained(F.lower(content), rules.DATABASE_PYTHON, 0.9, "database")))
@@ -144,8 +143,7 @@ def _databases() -> Column:
 
 def _testing() -> Column:
     path = F.col("path")
-    dev = _package("devDependencies")["devDependencies"]
-    npm = [F.when(F.map_contains_key(dev, k), _fact(v, 1.0, "testing")) for k, v in rules.TEST_NPM.items()]
+    npm = [F.when(F.array_contains("_dev_names", k), _fact(v, 1.0, "testing")) for k, v in rules.TEST_NPM.items()]
     return (
         F.when(path == "package.json", _some(*npm))
         .when(path == "requirements.txt", _some(*_contained(F.lower("content"), rules.TEST_PYTHON, 0.9, "testing")))
@@ -178,11 +176,11 @@ _DETECTORS = {
 
 def _detect(files: DataFrame, *names: str) -> DataFrame:
     """(repo, name, version, confidence, category, stage) in one pass over the files."""
-    tagged = [
-        F.transform(_DETECTORS[n][1](), lambda f, stage=_DETECTORS[n][0]: f.withField("stage", F.lit(stage)))
-        for n in names
-    ]
-    return files.select("repo", F.inline(F.concat(*tagged)))
+    def tag(stage: int, facts: Column) -> Column:
+        return F.transform(facts, lambda f: f.withField("stage", F.lit(stage)))
+
+    tagged = [tag(stage, detector()) for stage, detector in (_DETECTORS[n] for n in names)]
+    return _parsed(files).select("repo", F.inline(F.concat(*tagged)))
 
 
 def _merged(facts: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from codestrata.session import stage
+
 _SPARK = {
     "~/": " div ", "@bytes(": "octet_length(", "@str": "string",
     "@fn ": "", "@->": " -> ", "@map(": "transform(", "@keep(": "filter(",
@@ -383,7 +385,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def render(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Corpus as a lazy projection of its driver table."""
     table, columns = CORPORA[name]
     df = spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
@@ -393,6 +395,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return out
 
 
+_INGESTED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The corpus as an ingested table.
+
+    Rendered once per application and table into the shared folder, so queries
+    read a columnar ``files`` table the way a production job would: column
+    pruning and pushed filters apply, and content is read only where needed.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _INGESTED:
+        _INGESTED[key] = stage(render(spark, sf_dir, name))
+    return _INGESTED[key]
+
+
 def duck(name: str) -> str:
     """The same corpus as one SQL subquery."""
     table, columns = CORPORA[name]

@@ -27,20 +27,27 @@ def json_section(files: DataFrame, field: str) -> DataFrame:
     return files.select("repo", "path", F.explode(section).alias("name", "version"))
 
 
-def section_lines(files: DataFrame, marker) -> DataFrame:
-    """Trimmed lines inside marked sections.
+def numbered_lines(content: Column) -> Column:
+    """Trimmed lines as array<struct<line_no, line>>."""
+    return F.transform(
+        split_lines(content),
+        lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), trim(x).alias("line")),
+    )
+
+
+def section_lines(content: Column, marker) -> Column:
+    """Trimmed lines with the section they are in, without the header lines.
 
     ``marker(line)`` gives a one-letter state for a section header, or null for
-    any other line. Rows: repo, path, line_no, line, section (the state letter).
+    any other line. Result: array<struct<line_no, line, section>>.
     """
-    lines = F.transform(split_lines(F.col("content")), trim)
+    lines = F.transform(split_lines(content), trim)
     marks = F.transform(lines, lambda x: F.coalesce(marker(x), F.lit(NO_CHANGE)))
-    zipped = F.arrays_zip(lines.alias("line"), marks.alias("mark"), carry_forward(marks).alias("section"))
-    return (
-        files.select("repo", "path", F.posexplode(zipped).alias("_pos", "_at"))
-        .filter(F.col("_at.mark") == NO_CHANGE)
-        .select(
-            "repo", "path", (F.col("_pos") + 1).cast("long").alias("line_no"),
-            F.col("_at.line").alias("line"), F.col("_at.section").alias("section"),
-        )
+    rows = F.transform(
+        F.arrays_zip(lines.alias("line"), marks.alias("mark"), carry_forward(marks).alias("section")),
+        lambda x, i: F.struct(
+            (i + 1).cast("long").alias("line_no"), x["line"].alias("line"),
+            x["mark"].alias("mark"), x["section"].alias("section"),
+        ),
     )
+    return F.filter(rows, lambda x: x["mark"] == NO_CHANGE)
