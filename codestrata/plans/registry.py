@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 from codestrata.plans.corpora import CORPORA, duck
+from codestrata.session import ship_package
 
 _AREAS = [
     "quality", "inventory", "collection", "technology", "dependency", "security",
@@ -26,8 +28,17 @@ def _merged(name: str) -> dict:
     return out
 
 
+def _with_workers(query):
+    """Python workers of the query can import this package."""
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 def queries() -> dict:
-    return _merged("QUERIES")
+    return {name: _with_workers(query) for name, query in _merged("QUERIES").items()}
 
 
 def _share_corpora(sql: str) -> str:
@@ -40,8 +51,9 @@ def _share_corpora(sql: str) -> str:
             shared.append(f"corpus_{name} as materialized ({text})")
     if not shared:
         return sql
-    rest = ", " + sql[5:] if sql.startswith("with ") else " " + sql
-    return "with " + ", ".join(shared) + rest
+    head = next((h for h in ("with recursive ", "with ") if sql.startswith(h)), "")
+    rest = ", " + sql[len(head):] if head else " " + sql
+    return (head or "with ") + ", ".join(shared) + rest
 
 
 def oracle_sql() -> dict:
