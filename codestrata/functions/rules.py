@@ -185,7 +185,7 @@ SMELL_HACK = "HACK comment"
 SMELL_DEBUG = "Debug/Console statement"
 SMELL_MAGIC = "Magic number"
 SMELL_DEEP = "Deeply nested code"
-MAGIC_NUMBER = r"[^a-zA-Z0-9_][0-9]{2,}[^a-zA-Z0-9_]"
+MAGIC_NUMBER = r"[^a-zA-Z0-9_]\d{2,}[^a-zA-Z0-9_]"
 LONG_LINE_BYTES = 120
 DEEP_INDENT = 32
 

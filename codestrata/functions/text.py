@@ -15,9 +15,9 @@ WHITE_SPACE = (
 # A line of more bytes than this is not scanned.
 MAX_LINE_BYTES = 65535
 
-# ASCII word boundaries; the JVM's own \b is Unicode-aware.
-WORD_START = "(?<![0-9A-Za-z_])"
-WORD_END = "(?![0-9A-Za-z_])"
+# ASCII word boundaries: the JVM's \w is ASCII, its \b is Unicode-aware.
+WORD_START = r"(?<!\w)"
+WORD_END = r"(?!\w)"
 
 
 def rx(pattern: str, ignore_case: bool = False) -> str:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, functions as F
 
 from codestrata.functions.text import WHITE_SPACE
@@ -21,32 +18,43 @@ CODE_WEIGHT = 0.8
 TEXT_WEIGHT = 0.25
 
 _SCALE = 20  # every weight is a whole number of twentieths
+
+# Each weighted character is first translated to one mark per weight. The marks
+# are control characters; where a text contains them, they become plain text.
+_MARKS = {0.3: "\x01", 0.5: "\x02", 0.7: "\x03"}
 _SPECIAL = "".join(CHARS_BY_WEIGHT.values())
 _OTHER_SPACE = "".join(c for c in WHITE_SPACE if c not in _SPECIAL)
+_FROM = _SPECIAL + _OTHER_SPACE + "".join(_MARKS.values())
+_TO = (
+    "".join(_MARKS[w] * len(chars) for w, chars in CHARS_BY_WEIGHT.items())
+    + _MARKS[SPACE_WEIGHT] * len(_OTHER_SPACE) + "x" * len(_MARKS)
+)
 
 
-def _count_in(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _bind(value: Column, use) -> Column:
+    """Evaluate ``value`` once for all its uses inside ``use``."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _twentieths(text: Column, other_weight: float) -> Column:
-    groups = [(w, chars) for w, chars in CHARS_BY_WEIGHT.items()] + [(SPACE_WEIGHT, _OTHER_SPACE)]
-    counts = [(w, _count_in(text, chars)) for w, chars in groups]
-    special = reduce(add, [n * round(w * _SCALE) for w, n in counts])
-    others = F.length(text) - reduce(add, [n for _, n in counts])
-    return (special + others * round(other_weight * _SCALE)).cast("long")
+def _twentieths(marked: Column, other_weight: float) -> Column:
+    other = round(other_weight * _SCALE)
+    total = F.length(marked) * other
+    for weight, mark in _MARKS.items():
+        count = F.length(marked) - F.length(F.replace(marked, F.lit(mark), F.lit("")))
+        total = total + count * (round(weight * _SCALE) - other)
+    return total.cast("long")
 
 
-def _summed_in_order(text: Column, other_weight: float) -> Column:
+def _summed_in_order(marked: Column, other_weight: float) -> Column:
     """The same sum in doubles, character by character."""
 
     def weigh(total: Column, ch: Column) -> Column:
         w = F.when(ch == "", 0.0)
-        for weight, chars in CHARS_BY_WEIGHT.items():
-            w = w.when(ch.isin(*chars), weight)
-        return total + w.when(ch.isin(*_OTHER_SPACE), SPACE_WEIGHT).otherwise(other_weight)
+        for weight, mark in _MARKS.items():
+            w = w.when(ch == mark, weight)
+        return total + w.otherwise(other_weight)
 
-    return F.aggregate(F.split(text, ""), F.lit(0.0), weigh)
+    return F.aggregate(F.split(marked, ""), F.lit(0.0), weigh)
 
 
 def estimate(text: Column, is_code: bool = False) -> Column:
@@ -57,10 +65,16 @@ def estimate(text: Column, is_code: bool = False) -> Column:
     lower, so only those rows repeat the sum in doubles.
     """
     other = CODE_WEIGHT if is_code else TEXT_WEIGHT
-    exact = _twentieths(text, other)
-    return F.when(
-        exact % _SCALE == 0, F.floor(_summed_in_order(text, other)).cast("long")
-    ).otherwise((exact / _SCALE).cast("long"))
+
+    def of_marked(marked: Column) -> Column:
+        return _bind(
+            _twentieths(marked, other),
+            lambda exact: F.when(
+                exact % _SCALE == 0, F.floor(_summed_in_order(marked, other)).cast("long")
+            ).otherwise(F.floor(exact / _SCALE).cast("long")),
+        )
+
+    return _bind(F.translate(text, _FROM, _TO), of_marked)
 
 
 def basic_estimate(chars: Column) -> Column:

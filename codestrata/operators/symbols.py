@@ -14,7 +14,7 @@ from codestrata.functions.text import any_of, basename, extension, rx, split_lin
 
 _SP = r"[\t\n\f\r ]"
 _NSP = r"[^\t\n\f\r ]"
-_W = "[0-9A-Za-z_]"
+_W = r"\w"
 _SYMBOL = "struct<kind:string,name:string,signature:string,doc:string>"
 
 GO, JS, PY, JAVA, C = "go", "javascript", "python", "java", "c/c++"
@@ -132,7 +132,7 @@ def _java_imports(text: Column) -> Column:
 # --- C / C++ ---------------------------------------------------------------------------
 
 _C_INCLUDE = rx(rf"#include{_SP}+[<\"](.+?)[>\"]")
-_C_RUN = r"[0-9A-Za-z_\t\n\f\r *]"
+_C_RUN = r"[\w\t\n\f\r *]"
 # A run of words, blanks and stars from a line start is consumed as a whole, with
 # or without a parameter list behind it: every character is visited once.
 _C_HEAD = rf"(?dm)^{_C_RUN}++(?:\(.*?\){_SP}*[;{{])?"

@@ -33,6 +33,10 @@ def write_graph(lines: DataFrame, location: str) -> None:
 
 def write_vuln_report(findings: DataFrame, old: DataFrame, location: str) -> None:
     """Three JSON tables: summary, vulnerabilities, outdated_packages."""
-    vuln_counts(findings, old).write.json(f"{location}/summary")
     findings.write.json(f"{location}/vulnerabilities")
     old.write.json(f"{location}/outdated_packages")
+    # the summary counts what was written instead of computing it again
+    spark = findings.sparkSession
+    written = spark.read.schema(findings.schema).json(f"{location}/vulnerabilities")
+    listed = spark.read.schema(old.schema).json(f"{location}/outdated_packages")
+    vuln_counts(written, listed).write.json(f"{location}/summary")
