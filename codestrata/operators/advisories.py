@@ -44,41 +44,6 @@ def strip_operators(version: Column) -> Column:
     return trim(F.regexp_replace(version, r"\A[\^~><=! ]*v?", ""))
 
 
-_FINDING = (
-    "struct<stage:bigint,advisory_version:string,severity:string,cve_id:string,description:string,recommendation:string>"
-)
-
-
-def _known(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Dependencies with the advisories of their package name in ``_known``.
-
-    One equi-join on the name. Spark broadcasts the advisories while their size
-    is below its threshold; beyond it AQE splits a popular name.
-    """
-    listed = advisories.groupBy(F.col("name").alias("_name")).agg(
-        # advisories of one package only
-        F.array_sort(
-            F.collect_list(F.struct("version", "severity", "cve_id", "description", "recommendation"))
-        ).alias("_known")
-    )
-    return deps.join(listed, F.col("name") == F.col("_name"), "left").drop("_name")
-
-
-def _matches(strict: bool = False) -> Column:
-    """Advisories whose version equals, or is a prefix of, the installed one."""
-    clean = strip_operators if strict else clean_version
-    installed = clean(F.col("version"))
-    hits = F.filter(F.col("_known"), lambda a: installed.startswith(clean(a["version"])))
-    facts = F.transform(
-        hits,
-        lambda a: F.struct(
-            F.lit(1).cast("long").alias("stage"), a["version"].alias("advisory_version"), a["severity"].alias("severity"),
-            a["cve_id"].alias("cve_id"), a["description"].alias("description"), a["recommendation"].alias("recommendation"),
-        ),
-    )
-    return F.coalesce(facts, F.array().cast(f"array<{_FINDING}>"))
-
-
 def _pattern(stage: int, test: Column, severity: str, description: Column, recommendation: str) -> Column:
     return F.when(
         test,
@@ -123,8 +88,20 @@ def _single(deps: DataFrame, fact: Column) -> DataFrame:
 
 
 def match_advisories(deps: DataFrame, advisories: DataFrame, strict: bool = False) -> DataFrame:
-    """Known advisories. ``strict`` cleans pins such as ``==1.2`` completely."""
-    return _findings(_known(deps, advisories), _matches(strict)).drop("stage")
+    """Known advisories: same name, version equal to or starting with the listed one.
+
+    An equi-join on the package name. Spark broadcasts the advisories while
+    their size is below its threshold; beyond it AQE splits a popular name.
+    ``strict`` cleans pins such as ``==1.2`` completely.
+    """
+    clean = strip_operators if strict else clean_version
+    listed = advisories.select(
+        F.col("name").alias("_name"), clean(F.col("version")).alias("_affected"),
+        F.col("version").alias("advisory_version"), "severity", "cve_id", "description", "recommendation",
+    )
+    installed = deps.select(*_KEEP).withColumn("_installed", clean(F.col("version")))
+    hit = (F.col("name") == F.col("_name")) & F.col("_installed").startswith(F.col("_affected"))
+    return installed.join(listed, hit).drop("_name", "_affected", "_installed")
 
 
 def deprecated(deps: DataFrame) -> DataFrame:
@@ -147,10 +124,13 @@ def outdated(deps: DataFrame) -> DataFrame:
 
 
 def check_dependencies(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """All findings of all dependencies in one pass; ``stage`` is the order of
-    the checks for one dependency."""
+    """All findings; ``stage`` is the order of the checks for one dependency.
+
+    The three version checks are one pass, the advisory join is another.
+    """
+    known = match_advisories(deps, advisories).withColumn("stage", F.lit(1).cast("long"))
     patterns = F.array_compact(F.array(_very_old(), _prerelease(), _deprecated()))
-    return _findings(_known(deps, advisories), F.concat(_matches(), patterns))
+    return known.unionByName(_findings(deps, patterns))
 
 
 def _encounter() -> list[Column]:

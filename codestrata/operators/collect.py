@@ -166,15 +166,21 @@ def walk_order() -> list[Column]:
 
 
 def limit_files(files: DataFrame, n: int) -> DataFrame:
-    """First ``n`` files of each repository in walk order; 0 keeps all."""
+    """First ``n`` files of each repository in walk order; 0 keeps all.
+
+    Metadata only: content is dropped before the rows are exchanged.
+    """
+    files = files.drop("content")
     return first_n(files, ["repo"], walk_order(), n).drop("rank") if n > 0 else files
 
 
 def fit_budget(files: DataFrame, max_total: int) -> DataFrame:
     """Where a repository is over budget, keep its smallest files that fit.
 
-    Only repositories over budget are ordered, and only (path, size) of those.
+    Only repositories over budget are ordered. Metadata only: content is
+    dropped before the rows are exchanged.
     """
+    files = files.drop("content")
     if max_total <= 0:
         return files
     totals = files.groupBy("repo").agg((F.sum("size") > max_total).alias("_over"))
@@ -276,9 +282,10 @@ def collect(files: DataFrame, options: CollectOptions = CollectOptions()) -> Dat
     """
     patterns = list(options.exclude) + (default_excludes() if options.use_defaults else [])
     chosen = size_between(include(files, list(options.include)), options.min_size, options.max_size)
-    if options.use_ignore_files:
-        chosen = exclude_by_repo(chosen, files, patterns)
-    else:
+    if not options.use_ignore_files:
         chosen = prune_dirs(exclude(chosen, patterns), patterns)
+    # content ends here: the joins and windows below move metadata only
     chosen = chosen.filter(~binary_test(F.col("path"), F.col("content"))).select("repo", "path", "size")
+    if options.use_ignore_files:
+        chosen = exclude_by_repo(chosen, files, patterns)
     return fit_budget(limit_files(chosen, options.max_files), options.max_total_size)

@@ -350,11 +350,11 @@ def c_symbols(files: DataFrame) -> DataFrame:
 
 
 def _summaries(files: DataFrame) -> DataFrame:
-    """(repo, path, language, doc, _imports, _symbols), one row per file."""
+    """(repo, path, content, language, doc, _imports, _symbols), one row per file."""
     every = list(_EXTRACT)
     unsupported = F.concat(F.lit("File: "), basename(F.col("path")), F.lit(" (unsupported for detailed summarization)"))
     return _with_language(files).select(
-        "repo", "path", "language", _by_language(2, every, unsupported).alias("doc"),
+        "repo", "path", "content", "language", _by_language(2, every, unsupported).alias("doc"),
         _by_language(1, every, F.array().cast("array<string>")).alias("_imports"),
         _by_language(0, every, _no_symbols()).alias("_symbols"),
     )
@@ -368,8 +368,8 @@ def summarize(files: DataFrame) -> DataFrame:
     )
 
 
-def render_summary(files: DataFrame) -> DataFrame:
-    """(repo, path, text): the summary of each file as markdown."""
+def _markdown() -> Column:
+    """Summary text from the columns of ``_summaries``."""
     doc = F.when(F.col("doc") != "", F.concat(F.lit("## Documentation\n"), F.col("doc"), F.lit("\n\n"))).otherwise("")
     listed = F.array_join(F.transform("_imports", lambda i: F.concat(F.lit("- "), i, F.lit("\n"))), "")
     imported = F.when(F.size("_imports") > 0, F.concat(F.lit("## Imports\n"), listed, F.lit("\n"))).otherwise("")
@@ -384,14 +384,17 @@ def render_summary(files: DataFrame) -> DataFrame:
         F.size("_symbols") > 0,
         F.concat(F.lit("## Exports\n"), F.array_join(F.transform("_symbols", section), "")),
     ).otherwise("")
-    return _summaries(files).select(
-        "repo", "path", F.concat(F.lit("# "), F.col("path"), F.lit("\n\n"), doc, imported, exported).alias("text")
-    )
+    return F.concat(F.lit("# "), F.col("path"), F.lit("\n\n"), doc, imported, exported)
+
+
+def render_summary(files: DataFrame) -> DataFrame:
+    """(repo, path, text): the summary of each file as markdown."""
+    return _summaries(files).select("repo", "path", _markdown().alias("text"))
 
 
 def apply_summaries(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """Content of files matching any glob is replaced by its summary."""
+    """Content of files matching any glob is replaced by its summary, in one pass."""
     chosen = any_of(F.col("path").rlike(r) for r in map(path_glob, patterns) if r)
-    short = render_summary(files.filter(chosen)).withColumnRenamed("text", "content")
-    full = files.filter(~chosen).select("repo", "path", "content")
-    return full.unionByName(short)
+    return _summaries(files).select(
+        "repo", "path", F.when(chosen, _markdown()).otherwise(F.col("content")).alias("content")
+    )

@@ -13,7 +13,8 @@ def scan_files(spark: SparkSession, root: str, repo: str | None = None) -> DataF
     With ``repo`` the whole tree is one repository; otherwise the first
     directory below ``root`` names it. Unreadable files are skipped. Content is
     read only by queries that use it. File mode bits are not visible to this
-    source and come from an ingest table.
+    source and come from an ingest table. The source lists no zero-byte files;
+    selection is unaffected, because an empty file counts as binary.
     """
     raw = (
         spark.read.format("binaryFile")
