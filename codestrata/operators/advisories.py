@@ -8,15 +8,18 @@ from codestrata.functions import rules
 from codestrata.functions.text import contains_any, lookup, trim
 from codestrata.session import stage
 
-ADVISORY_SCHEMA = (
-    "name string, version string, severity string, cve_id string, description string, recommendation string"
-)
 _KEEP = ["repo", "ecosystem", "manifest", "name", "version", "type", "line_no"]
 
 
 def load_advisories(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Built-in advisories, plus a JSON feed ``{package: [advisory, ...]}``."""
-    seed = spark.createDataFrame(rules.ADVISORIES, ADVISORY_SCHEMA)
+    """Built-in advisories, plus a JSON feed ``{package: [advisory, ...]}``.
+
+    The built-in rows are literals and a feed is a file, so Spark knows the size
+    of both and broadcasts them only while they are small.
+    """
+    columns = ["name", "version", "severity", "cve_id", "description", "recommendation"]
+    literals = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rules.ADVISORIES]
+    seed = spark.range(1).select(F.inline(F.array(*literals)))
     if path is None:
         return seed
     item = (
