@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codestrata.functions import rules
 from codestrata.functions.text import contains_any, lookup, trim
-from codestrata.session import stage
 
 _KEEP = ["repo", "ecosystem", "manifest", "name", "version", "type", "line_no"]
 
@@ -162,9 +161,9 @@ def vuln_summary(findings: DataFrame, old: DataFrame, n: int = 5) -> DataFrame:
     """Report rows: counts, the ``n`` most severe findings, the first ``n`` outdated
     packages and how many more there are.
 
-    Both inputs are staged: counts and rankings read the same narrow rows.
+    Counts and rankings read both inputs; stage the dependencies before the
+    checks where parsing them is the expensive part.
     """
-    findings, old = stage(findings), stage(old)
     worst = Window.partitionBy("repo").orderBy(
         lookup(F.col("severity"), rules.SEVERITY_RANK), *_encounter(), "stage", "advisory_version", "cve_id"
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.operators.ordering import prefix
+from codestrata.session import stage
 
 FILE, DIRECTORY = "file", "dir"
 
@@ -83,7 +84,11 @@ def _last_children(nodes: DataFrame) -> DataFrame:
 
 
 def tree_text(nodes: DataFrame, root_name: Column | None = None) -> DataFrame:
-    """(repo, line_no, text): the tree drawn with box glyphs."""
+    """(repo, line_no, text): the tree drawn with box glyphs.
+
+    The narrow node table is used several times, so it is staged once.
+    """
+    nodes = stage(nodes)
     root = F.col("repo") if root_name is None else root_name
     last = F.coalesce(
         (F.col("name") == F.col("_last_name")) & ((F.col("kind") == DIRECTORY) == F.col("_last_dir")), F.lit(True)
@@ -164,6 +169,8 @@ def tree_json(nodes: DataFrame) -> DataFrame:
     A directory contributes opening and closing lines, a file one line; all of
     them are sorted by their place in the document.
     """
+    nodes = stage(nodes)
+
     def encoded(text: Column) -> Column:
         return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)\A\{\"v\":(.*)\}\z", 1)
 

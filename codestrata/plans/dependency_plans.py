@@ -6,7 +6,7 @@ from codestrata.plans.corpora import duck, load
 from codestrata.plans.oracle_parts import quote, split_lines, trim
 from codestrata.sources.manifests import json_section
 from codestrata.sources.sinks import write_vuln_report
-from codestrata.session import scratch_path
+from codestrata.session import scratch_path, stage
 
 _MAN = duck("man")
 
@@ -20,7 +20,8 @@ def _on_deps(op):
 
 
 def _checked(spark, sf):
-    deps = dependencies.dependencies(load(spark, sf, "man"))
+    # parsed once; the checks read the narrow dependency rows
+    deps = stage(dependencies.dependencies(load(spark, sf, "man")))
     return deps, advisories.check_dependencies(deps, advisories.load_advisories(spark)), advisories.outdated(deps)
 
 
