@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -29,22 +30,33 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Folder every executor can reach.
+    """Folder every executor can reach, removed when the application ends.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder is used.
+    A cluster names its parent in ``spark.checkpoint.dir``. Only a session on
+    one machine may leave that unset; it then gets a temporary folder.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
+        if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="codestrata-")
         spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    root = f"{named.rstrip('/')}/codestrata-{context.applicationId}"
+    if root not in _REMOVED_AT_END:
+        path = context._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _REMOVED_AT_END.add(root)
+    return root
+
+
+_REMOVED_AT_END: set[str] = set()
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/codestrata/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 _SHIPPED: set[str] = set()
