@@ -17,10 +17,7 @@ _AREAS = [
 def _merged(name: str) -> dict:
     out: dict = {}
     for area in _AREAS:
-        try:
-            module = importlib.import_module(f"codestrata.plans.{area}_plans")
-        except ModuleNotFoundError:
-            continue
+        module = importlib.import_module(f"codestrata.plans.{area}_plans")
         for key, value in getattr(module, name).items():
             if key in out:
                 raise ValueError(f"query {key} registered twice")
@@ -28,7 +25,7 @@ def _merged(name: str) -> dict:
     return out
 
 
-def _with_workers(query):
+def with_workers(query):
     """Python workers of the query can import this package."""
     @functools.wraps(query)
     def run(spark, sf_dir):
@@ -38,7 +35,7 @@ def _with_workers(query):
 
 
 def queries() -> dict:
-    return {name: _with_workers(query) for name, query in _merged("QUERIES").items()}
+    return {name: with_workers(query) for name, query in _merged("QUERIES").items()}
 
 
 def _share_corpora(sql: str) -> str:
