@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codestrata.llm.mixing import mix, token_count
+from codestrata.llm.neighbours import nearest
 from codestrata.llm.packing import pack
+from codestrata.llm.pivots import near_duplicate_vectors
 from codestrata.llm.quality import quality
 from codestrata.llm.shared import table
 from codestrata.llm.simhash import near_duplicates
+from codestrata.llm.token_counts import count_tokens, single_spaces
+from codestrata.llm.token_files import digests, write_ids
+from codestrata.session import scratch_path
 
 #: Share of the largest possible entropy that the mixture has.
 ENTROPY = 0.92
@@ -32,6 +37,32 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, distance=4)
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_mixing, op5_packing, op6_simhash)}
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a cache of its own, so the result never depends on an earlier call."""
+    return count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-cache"),
+        normalise=single_spaces,
+    )
+
+
+def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layout = write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), scratch_path(spark, "token-files"))
+    return digests(spark, layout)
+
+
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_quality, op3_mixing, op5_packing, op6_simhash, op7_token_counts, op8_pivots, op9_token_files, op10_neighbours,
+    )
+}
 
 ORACLES: dict[str, str] = {}
