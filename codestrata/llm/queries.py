@@ -12,6 +12,7 @@ from codestrata.llm.pivots import near_duplicate_vectors
 from codestrata.llm.quality import quality
 from codestrata.llm.shared import table
 from codestrata.llm.simhash import near_duplicates
+from codestrata.llm.style_tree import extract
 from codestrata.llm.token_counts import count_tokens, single_spaces
 from codestrata.llm.token_files import digests, write_ids
 from codestrata.session import scratch_path
@@ -20,6 +21,10 @@ from codestrata.session import scratch_path
 ENTROPY = 0.92
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -61,7 +66,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op2_quality, op3_mixing, op5_packing, op6_simhash, op7_token_counts, op8_pivots, op9_token_files, op10_neighbours,
+        op1_style_tree, op2_quality, op3_mixing, op5_packing, op6_simhash, op7_token_counts, op8_pivots, op9_token_files, op10_neighbours,
     )
 }
 
