@@ -140,9 +140,9 @@ def parse(html: str | None) -> Page:
             pop()
         pop()
 
-    at = 0
+    at, last = 0, html.rfind(">") + 1  # no tag ends after it
     while True:
-        m = _TAG.search(html, at)
+        m = _TAG.search(html, at, last) if at < last else None
         if m is None:
             add(html[at:])
             break
