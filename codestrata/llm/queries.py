@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from codestrata.llm.katz import language_model_scores
 from codestrata.llm.mixing import mix, token_count
 from codestrata.llm.neighbours import nearest
 from codestrata.llm.packing import pack
@@ -34,6 +35,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(counted, entropy=ENTROPY)
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -66,7 +71,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_style_tree, op2_quality, op3_mixing, op5_packing, op6_simhash, op7_token_counts, op8_pivots, op9_token_files, op10_neighbours,
+        op1_style_tree, op2_quality, op3_mixing, op4_katz, op5_packing, op6_simhash, op7_token_counts, op8_pivots, op9_token_files, op10_neighbours,
     )
 }
 
