@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codestrata.llm.katz import language_model_scores
 from codestrata.llm.mixing import mix, token_count
 from codestrata.llm.neighbours import nearest
+from codestrata.llm.oracles import mixing_sql
 from codestrata.llm.packing import pack
 from codestrata.llm.pivots import near_duplicate_vectors
 from codestrata.llm.quality import quality
@@ -75,4 +76,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_mixing": mixing_sql(ENTROPY)}
