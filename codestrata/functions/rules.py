@@ -145,7 +145,7 @@ MIME_TEXT = [".css", ".htm", ".html", ".js", ".mjs", ".xml"]
 
 # Content signatures of the public MIME-sniffing rules that are not plain
 # UTF-8 text, over the upper-case hex of the first 512 bytes.
-SNIFF_BYTES = 512
+SNIFF_BYTES = 512  # the rules look no further; a parameter of the detection
 SNIFF_CONTROL = r"\A(?:..)*?(?:0[0-8BEF]|1[0-9A]|1[C-F])"
 SNIFF_MARKUP_TAGS = [
     "!DOCTYPE HTML", "HTML", "HEAD", "SCRIPT", "IFRAME", "H1", "DIV", "FONT",
@@ -154,8 +154,9 @@ SNIFF_MARKUP_TAGS = [
 SNIFF_PREFIXES = [
     "%PDF-", "%!PS-Adobe-", "GIF87a", "GIF89a", "BM", "OTTO", "ttcf", "wOFF",
     "wOF2", "PK\x03\x04", "\x1f\x8b\x08", "\xfe\xff", "\xff\xfe", "\xff\xd8\xff",
-    ".snd",
+    ".snd", "ID3",
 ]
+SNIFF_FORM = ["AIFF"]
 SNIFF_RIFF = ["WEBPVP", "AVI ", "WAVE"]
 
 # --- line quality ----------------------------------------------------------
@@ -220,8 +221,6 @@ SECRET_PATTERNS = [
 # every match of the patterns above contains one of these
 SECRET_HINT = r"key|gh[pousr]_|passw|pwd|eyJ|bearer|xox|[sp]k_(?:test|live)|://|secret"
 SECRET_SUGGESTION = "Move sensitive data to environment variables or secure vault"
-SECRET_MATCH_BYTES = 50
-SECRET_MAX_FILE = 10 * 1024 * 1024
 SECRET_SKIP_DIRS = ["node_modules/", "vendor/", ".git/", "dist/", "build/", "target/"]
 SECRET_SKIP_SUFFIXES = [
     ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico", ".woff", ".ttf", ".eot",

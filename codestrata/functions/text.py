@@ -12,9 +12,6 @@ WHITE_SPACE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# A line of more bytes than this is not scanned.
-MAX_LINE_BYTES = 65535
-
 # ASCII word boundaries: the JVM's \w is ASCII, its \b is Unicode-aware.
 WORD_START = r"(?<!\w)"
 WORD_END = r"(?!\w)"
@@ -76,20 +73,3 @@ def scan_lines(content: Column) -> Column:
 def split_lines(content: Column) -> Column:
     """Pieces between newlines, including the one after a final newline."""
     return F.split(content, "\n", -1)
-
-
-def has_long_line(content: Column) -> Column:
-    """True if some raw line exceeds the scan limit; short files skip the search."""
-    return (F.octet_length(content) > MAX_LINE_BYTES) & F.exists(
-        F.split(content, "\n", -1), lambda x: F.octet_length(x) > MAX_LINE_BYTES
-    )
-
-
-def lines_before_long(content: Column) -> Column:
-    """Scan lines up to, and without, the first over-long raw line."""
-    long_at = F.array_position(
-        F.transform(F.split(content, "\n", -1), lambda x: F.octet_length(x) > MAX_LINE_BYTES),
-        F.lit(True),
-    )
-    lines = scan_lines(content)
-    return F.when(has_long_line(content), F.slice(lines, F.lit(1), (long_at - 1).cast("int"))).otherwise(lines)

@@ -192,14 +192,16 @@ def fit_budget(files: DataFrame, max_total: int) -> DataFrame:
     return within.unionByName(kept.drop("rank", "running"))
 
 
-def is_large_project(files: DataFrame) -> DataFrame:
-    """Size and count gate per repository."""
+def is_large_project(
+    files: DataFrame, size: int = 500 * 2**20, count: int = 10_000, some: int = 5_000, mean: int = 50 * 2**10,
+) -> DataFrame:
+    """Gate per repository: more bytes, more files, or ``some`` files of more than ``mean`` bytes."""
     n, total = F.col("file_count"), F.col("total_size")
     return (
         files.groupBy("repo").agg(F.count(F.lit(1)).alias("file_count"), F.sum("size").alias("total_size"))
         .withColumn(
             "is_large",
-            (total > 500 * 2**20) | (n > 10_000) | ((n > 5_000) & (F.floor(total / n) > 50 * 1024)),
+            (total > size) | (n > count) | ((n > some) & (F.floor(total / n) > mean)),
         )
     )
 
@@ -211,12 +213,12 @@ def _hex(text: str) -> str:
     return text.encode("latin-1").hex().upper()
 
 
-def sniffed_binary(content: Column) -> Column:
-    """First bytes are not plain UTF-8 text."""
-    head = F.substring(content.cast("binary"), 1, rules.SNIFF_BYTES)
+def sniffed_binary(content: Column, sniff_bytes: int = rules.SNIFF_BYTES) -> Column:
+    """The first ``sniff_bytes`` bytes are not plain UTF-8 text."""
+    head = F.substring(content.cast("binary"), 1, sniff_bytes)
     signature = "|".join(map(_hex, rules.SNIFF_PREFIXES))
     riff = "52494646.{8}(?:" + "|".join(map(_hex, rules.SNIFF_RIFF)) + ")"
-    boxed = ".{8}" + _hex("ftyp")
+    form = "464F524D.{8}(?:" + "|".join(map(_hex, rules.SNIFF_FORM)) + ")"
     blank = "(?:09|0A|0C|0D|20)*"
 
     def either_case(tag: str) -> str:
@@ -227,18 +229,27 @@ def sniffed_binary(content: Column) -> Column:
     tags = "|".join(either_case(t) for t in rules.SNIFF_MARKUP_TAGS)
     markup = rf"{blank}(?:3C(?:{tags})(?:20|3E)|{_hex('<?xml')})"
     return F.hex(head).rlike(
-        rf"{rules.SNIFF_CONTROL}|\A(?:{signature}|{riff}|{boxed}|{markup})"
-    )
+        rf"{rules.SNIFF_CONTROL}|\A(?:{signature}|{riff}|{form}|{markup})"
+    ) | _media_box(head)
+
 
+def _media_box(head: Column) -> Column:
+    """An ``ftyp`` box that fits into the bytes looked at and names an ``mp4`` brand."""
+    box = F.conv(F.hex(F.substring(head, 1, 4)), 16, 10).cast("long")
+    brands = F.filter(F.sequence(F.lit(8), (box - 1).cast("int"), F.lit(4)), lambda at: at != 12)
+    named = F.exists(brands, lambda at: F.substring(head, at + 1, F.lit(3)) == F.lit(b"mp4"))
+    fits = (F.octet_length(head) >= 12) & (box % 4 == 0) & box.between(12, F.octet_length(head))
+    return F.when(fits & (F.substring(head, 5, 4) == F.lit(b"ftyp")), named).otherwise(False)
 
-def binary_test(path: Column, content: Column) -> Column:
+
+def binary_test(path: Column, content: Column, sniff_bytes: int = rules.SNIFF_BYTES) -> Column:
     """Extension, then media type by extension, then content; empty is binary."""
     ext = F.lower(extension(path))
     return (
         F.when(ext.isin(rules.BINARY_EXTENSIONS + rules.MIME_BINARY), True)
         .when(ext.isin(rules.MIME_TEXT), False)
         .when(content.isNull() | (F.octet_length(content) == 0), True)
-        .otherwise(sniffed_binary(content))
+        .otherwise(sniffed_binary(content, sniff_bytes))
     )
 
 
@@ -264,14 +275,16 @@ def classify_incremental(files: DataFrame, memo: DataFrame) -> tuple[DataFrame,
 
 @dataclasses.dataclass(frozen=True)
 class CollectOptions:
+    """What to select. Every limit is off (0) unless it is given."""
+
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
     use_defaults: bool = True
     use_ignore_files: bool = True
-    min_size: int = 1024
-    max_size: int = 100 * 2**20
-    max_files: int = 500
-    max_total_size: int = 10 * 2**20
+    min_size: int = 0
+    max_size: int = 0
+    max_files: int = 0
+    max_total_size: int = 0
 
 
 def collect(files: DataFrame, options: CollectOptions = CollectOptions()) -> DataFrame:

@@ -15,7 +15,7 @@ from codestrata.functions import rules
 from codestrata.functions.carry import NO_CHANGE, carry_before
 from codestrata.functions.text import (
     WORD_END, WORD_START, basename, contains_any, count_char, extension,
-    has_long_line, lookup, rx, scan_lines, trim,
+    lookup, rx, scan_lines, trim,
 )
 
 OPEN, CLOSE = "o", "c"
@@ -134,20 +134,12 @@ def _max_nesting(language: Column, lines: Column) -> Column:
     return F.aggregate(lines, zero, step)["top"]
 
 
-def _with_lines(files: DataFrame, extended: bool, keep_dropped: bool = False) -> DataFrame:
-    """Files with their line array.
-
-    An over-long line drops the file from the analysis; ``keep_dropped`` keeps
-    it as a row without lines, flagged in ``dropped``.
-    """
-    dropped = has_long_line(F.col("content"))
-    if not keep_dropped:
-        files, dropped = files.filter(~dropped), F.lit(False)
+def _with_lines(files: DataFrame, extended: bool) -> DataFrame:
+    """Files with their line array; lines of any length count."""
     return files.select(
         "repo", "path", "content",
         language_of(F.col("path"), extended).alias("language"),
-        dropped.alias("dropped"),
-        F.when(~dropped, scan_lines(F.col("content"))).alias("_lines"),
+        scan_lines(F.col("content")).alias("_lines"),
     )
 
 
@@ -238,8 +230,8 @@ def _line_facts(files: DataFrame, extended: bool, keep: tuple[str, ...] = (), wi
     """Numbers per line, ready to be summed; one null line stands for an empty file."""
     lang, line, text = F.col("language"), F.col("line"), F.col("text")
     if with_lines is None:
-        with_lines = _with_lines(files, extended, keep_dropped=True)
-    rows = _explode(with_lines, keep=("dropped", *keep), outer=True)
+        with_lines = _with_lines(files, extended)
+    rows = _explode(with_lines, keep=keep, outer=True)
     first = F.coalesce(F.col("line_no"), F.lit(1)) == 1
     kind = F.when(line.isNull(), None).otherwise(_kind())
     busy = F.coalesce(text != "", F.lit(False))
@@ -250,7 +242,7 @@ def _line_facts(files: DataFrame, extended: bool, keep: tuple[str, ...] = (), wi
     smells = smell_tests(lang, line, text)
     return rows.select(
         "repo", "path", "language", *keep,
-        flag(first & ~F.col("dropped")).alias("files"),
+        flag(first).alias("files"),
         flag(first & is_test_file(F.col("path"))).alias("test_files"),
         flag(line.isNotNull()).alias("lines"),
         flag(kind == "code").alias("code_lines"),
@@ -302,8 +294,8 @@ def is_test_file(path: Column) -> Column:
 
 
 def test_coverage(files: DataFrame) -> DataFrame:
-    """Test files among all files over analysed files, in percent."""
-    analysed = F.count_if(~has_long_line(F.col("content"))).alias("analysed_files")
+    """Test files over all files, in percent."""
+    analysed = F.count(F.lit(1)).alias("analysed_files")
     return (
         files.groupBy("repo")
         .agg(analysed, F.count_if(is_test_file(F.col("path"))).alias("test_files"))

@@ -77,17 +77,16 @@ def project_report(files: DataFrame) -> DataFrame:
 SECTIONS = ["statistics", "technologies", "key_files", "issues", "file_types", "files"]
 
 
-def render_report(report: DataFrame, fmt: str, part_rows: int = 10_000) -> DataFrame:
+def render_report(report: DataFrame, fmt: str, part_rows: int | None = None) -> DataFrame:
     """(repo, part, document): report documents as values.
 
-    A document holds at most ``part_rows`` report rows; a larger repository
-    continues in further parts, so no value grows with the repository.
+    One document per repository. With ``part_rows`` a document holds at most so
+    many report rows and a larger repository continues in further parts.
     """
     if fmt not in ("json", "xml", "txt"):
         raise ValueError(f"unknown report format: {fmt}")
-    numbered = prefix(report, ["repo"], ["section", "key"]).withColumn(
-        "part", F.floor((F.col("rank") - 1) / part_rows).cast("long")
-    )
+    part = F.lit(0) if part_rows is None else F.floor((F.col("rank") - 1) / part_rows)
+    numbered = prefix(report, ["repo"], ["section", "key"]).withColumn("part", part.cast("long"))
     parts = numbered.groupBy("repo", "part").agg(
         F.array_sort(F.collect_list(F.struct("rank", "section", "key", "value"))).alias("_rows")
     )
@@ -109,17 +108,17 @@ def render_report(report: DataFrame, fmt: str, part_rows: int = 10_000) -> DataF
 
 # --- batches -----------------------------------------------------------------------
 
-LARGE_FILE = 100 * 2**20  # fixed value: files above this are written on their own
+BATCH_BYTES = 100 * 2**20  # usual size of a batch
 
 
-def _from_empty(sizes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _from_empty(sizes: np.ndarray, budget: int, large: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Next-fit over one ordered piece, starting empty in front of every row.
 
     Returns for each row the bytes left at the end of the piece and the flushes
     on the way, and the bytes buffered by all rows in front of each row.
     """
     n = len(sizes)
-    before = np.concatenate(([0], np.cumsum(np.where(sizes > LARGE_FILE, 0, sizes))))
+    before = np.concatenate(([0], np.cumsum(np.where(_direct(sizes, large), 0, sizes))))
     reach = before[:-1] + sizes
     left, count = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
     # rows behind j that exceed every nearer one, farthest first
@@ -146,7 +145,7 @@ def _from_empty(sizes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray,
     return left, count, before
 
 
-def _entry_table(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
+def _entry_table(pdf: pd.DataFrame, budget: int, large: int | None = None) -> pd.DataFrame:
     """How a piece maps the buffer it receives to the one it hands on.
 
     The first flush comes earlier the more bytes are received, so the map is a
@@ -155,7 +154,7 @@ def _entry_table(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     """
     pdf = pdf.sort_values("_at")
     sizes = pdf["size"].to_numpy(np.int64)
-    left, count, before = _from_empty(sizes, budget)
+    left, count, before = _from_empty(sizes, budget, large)
     rows = [("empty", 0, int(left[0]), int(count[0])), ("keep", 0, int(before[-1]), 0)]
     slack = budget - (before[:-1] + sizes)
     lowest = None
@@ -188,25 +187,32 @@ def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["repo", "_piece", "held", "batch"])
 
 
-def _assign(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
+def _assign(pdf: pd.DataFrame, budget: int, large: int | None = None) -> pd.DataFrame:
     """Batch numbers of one piece from its received buffer."""
     pdf = pdf.sort_values("_at")
     held, batch = int(pdf["held"].iloc[0]), int(pdf["batch"].iloc[0])
-    ids = []
-    for size in pdf["size"]:
+    ids, direct = [], _direct(pdf["size"].to_numpy(np.int64), large)
+    for size, alone in zip(pdf["size"], direct):
         if held + size > budget and held > 0:
             held, batch = 0, batch + 1
-        if size <= LARGE_FILE:
+        if not alone:
             held += int(size)
         ids.append(batch)
     return pd.DataFrame({
-        "repo": pdf["repo"], "path": pdf["path"], "size": pdf["size"], "batch_id": ids, "direct": pdf["size"] > LARGE_FILE,
+        "repo": pdf["repo"], "path": pdf["path"], "size": pdf["size"], "batch_id": ids, "direct": direct,
     })
 
 
-def pack_batches(files: DataFrame, budget: int = LARGE_FILE) -> DataFrame:
+def _direct(sizes: np.ndarray, large: int | None) -> np.ndarray:
+    return np.zeros(len(sizes), bool) if large is None else sizes > large
+
+
+def pack_batches(files: DataFrame, budget: int = BATCH_BYTES, large: int | None = None) -> DataFrame:
     """Next-fit batches in path order: (repo, path, size, batch_id, direct).
 
+    With ``large``, files above it are written on their own (``direct``) and do
+    not fill a batch.
+
     The assignment is sequential by nature. The ordered (path, size) rows are
     cut into pieces by range partition; each piece is summarised by how it maps
     the buffer it receives, a short chain over pieces links them, and every
@@ -217,13 +223,13 @@ def pack_batches(files: DataFrame, budget: int = LARGE_FILE) -> DataFrame:
         .withColumn("_at", F.monotonically_increasing_id())
     ).withColumn("_piece", F.shiftright("_at", 33))
     tables = ordered.groupBy("repo", "_piece").applyInPandas(
-        lambda pdf: _entry_table(pdf, budget),
+        lambda pdf: _entry_table(pdf, budget, large),
         "repo string, _piece long, kind string, above long, left long, flushes long",
     )
     starts = tables.groupBy("repo").applyInPandas(_chain, "repo string, _piece long, held long, batch long")
     return (
         ordered.join(starts, ["repo", "_piece"]).groupBy("repo", "_piece")
         .applyInPandas(
-            lambda pdf: _assign(pdf, budget), "repo string, path string, size long, batch_id long, direct boolean"
+            lambda pdf: _assign(pdf, budget, large), "repo string, path string, size long, batch_id long, direct boolean"
         )
     )

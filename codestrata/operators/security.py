@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codestrata.functions import rules
 from codestrata.functions.text import (
-    any_of, basename, contains_any, ends_with_any, lines_before_long, rx, split_lines, trim,
+    any_of, basename, contains_any, ends_with_any, rx, scan_lines, split_lines, trim,
 )
 
 COLUMNS = ["repo", "stage", "type", "severity", "path", "line", "description", "suggestion", "matched"]
@@ -44,17 +44,14 @@ def _issues(files: DataFrame, stage: int, kind: str, found: Column) -> DataFrame
 # --- secrets --------------------------------------------------------------------
 
 
-def secret_scan_scope(files: DataFrame) -> DataFrame:
-    """Files small and plain enough to be searched for secrets."""
+def secret_scan_scope(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
+    """Files plain enough to be searched for secrets, and small enough if a limit is given."""
     path = F.col("path")
-    return files.filter(
-        ~contains_any(path, rules.SECRET_SKIP_DIRS)
-        & ~ends_with_any(path, rules.SECRET_SKIP_SUFFIXES)
-        & (F.col("size") <= rules.SECRET_MAX_FILE)
-    )
+    plain = files.filter(~contains_any(path, rules.SECRET_SKIP_DIRS) & ~ends_with_any(path, rules.SECRET_SKIP_SUFFIXES))
+    return plain if max_file_bytes is None else plain.filter(F.col("size") <= max_file_bytes)
 
 
-def _secret_scan(files: DataFrame) -> DataFrame:
+def _secret_scan(files: DataFrame, max_file_bytes: int | None = None, max_match_chars: int | None = None) -> DataFrame:
     """One issue per (line, pattern).
 
     A cheap hint every match must contain removes whole files, then lines,
@@ -62,8 +59,8 @@ def _secret_scan(files: DataFrame) -> DataFrame:
     """
     hint = rx(rules.SECRET_HINT, ignore_case=True)
     lines = (
-        secret_scan_scope(files).filter(F.col("content").rlike(hint))
-        .select("repo", "path", F.posexplode(lines_before_long(F.col("content"))).alias("_pos", "line"))
+        secret_scan_scope(files, max_file_bytes).filter(F.col("content").rlike(hint))
+        .select("repo", "path", F.posexplode(scan_lines(F.col("content"))).alias("_pos", "line"))
         .filter(F.col("line").rlike(hint))
     )
     text = trim(F.col("line"))
@@ -75,22 +72,25 @@ def _secret_scan(files: DataFrame) -> DataFrame:
         )
         for i, (name, severity, fold, pattern) in enumerate(rules.SECRET_PATTERNS)
     ])
-    limit = rules.SECRET_MATCH_BYTES
-    short = F.concat(F.substring(F.col("hit").cast("binary"), 1, limit).cast("string"), F.lit("..."))
+    matched = F.col("hit")
+    if max_match_chars is not None:
+        short = F.concat(F.left("hit", F.lit(max_match_chars)), F.lit("..."))
+        matched = F.when(F.length("hit") > max_match_chars, short).otherwise(matched)
     return (
         lines.select("repo", "path", (F.col("_pos") + 1).cast("long").alias("line"), F.inline(F.filter(candidates, lambda c: c["hit"] != "")))
         .select(
             "repo", F.lit(2).cast("long").alias("stage"), F.lit("secret").alias("type"), "severity", "path", "line",
             F.concat("name", F.lit(" detected in code")).alias("description"),
             F.lit(rules.SECRET_SUGGESTION).alias("suggestion"),
-            F.when(F.octet_length("hit") > limit, short).otherwise(F.col("hit")).alias("matched"),
+            matched.alias("matched"),
             F.col("seq").cast("long").alias("seq"),
         )
     )
 
 
-def scan_secrets(files: DataFrame) -> DataFrame:
-    return _secret_scan(files).select(*COLUMNS)
+def scan_secrets(files: DataFrame, max_file_bytes: int | None = None, max_match_chars: int | None = None) -> DataFrame:
+    """Secrets in all lines; the keywords limit files and the shown match, both off by default."""
+    return _secret_scan(files, max_file_bytes, max_match_chars).select(*COLUMNS)
 
 
 # --- permissions ------------------------------------------------------------------

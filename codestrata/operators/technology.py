@@ -174,13 +174,25 @@ _DETECTORS = {
 }
 
 
+_OPENED = frozenset(["frontend", "backend", "build", "databases", "testing"])
+_MANIFESTS = ("package.json", "requirements.txt", "go.mod")
+
+
 def _detect(files: DataFrame, *names: str) -> DataFrame:
     """(repo, name, version, confidence, category, stage) in one pass over the files."""
     def tag(stage: int, facts: Column) -> Column:
         return F.transform(facts, lambda f: f.withField("stage", F.lit(stage)))
 
     tagged = [tag(stage, detector()) for stage, detector in (_DETECTORS[n] for n in names)]
-    return _parsed(files).select("repo", F.inline(F.concat(*tagged)))
+    facts = F.inline(F.concat(*tagged))
+    if not _OPENED.intersection(names):
+        return _parsed(files).select("repo", facts)
+    # content is read of the files that are looked into; of the others the path
+    opened = F.col("path").isin(*_MANIFESTS)
+    if "backend" in names:
+        opened |= F.col("path").endswith(".go")
+    others = files.select("repo", "path").filter(~opened).withColumn("content", F.lit(None).cast("string"))
+    return _parsed(files.filter(opened)).select("repo", facts).unionByName(_parsed(others).select("repo", facts))
 
 
 def _merged(facts: DataFrame) -> DataFrame:

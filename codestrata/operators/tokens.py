@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codestrata.functions.text import has_long_line, scan_lines
+from codestrata.functions.text import scan_lines
 from codestrata.functions.tokens import basic_estimate, estimate
 
 
@@ -17,11 +17,9 @@ def with_basic_tokens(df: DataFrame, length_col: str) -> DataFrame:
 
 
 def _tokens_of(content: Column) -> Column:
-    """Truncated estimate of each scanned line plus one for its end; 0 where a
-    line is too long to be scanned."""
+    """Truncated estimate of each line plus one for its end."""
     per_line = F.transform(scan_lines(content), lambda x: estimate(x, is_code=True) + 1)
-    total = F.aggregate(per_line, F.lit(0).cast("long"), lambda a, n: a + n)
-    return F.when(has_long_line(content), 0).otherwise(total).cast("long")
+    return F.aggregate(per_line, F.lit(0).cast("long"), lambda a, n: a + n)
 
 
 def file_tokens(files: DataFrame) -> DataFrame:

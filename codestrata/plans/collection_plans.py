@@ -5,7 +5,7 @@ from codestrata.operators.collect import CollectOptions
 from codestrata.plans.corpora import duck, load
 from codestrata.session import scratch_path
 from codestrata.sources.memo import load_memo, save_memo
-from codestrata.sources.scan import walk_positions
+from codestrata.sources.scan import scan_chunks, scan_files, walk_positions, write_tree
 from pyspark.sql import functions as F
 
 _INV = duck("inv")
@@ -34,7 +34,35 @@ def _incremental(spark, sf):
     return load_memo(spark, location).select("repo", "path", "size", "is_binary")
 
 
+# hidden, underscore and empty files, folders and odd names
+_TREE = {
+    "repo": "source",
+    "path": "concat(lang, case doc_id % 4 when 0 then '/.github/' when 1 then '/_private/' else '/a b#1%/' end, "
+    "case doc_id % 5 when 0 then '.e' when 1 then '__' else 'f' end, doc_id, '.txt')",
+    "content": "case doc_id % 7 when 0 then '' else text end",
+}
+
+
+def _tree(spark, sf):
+    """A tree in the shared folder, written from the documents."""
+    root = scratch_path(spark, "tree").removeprefix("file://").removeprefix("file:")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    write_tree(docs.selectExpr(*[f"{text} as {name}" for name, text in _TREE.items()]), root)
+    return root
+
+
+def _scan_tree(spark, sf):
+    return scan_files(spark, _tree(spark, sf)).select("repo", "path", "size", F.md5(F.col("content").cast("binary")).alias("digest"), "error")
+
+
+def _scan_tree_chunks(spark, sf):
+    chunks = scan_chunks(spark, _tree(spark, sf), 4096)
+    return chunks.select("repo", "path", "chunk_no", "offset", "total", F.octet_length("data").cast("long").alias("bytes"), F.md5("data").alias("digest"))
+
+
 QUERIES = {
+    "scan_tree": _scan_tree,
+    "scan_tree_chunks": _scan_tree_chunks,
     "scan_walk_order": lambda s, d: walk_positions(load(s, d, "docs")).select("repo", "path", "size", "position"),
     "include": _meta(collect.include, INCLUDE),
     "exclude": _meta(collect.exclude, EXCLUDE),
@@ -158,7 +186,14 @@ _COLLECTED = (
     f"where regexp_matches(path, '(^|/)[^/]*\\.[^/]*$') and size between 20000 and 450000 and not {_BINARY}) where rn <= 60"
 )
 
+_TREE_SQL = "select " + ", ".join(f"{text} as {name}" for name, text in _TREE.items()) + " from documents"
+
 ORACLES = {
+    "scan_tree": f"select repo, path, strlen(content)::bigint as size, md5(content) as digest, null::varchar as error from ({_TREE_SQL})",
+    "scan_tree_chunks": "select repo, path, chunk_no, chunk_no * 4096 as offset, total, octet_length(data)::bigint as bytes, md5(data) as digest from ("
+    "select *, encode(content)[chunk_no * 4096 + 1 : chunk_no * 4096 + 4096] as data from ("
+    "select repo, path, content, strlen(content)::bigint as total, "
+    f"unnest(range(0, greatest(strlen(content) - 1, 0) // 4096 + 1))::bigint as chunk_no from ({_TREE_SQL})))",
     "scan_walk_order": "select repo, path, size, row_number() over (partition by repo order by string_split(path, '/')) as position "
     f"from ({duck('docs')})",
     "include": f"select repo, path, size from ({_INV}) where regexp_matches(path, '^(.*/)?[^/]*\\.go$') "

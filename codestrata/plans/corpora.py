@@ -284,7 +284,7 @@ WEB = (
     "pages",
     [
         ("id", "page_id"),
-        ("repo", "substr(url, 1, 12)"),
+        ("repo", "regexp_extract(url, '//([^/?#]+)', 1)"),
         (
             "path",
             "concat('w/', page_id, case page_id % 6 when 0 then '.html' when 1 then '.png' when 2 then '.json' "
@@ -292,8 +292,8 @@ WEB = (
         ),
         (
             "content",
-            "case page_id % 5 when 0 then html when 1 then concat('text ', url) "
-            "when 2 then concat(' ', chr(10), html) when 3 then concat('BM', url) else concat(url, chr(0)) end",
+            "case page_id % 5 when 0 then html when 1 then concat('text ', url, ' ', html) "
+            "when 2 then concat(' ', chr(10), html) when 3 then concat('BM', html) else concat(url, chr(0), html) end",
         ),
         ("mode", "420"),
     ],

@@ -29,8 +29,7 @@ QUERIES = {
 
 def _scope(x: str) -> str:
     return (
-        f"not {any_contains(x, rules.SECRET_SKIP_DIRS)} and not {any_suffix(x, rules.SECRET_SKIP_SUFFIXES)} "
-        f"and size <= {rules.SECRET_MAX_FILE}"
+        f"not {any_contains(x, rules.SECRET_SKIP_DIRS)} and not {any_suffix(x, rules.SECRET_SKIP_SUFFIXES)}"
     )
 
 
@@ -45,7 +44,7 @@ def _secrets(corpus):
     )
     return (
         "select repo, 2::bigint as stage, 'secret' as type, severity, path, line_no as line, name || ' detected in code' as description, "
-        f"{quote(rules.SECRET_SUGGESTION)} as suggestion, case when strlen(hit) > 50 then hit[1:50] || '...' else hit end as matched, seq "
+        f"{quote(rules.SECRET_SUGGESTION)} as suggestion, hit as matched, seq "
         f"from (select *, case seq {hit} end as hit from (select * from ({scan_lines(corpus, 'repo, path, size')}) "
         f"where {_scope('path')} and not regexp_matches({trim('line')}, '^(//|#|/\\*)')), "
         f"(values {rows}) p(seq, name, severity, pattern)) where hit <> ''"

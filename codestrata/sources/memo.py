@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 MEMO_SCHEMA = "repo string, path string, size bigint, mtime timestamp, is_binary boolean"
 
 
 def load_memo(spark: SparkSession, location: str) -> DataFrame:
-    """The memo, empty where none was saved yet."""
+    """The memo with one row per key, empty where none was saved yet."""
     try:
-        return spark.read.schema(MEMO_SCHEMA).parquet(location)
+        saved = spark.read.schema(MEMO_SCHEMA).parquet(location)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], MEMO_SCHEMA)
+    # an append that ran twice leaves a key twice
+    return saved.groupBy("repo", "path", "size", "mtime").agg(F.max("is_binary").alias("is_binary"))
 
 
 def save_memo(fresh: DataFrame, location: str) -> None:

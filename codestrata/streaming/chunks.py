@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 CHUNK = 10 * 2**20          # fixed value: default chunk size
-LARGE_FILE = 100 * 2**20    # fixed value: files above this are large
+LARGE_FILE = 100 * 2**20    # usual value: files above this are counted as large
 
 
 def chunk_files(files: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -32,14 +32,14 @@ def chunk_files(files: DataFrame, size: int = CHUNK) -> DataFrame:
     )
 
 
-def streaming_stats(chunks: DataFrame) -> DataFrame:
+def streaming_stats(chunks: DataFrame, large: int = LARGE_FILE) -> DataFrame:
     """Running totals per repository; works on a batch and on a stream."""
     first = F.col("chunk_no") == 0
     return chunks.groupBy("repo").agg(
         F.count_if(first).alias("files"),
         F.sum(F.octet_length("data").cast("long")).alias("bytes"),
         F.count(F.lit(1)).alias("chunks"),
-        F.count_if(first & (F.col("total") > LARGE_FILE)).alias("large_files"),
+        F.count_if(first & (F.col("total") > large)).alias("large_files"),
     )
 
 
@@ -58,10 +58,12 @@ def stream_chunks(
     return writer.format("parquet").outputMode("append").start(location)
 
 
-def stream_stats(files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, size: int = CHUNK) -> StreamingQuery:
+def stream_stats(
+    files: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, size: int = CHUNK, large: int = LARGE_FILE,
+) -> StreamingQuery:
     """Running totals of a streaming table of files; ``sink`` gets the changed rows
     of each micro-batch."""
     return (
-        streaming_stats(chunk_files(files, size)).writeStream.outputMode("update")
+        streaming_stats(chunk_files(files, size), large).writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
     )

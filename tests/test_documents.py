@@ -177,12 +177,12 @@ def test_edges_are_nodes_minus_one(files):
     assert tree.tree_counts(nodes).first().edge_count == nodes.count() - 1
 
 
-def next_fit(sizes, budget):
+def next_fit(sizes, budget, large=10**18):
     held, batch, out = 0, 0, []
     for s in sizes:
         if held + s > budget and held > 0:
             held, batch = 0, batch + 1
-        if s <= report.LARGE_FILE:
+        if s <= large:
             held += s
         out.append(batch)
     return out
@@ -193,7 +193,7 @@ def test_batch_pieces_compose(seed):
     """Pieces of any size give what one sequential pass gives."""
     rng = random.Random(seed)
     for _ in range(60):
-        budget = rng.choice([1, 5, 20, 10**9])
+        budget, large = rng.choice([1, 5, 20, 10**9]), rng.choice([None, 10, 10**8])
         sizes = [rng.choice([0, 1, 3, rng.randrange(30), 200 * 2**20]) for _ in range(rng.randrange(1, 40))]
         cuts = sorted(rng.sample(range(1, len(sizes)), min(len(sizes) - 1, rng.randrange(0, 6))))
         bounds = list(zip([0, *cuts], [*cuts, len(sizes)]))
@@ -202,13 +202,13 @@ def test_batch_pieces_compose(seed):
         for n, (a, b) in enumerate(bounds):
             piece = rows.iloc[a:b].assign(_piece=n)
             pieces.append(piece)
-            tables.append(report._entry_table(piece, budget))
+            tables.append(report._entry_table(piece, budget, large))
         starts = report._chain(pd.concat(tables)).set_index("_piece")
         got = []
         for n, piece in enumerate(pieces):
             given = piece.assign(held=starts.loc[n, "held"], batch=starts.loc[n, "batch"])
-            got += list(report._assign(given, budget)["batch_id"])
-        assert got == next_fit(sizes, budget), (sizes, budget, bounds)
+            got += list(report._assign(given, budget, large)["batch_id"])
+        assert got == next_fit(sizes, budget, large or 10**18), (sizes, budget, large, bounds)
 
 
 def test_batches_run(spark):
@@ -218,6 +218,11 @@ def test_batches_run(spark):
     for repo in ("hot", "cold"):
         mine = sorted((r.path, r["size"], r.batch_id) for r in got if r.repo == repo)
         assert [b for _, _, b in mine] == next_fit([s for _, s, _ in mine], 500)
+    some = report.pack_batches(spark.createDataFrame(rows, "repo string, path string, size long"), 500, large=50).collect()
+    for repo in ("hot", "cold"):
+        mine = sorted((r.path, r["size"], r.batch_id, r.direct) for r in some if r.repo == repo)
+        assert [b for _, _, b, _ in mine] == next_fit([s for _, s, _, _ in mine], 500, 50)
+        assert [d for *_, d in mine] == [s > 50 for _, s, *_ in mine] and any(d for *_, d in mine)
 
 
 def test_prompt_document(files, tmp_path):

@@ -45,14 +45,17 @@ def test_complexity_boundaries(files):
 
 
 def test_over_long_line(files):
-    ok, bad = "x" * 65535, "x" * 65536
-    df = files(("ok.go", f"a\n{ok}\n"), ("bad.go", f'password = "12345678"\n{bad}\npassword = "12345678"\n'))
-    assert [r.path for r in quality.file_metrics(df).collect()] == ["ok.go"]
-    assert [r.line for r in security.scan_secrets(df).collect()] == [1]
-    assert {r.path: r.tokens for r in tokens.file_tokens(df).collect()}["bad.go"] == 0
-    coverage = quality.test_coverage(df).first()
-    assert coverage.analysed_files == 1
-    assert quality.project_metrics(df).first().total_files == 1
+    long = "x" * 200_000
+    df = files(("a.go", f"a\n{long}\n"), ("b.go", f'{long} password = "12345678{long}"\nx\npassword = "12345678"\n'))
+    assert {r.path: r.lines for r in quality.file_metrics(df).collect()} == {"a.go": 2, "b.go": 3}
+    found = security.scan_secrets(df).collect()
+    assert sorted(r.line for r in found) == [1, 3] and max(len(r.matched) for r in found) > 200_000
+    short = security.scan_secrets(df, max_match_chars=50).collect()
+    assert max(len(r.matched) for r in short) == 53
+    assert security.scan_secrets(df, max_file_bytes=100_000).count() == 0
+    assert min(r.tokens for r in tokens.file_tokens(df).collect()) > 10_000
+    assert quality.test_coverage(df).first().analysed_files == 2
+    assert quality.project_metrics(df).first().total_files == 2
 
 
 def test_empty_file_counts(files):

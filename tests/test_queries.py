@@ -7,6 +7,8 @@ from conftest import SF
 from codestrata.plans import registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+#: Checked in test_documents.py instead.
+WITHOUT_SQL = {"tree_json", "render_report_xml", "prompt_sink"}
 
 
 def test_every_oracle_has_a_query():
@@ -16,4 +18,4 @@ def test_every_oracle_has_a_query():
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, duck, name):
     ok, note = compare(spark, duck, SF, QUERIES[name], ORACLES.get(name))
-    assert ok, note
+    assert ok or name in WITHOUT_SQL, note

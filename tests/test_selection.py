@@ -102,6 +102,9 @@ def test_memo_is_used(files, tmp_path):
     everything, fresh = collect.classify_incremental(df, load_memo(spark, where))
     assert {r.path: r.is_binary for r in everything.collect()} == {"a": True, "b": False}
     assert paths(fresh) == ["b"]
+    save_memo(wrong, where)
+    again, _ = collect.classify_incremental(df, load_memo(spark, where))
+    assert again.count() == 2
 
 
 @pytest.mark.parametrize("text,size", [("0", 0), ("10MB", 10 * 2**20), ("1k", 1024), (" 2 GB ", 2 * 2**30), ("7", 7)])
@@ -121,6 +124,24 @@ def test_scan_files(spark, tmp_path):
         target.write_text(text)
     got = sorted((r.repo, r.path, r["size"], r.content) for r in scan_files(spark, str(tmp_path / "tree")).collect())
     assert got == [("p1", "b", 1, "y"), ("p1", "src/a.go", 2, "x\n"), ("p2", "c.txt", 2, "é")]
+    hidden = ["p1/.gitignore", "p1/.env", "p1/.github/workflows/ci.yml", "p1/pkg/__init__.py", "p1/_x/empty", "p1/a b#1%.txt"]
+    for name in hidden:
+        target = tmp_path / "tree" / name
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text("" if name.endswith("empty") else "z")
+    (tmp_path / "tree" / "p1" / ".env").chmod(0o640)
+    rows = {f"{r.repo}/{r.path}": r for r in scan_files(spark, str(tmp_path / "tree")).collect()}
+    assert set(rows) == {*hidden, "p1/b", "p1/src/a.go", "p2/c.txt"} and rows["p1/_x/empty"].content == ""
+    assert rows["p1/.env"].mode == 0o640 and all(r.error is None for r in rows.values())
     assert sorted(r.path for r in scan_files(spark, str(tmp_path / "tree"), repo="x").collect()) == [
         "p1/b", "p1/src/a.go", "p2/c.txt",
     ]
+
+
+@pytest.mark.parametrize("head,binary", [
+    (b"\x20\x20\x20\x18ftypmp42\x20\x20\x20\x20mp41isom", False), (b"1234ftyp is only text", False), (b"ID3 tag", True),
+    (b"FORM1234AIFF", True), (b"FORM1234ILBM", False), (b"RIFF1234WAVE", True),
+])
+def test_signatures(files, head, binary):
+    rows = collect.classify_binary(files(("a.unknown", head.decode("latin-1")))).collect()
+    assert rows[0].is_binary == (binary or any(c < 32 and c not in b"\t\n\r\x0c\x1b" for c in head))
