@@ -362,7 +362,7 @@ def test_simhash_equals_all_pairs(which, request):
     assert got == want
 
 
-@pytest.mark.parametrize("bucket_rows", [4, 64, 2048])
+@pytest.mark.parametrize("bucket_rows", [4, 2048])
 def test_links_lose_nothing_in_crowded_buckets(spark, bucket_rows):
     rng = np.random.default_rng(bucket_rows)
     base = rng.integers(0, 2**63, 6, dtype=np.uint64)
