@@ -91,6 +91,7 @@ _RANKED = f"select *, row_number() over (partition by repo order by section, key
 
 ORACLES = {
     "prompt_text": _PROMPT,
+    "prompt_sink": f"select repo, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) as line from ({_on(_PROMPT, 'docs', 'code')})",
     "project_report": _report("code"),
     "render_report_json": f"select repo, 0::bigint as part, json_object('name', repo, 'part', 0, {_PAIRS})::varchar as document from ({_report('docs')}) group by repo",
     "render_report_txt": "select repo, part, 'PROJECT: ' || repo || chr(10) || string_agg(section || ': ' || key || ' ' || value, chr(10) order by rank) as document "

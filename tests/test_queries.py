@@ -8,7 +8,7 @@ from codestrata.plans import registry
 
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 #: Checked in test_documents.py instead.
-WITHOUT_SQL = {"tree_json", "render_report_xml", "prompt_sink"}
+WITHOUT_SQL = {"tree_json", "render_report_xml"}
 
 
 def test_every_oracle_has_a_query():
