@@ -179,7 +179,8 @@ def mix_rows(documents: DataFrame, entropy: float | None = None, repeats: float
     counted = documents.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
     unique = counted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens"))
     times = mix(unique, entropy, repeats, tokens).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    times = stage(times).withColumnRenamed("doc_id", "_id")
+    # grows with the documents, so it is merged at every size and never broadcast
+    times = stage(times).withColumnRenamed("doc_id", "_id").hint("merge")
     return (
         documents.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))

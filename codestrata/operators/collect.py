@@ -7,6 +7,7 @@ bytes. Selections return metadata; join them back to content when needed.
 from __future__ import annotations
 
 import dataclasses
+import re
 from itertools import groupby
 
 import pandas as pd
@@ -16,6 +17,7 @@ from codestrata.functions import rules
 from codestrata.functions.globs import ignore_rule, path_glob, python_regex
 from codestrata.functions.text import any_of, extension, split_lines, trim
 from codestrata.operators.ordering import first_n, prefix
+from codestrata.session import stage
 
 
 def include(files: DataFrame, patterns: list[str]) -> DataFrame:
@@ -93,49 +95,64 @@ def _pattern_array() -> Column:
     return F.filter(lines, lambda p: (p != "") & ~p.startswith("#"))
 
 
-_RULES = T.ArrayType(
-    T.StructType([
-        T.StructField("exclude", T.BooleanType()),
-        T.StructField("on_file", T.StringType()),
-        T.StructField("on_dir", T.StringType()),
-    ])
-)
+def _compiled(patterns: list[str], on_dir: bool) -> list[tuple[bool, re.Pattern]]:
+    """Rules in the order they decide, neighbours of the same sign as one alternation."""
+    rules_ = reversed([ignore_rule(p) for p in patterns])
+    return [
+        (exclude_, python_regex("|".join(f"(?:{r.on_dir if on_dir else r.on_file})" for r in group)))
+        for exclude_, group in groupby(rules_, key=lambda r: r.exclude)
+    ]
 
 
-@F.pandas_udf(_RULES)
-def _compile_rules(patterns: pd.Series) -> pd.Series:
-    return patterns.map(lambda ps: [ignore_rule(p)._asdict() for p in ps])
+def _first(compiled: list[tuple[bool, re.Pattern]], path: str) -> bool | None:
+    return next((exclude_ for exclude_, rule in compiled if rule.search(path)), None)
 
 
-def _decide_by(path: Column, table: Column, field: str) -> Column:
-    """Last matching entry of a per-repository rule array."""
-    return F.aggregate(
-        table, F.lit(None).cast("boolean"),
-        lambda seen, rule: F.when(F.rlike(path, rule[field]), rule["exclude"]).otherwise(seen),
-    )
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def _own_decisions(paths: pd.Series, patterns: pd.Series) -> pd.Series:
+    """Decisions of a repository's own rules for the root, the file and each directory above it.
+
+    Rules are compiled once per repository and batch, a directory is decided once.
+    """
+    known: dict[tuple[str, ...], tuple] = {}
+    out = []
+    for path, own in zip(paths, patterns):
+        if own is None or path is None:
+            out.append(None)
+            continue
+        key = tuple(own)
+        if key not in known:
+            known[key] = _compiled(list(own), False), _compiled(list(own), True), {}
+        on_file, on_dir, seen = known[key]
+        parts = path.split("/")
+        row = []
+        for folder in [".", *("/".join(parts[:n]) for n in range(1, len(parts)))]:
+            if folder not in seen:
+                seen[folder] = _first(on_dir, folder)
+            row.append(seen[folder])
+        out.append([row[0], _first(on_file, path), *row[1:]])
+    return pd.Series(out, dtype=object)
 
 
 def exclude_by_repo(files: DataFrame, ignore_files: DataFrame, patterns: list[str] = ()) -> DataFrame:
     """Common ``patterns`` first, then each repository's own ignore file.
 
     ``ignore_files`` has one row per repository at most, so the join adds one
-    rule array to each file; AQE broadcasts it when small and splits a
+    list of patterns to each file; AQE broadcasts it when small and splits a
     repository with very many files when not.
     """
     patterns = list(patterns)
-    own = ignore_files.filter(F.col("path") == ".gitignore").select(
-        "repo", _compile_rules(_pattern_array()).alias("_rules")
+    own = ignore_files.filter(F.col("path") == ".gitignore").select("repo", _pattern_array().alias("_patterns"))
+    common = F.concat(
+        F.array(_decide(F.lit("."), patterns, True), _decide(F.col("path"), patterns, False)),
+        F.transform(ancestors(F.col("path")), lambda d: _decide(d, patterns, True)),
     )
-
-    def decide(path: Column, on_dir: bool) -> Column:
-        common = _decide(path, patterns, on_dir)
-        mine = _decide_by(path, F.col("_rules"), "on_dir" if on_dir else "on_file")
-        return F.coalesce(mine, common, F.lit(False))
-
-    hidden = decide(F.lit("."), True) | decide(F.col("path"), False) | F.exists(
-        ancestors(F.col("path")), lambda d: decide(d, True)
+    mine = F.coalesce(F.col("_own"), F.array().cast("array<boolean>"))  # zip_with fills up with nulls
+    hidden = F.exists(F.zip_with(mine, common, lambda m, c: F.coalesce(m, c, F.lit(False))), lambda x: x)
+    return (
+        files.join(own, "repo", "left").withColumn("_own", _own_decisions(F.col("path"), F.col("_patterns")))
+        .filter(~hidden).drop("_patterns", "_own")
     )
-    return files.join(own, "repo", "left").filter(~hidden).drop("_rules")
 
 
 # --- sizes and limits ---------------------------------------------------------
@@ -301,4 +318,6 @@ def collect(files: DataFrame, options: CollectOptions = CollectOptions()) -> Dat
     chosen = chosen.filter(~binary_test(F.col("path"), F.col("content"))).select("repo", "path", "size")
     if options.use_ignore_files:
         chosen = exclude_by_repo(chosen, files, patterns)
+    # what reads content runs once; ranks and sums work on the narrow staged rows
+    chosen = stage(chosen)
     return fit_budget(limit_files(chosen, options.max_files), options.max_total_size)
