@@ -20,22 +20,32 @@ SEED = 42
 ROW_COST, PAIR_COST = 1.0, 0.01
 
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """Majority bits of the XXH64 hashes of word shingles, as an unsigned integer.
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 hashes of the word shingles of a text, repeats included.
 
     Upper-case A-Z are lowered, words end at ASCII white space. Fewer words than
-    ``shingle`` give one shingle of all of them; no word gives zero.
+    ``shingle`` give one shingle of all of them; no word gives none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     n = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[: n - 1] + 1)).tolist()
     stops = ends[-n:].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """Majority bits of the shingle hashes, as an unsigned integer; zero without words."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits that more than half of the hashes have."""
+    n = len(hashes)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -43,6 +53,20 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def minimum_bits(distinct: np.ndarray) -> int:
+    """One bit of the least hash in each of 64 bins, for sorted distinct hashes.
+
+    An empty bin takes the bit of the next that is not. Two sets of similarity J
+    agree in about (1 + J) / 2 of the bits.
+    """
+    if not len(distinct):
+        return 0
+    bins = np.arange(BITS, dtype=np.uint64) << np.uint64(58)
+    least = distinct[np.searchsorted(distinct, bins) % len(distinct)]
+    mixed = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    return int(np.packbits(mixed.astype(np.uint8), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(documents: DataFrame, shingle: int = 5) -> DataFrame:
     """(doc_id, fp): the fingerprint's bits as a signed long, one row per document."""
 
@@ -167,26 +191,38 @@ def _probes(bits: list[int], threshold: int) -> list[int]:
     return [_mask(list(c)) for d in range(threshold + 1) for c in combinations(bits, d)]
 
 
-def forest(fp: np.ndarray, home: np.ndarray, side: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
+def forest(
+    fp: np.ndarray, home: np.ndarray, side: np.ndarray | None, distance: int, here: np.ndarray | None = None,
+    check: np.ndarray | None = None, check_distance: int = 0,
+) -> list[tuple[int, int]]:
     """Index pairs that connect what is linked in one group, fewer than its rows.
 
     A pair counts if it is within ``distance``, one of the two is at home in the
-    group and, given sides, the sides differ.
+    group and, given sides, the sides differ; given ``here``, one of the two must
+    belong to the band; given ``check``, these bits must be near as well.
     """
-    left = np.arange(len(fp))
     out: list[tuple[int, int]] = []
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         hit = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= distance
+        if not hit.any():
+            return hit
         hit &= home[a][:, None] | home[b][None, :]
         if side is not None:
             hit &= side[a][:, None] != side[b][None, :]
+        if here is not None:
+            hit &= here[a][:, None] | here[b][None, :]
+        if check is not None:
+            hit &= np.bitwise_count(check[a][:, None] ^ check[b][None, :]) <= check_distance
         return hit
 
-    if len(left) <= 512:
-        hit = near(left, left)
-        np.fill_diagonal(hit, False)
-        left = np.flatnonzero(hit.any(1))
+    everyone, linked = np.arange(len(fp)), np.zeros(len(fp), bool)
+    for k in range(0, len(fp), 256):
+        some = everyone[k : k + 256]
+        hit = near(some, everyone)
+        hit[np.arange(len(some)), some] = False
+        linked[some] = hit.any(1)
+    left = np.flatnonzero(linked)
     while len(left) > 1:
         reached, left = [left[:1]], left[1:]
         while reached and len(left):
@@ -281,3 +317,67 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, distance: int = 4) -
     return found.join(by_fp, "fp", "left").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: Sizes of two sets of similarity SIMILAR or more lie in one band or in neighbouring ones.
+SIMILAR = 0.8
+#: Sets of fewer shingles have fingerprints of few bits, and are held to half the distance.
+FEW = 32
+
+
+def similar_texts(
+    documents: DataFrame, shingle: int = 5, distance: int = 16, check_distance: int = 10, group_rows: int = 4096,
+) -> DataFrame:
+    """(doc_id, component_id): texts whose shingle sets are similar to about 0.8 or more.
+
+    Sets of similarity 0.8 differ in ten of 64 fingerprint bits on average and in
+    up to ``distance``, further than parts of 64 bits can separate: the plan for
+    it would be one part, the whole fingerprint. So the fingerprints are grouped
+    by the size of their shingle set instead, in bands of ratio 0.8 of which
+    neighbours meet, dealt out as pairs of chunks. Unrelated texts that come that
+    near by chance are told apart by 64 bits of minimum hashes, which differ in
+    (1 - similarity) / 2 of the places. Texts without words are one group. Rows
+    without doc_id have none.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp, check = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
+            size = np.zeros(b.num_rows, np.int64)
+            for i, t in enumerate(b.column("text")):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                distinct = np.unique(hashes)
+                fp[i], check[i], size[i] = majority(hashes), minimum_bits(distinct), len(distinct)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), pa.array(size)],
+                ["doc_id", "fp", "check", "size"],
+            )
+
+    found = stage(
+        documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, check long, size long")
+    )
+    keys = ["fp", "check", "size"]
+    distinct = stage(found.filter("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node")))
+    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(-float(np.log(SIMILAR)))).cast("long")
+    placed = distinct.withColumn("_at", F.explode(F.array(
+        F.struct(band.alias("band"), F.lit(True).alias("here")), F.struct((band + 1).alias("band"), F.lit(False).alias("here")),
+    ))).select("fp", "check", "node", "_at.band", "_at.here")
+    dealt = split_large(placed, ["band"], group_rows, F.col("node"))
+    parts = ["band", "chunk_a", "chunk_b"]
+    few = int(np.log(FEW) / -np.log(SIMILAR))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, parts):
+            fp, check = (g.column(c).to_numpy().view(np.uint64) for c in ("fp", "check"))
+            across = g.column("chunk_a")[0].as_py() != g.column("chunk_b")[0].as_py()
+            edges = forest(
+                fp, np.ones(len(fp), bool), g.column("chunk").to_numpy() if across else None,
+                distance if g.column("band")[0].as_py() > few else distance // 2,
+                g.column("here").to_numpy(), check, check_distance,
+            )
+            node, at = g.column("node").to_numpy(), np.array(edges, int).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["a", "b"])
+
+    edges = dealt.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(compare, "a long, b long")
+    labels = components(edges)
+    by_key = distinct.join(labels, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
+    return found.join(by_key, keys, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

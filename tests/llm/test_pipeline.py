@@ -9,7 +9,7 @@ import corpus_pipeline
 from codestrata.llm import queries
 from codestrata.llm.quality import quality
 from codestrata.llm.shared import table
-from codestrata.llm.simhash import near_duplicates
+from codestrata.llm.simhash import similar_texts
 from codestrata.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -39,7 +39,7 @@ def test_stages_keep_what_they_should(spark):
     assert tuple(good.columns) == tuple(single.columns) == tuple(mixed.columns) == columns
     accepted = {r["doc_id"] for r in quality(docs, table(spark, SF, "labels")).filter("predicted = 1").collect()}
     assert {r["doc_id"] for r in good.collect()} == accepted
-    groups = {r["component_id"] for r in near_duplicates(good, corpus_pipeline.SHINGLE, corpus_pipeline.DISTANCE).collect()}
+    groups = {r["component_id"] for r in similar_texts(good, corpus_pipeline.SHINGLE).collect()}
     assert sorted(r["doc_id"] for r in single.collect()) == sorted(groups)
     assert {r["doc_id"] for r in mixed.collect()} == groups
     copies = Counter(r["doc_id"] for r in mixed.collect())
