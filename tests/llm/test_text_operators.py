@@ -383,5 +383,39 @@ def test_thresholds_cover_the_distance():
     )
 
 
+def test_similar_texts_and_clean_ones(spark):
+    rng = np.random.default_rng(8)
+    words = lambda n: ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+    rows, group = [], {}
+    for k in range(30):
+        base = words(int(rng.integers(150, 600)))
+        for c in range(4):
+            text = list(base)
+            for at in rng.choice(len(text), c * len(text) // 200, replace=False):  # up to three words in 200
+                text[at] = words(1)[0]
+            group[len(rows)] = k
+            rows.append((len(rows), " ".join(text)))
+    for n in (1, 2, 3, 5, 8, 20, 40):
+        for _ in range(20):
+            group[len(rows)] = ("alone", len(rows))
+            rows.append((len(rows), " ".join(words(n))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df, group_rows=64).collect()}
+    first = {}
+    for d, k in sorted(group.items()):
+        first.setdefault(k, d)
+    right = sum(got[d] == first[k] for d, k in group.items())
+    assert right >= 0.97 * len(rows)
+    assert all(got[d] == d for d, k in group.items() if isinstance(k, tuple))
+
+
+def test_similar_texts_edges(odd, none):
+    got = simhash.similar_texts(odd).collect()
+    assert len(got) == len(ODD) and sum(r["component_id"] is None for r in got) == 1
+    label = {r["doc_id"]: r["component_id"] for r in got}
+    assert label[1] == label[2] == label[3] == 1 and label[4] == label[5] == label[8] == 4
+    assert simhash.similar_texts(none).count() == 0
+
+
 def test_simhash_of_nothing(none):
     assert simhash.near_duplicates(none).count() == 0
