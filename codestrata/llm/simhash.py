@@ -205,23 +205,28 @@ def forest(
 
     def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         hit = np.bitwise_count(fp[a][:, None] ^ fp[b][None, :]) <= distance
-        if not hit.any():
+        i, j = np.nonzero(hit)
+        if not len(i):
             return hit
-        hit &= home[a][:, None] | home[b][None, :]
+        x, y = a[i], b[j]
+        good = (home[x] | home[y]) & (x != y)
         if side is not None:
-            hit &= side[a][:, None] != side[b][None, :]
+            good &= side[x] != side[y]
         if here is not None:
-            hit &= here[a][:, None] | here[b][None, :]
+            good &= here[x] | here[y]
         if check is not None:
-            hit &= np.bitwise_count(check[a][:, None] ^ check[b][None, :]) <= check_distance
+            good &= np.bitwise_count(check[x] ^ check[y]) <= check_distance
+        hit[i[~good], j[~good]] = False
         return hit
 
     everyone, linked = np.arange(len(fp)), np.zeros(len(fp), bool)
-    for k in range(0, len(fp), 256):
-        some = everyone[k : k + 256]
-        hit = near(some, everyone)
-        hit[np.arange(len(some)), some] = False
-        linked[some] = hit.any(1)
+    rows = everyone if side is None else np.flatnonzero(side == side[0])
+    others = everyone if side is None else np.flatnonzero(side != side[0])
+    for k in range(0, len(rows), 256):
+        some, rest = rows[k : k + 256], others[k:] if side is None else others
+        hit = near(some, rest)
+        linked[some] |= hit.any(1)
+        linked[rest] |= hit.any(0)
     left = np.flatnonzero(linked)
     while len(left) > 1:
         reached, left = [left[:1]], left[1:]
