@@ -18,6 +18,8 @@ BITS = 64
 SEED = 42
 #: Cost of a row that is exchanged, against a pair that a task compares.
 ROW_COST, PAIR_COST = 1.0, 0.01
+#: Rows compared with all others of a group at once.
+STEP = 64
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -222,8 +224,8 @@ def forest(
     everyone, linked = np.arange(len(fp)), np.zeros(len(fp), bool)
     rows = everyone if side is None else np.flatnonzero(side == side[0])
     others = everyone if side is None else np.flatnonzero(side != side[0])
-    for k in range(0, len(rows), 256):
-        some, rest = rows[k : k + 256], others[k:] if side is None else others
+    for k in range(0, len(rows), STEP):
+        some, rest = rows[k : k + STEP], others[k:] if side is None else others
         hit = near(some, rest)
         linked[some] |= hit.any(1)
         linked[rest] |= hit.any(0)
@@ -232,8 +234,8 @@ def forest(
         reached, left = [left[:1]], left[1:]
         while reached and len(left):
             at = reached.pop()
-            for k in range(0, len(at), 256):
-                some = at[k : k + 256]
+            for k in range(0, len(at), STEP):
+                some = at[k : k + STEP]
                 hit = near(some, left)
                 got = hit.any(0)
                 if got.any():
@@ -331,7 +333,7 @@ FEW = 32
 
 
 def similar_texts(
-    documents: DataFrame, shingle: int = 5, distance: int = 16, check_distance: int = 10, group_rows: int = 4096,
+    documents: DataFrame, shingle: int = 5, distance: int = 16, check_distance: int = 10, group_rows: int = 32768,
 ) -> DataFrame:
     """(doc_id, component_id): texts whose shingle sets are similar to about 0.8 or more.
 
