@@ -42,17 +42,18 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def split_large(rows: DataFrame, keys: list[str], limit: int, order: Column) -> DataFrame:
+def split_large(rows: DataFrame, keys: list[str], limit: int, order: Column, weight: Column | None = None) -> DataFrame:
     """Deal groups of more than ``limit`` rows over several tasks without losing a pair.
 
     A group of n rows is cut by the hash of ``order`` into c = ceil(n / limit)
     chunks; each unordered pair of chunks becomes a group of its own. Adds
     ``chunk_a`` <= ``chunk_b`` (both 0 for small groups) and ``chunk``, the
     chunk of the row: pairs inside a chunk are looked at where chunk_a = chunk_b,
-    pairs across chunks where they differ.
+    pairs across chunks where they differ. Given ``weight``, its sum counts
+    instead of rows.
     """
     large = (
-        rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+        rows.groupBy(*keys).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n")).filter(F.col("_n") > limit)
         .select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_c"))
     )
     joined = rows.join(large, keys, "left")

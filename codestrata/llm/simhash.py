@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by the generalised pigeonhole principle."""
+"""SimHash near-duplicates by the generalised pigeonhole principle, and near copies by exact similarity."""
 
 from __future__ import annotations
 
@@ -20,6 +20,15 @@ SEED = 42
 ROW_COST, PAIR_COST = 1.0, 0.01
 #: Rows compared with all others of a group at once.
 STEP = 64
+#: Sets of similarity NEAR / OF or more are near copies.
+NEAR, OF = 4, 5
+#: Candidates agree in one of BANDS groups of MINIMA minima: of pairs at 0.8 all but
+#: (1 - 0.8 ** 6) ** 40, five in a million, whatever their size.
+BANDS, MINIMA = 40, 6
+#: Shingles that count as one more row where groups are cut to size.
+ROW_SHINGLES = 512
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * MINIMA, np.uint64, endpoint=False) | np.uint64(1)
+_SHORT_FACTORS = _FACTORS.astype(np.uint32)
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -55,18 +64,13 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def minimum_bits(distinct: np.ndarray) -> int:
-    """One bit of the least hash in each of 64 bins, for sorted distinct hashes.
-
-    An empty bin takes the bit of the next that is not. Two sets of similarity J
-    agree in about (1 + J) / 2 of the bits.
-    """
-    if not len(distinct):
-        return 0
-    bins = np.arange(BITS, dtype=np.uint64) << np.uint64(58)
-    least = distinct[np.searchsorted(distinct, bins) % len(distinct)]
-    mixed = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
-    return int(np.packbits(mixed.astype(np.uint8), bitorder="little").view(np.uint64)[0])
+def band_keys(distinct: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of hashes, each of MINIMA least values under functions of its own."""
+    least, short = np.full(BANDS * MINIMA, np.iinfo(np.uint32).max, np.uint32), (distinct >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(short), 256):
+        np.minimum(least, (short[at : at + 256] * _SHORT_FACTORS[:, None]).min(1), out=least)
+    keys = ((least + np.uint64(1)) * _FACTORS).reshape(BANDS, MINIMA).sum(1, dtype=np.uint64)
+    return keys ^ (keys >> np.uint64(32))
 
 
 def fingerprints(documents: DataFrame, shingle: int = 5) -> DataFrame:
@@ -194,14 +198,12 @@ def _probes(bits: list[int], threshold: int) -> list[int]:
 
 
 def forest(
-    fp: np.ndarray, home: np.ndarray, side: np.ndarray | None, distance: int, here: np.ndarray | None = None,
-    check: np.ndarray | None = None, check_distance: int = 0,
+    fp: np.ndarray, home: np.ndarray, side: np.ndarray | None, distance: int,
 ) -> list[tuple[int, int]]:
     """Index pairs that connect what is linked in one group, fewer than its rows.
 
     A pair counts if it is within ``distance``, one of the two is at home in the
-    group and, given sides, the sides differ; given ``here``, one of the two must
-    belong to the band; given ``check``, these bits must be near as well.
+    group and, given sides, the sides differ.
     """
     out: list[tuple[int, int]] = []
 
@@ -214,10 +216,6 @@ def forest(
         good = (home[x] | home[y]) & (x != y)
         if side is not None:
             good &= side[x] != side[y]
-        if here is not None:
-            good &= here[x] | here[y]
-        if check is not None:
-            good &= np.bitwise_count(check[x] ^ check[y]) <= check_distance
         hit[i[~good], j[~good]] = False
         return hit
 
@@ -326,65 +324,122 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, distance: int = 4) -
     )
 
 
-#: Sizes of two sets of similarity SIMILAR or more lie in one band or in neighbouring ones.
-SIMILAR = 0.8
-#: Sets of fewer shingles have fingerprints of few bits, and are held to half the distance.
-FEW = 32
+def near_sets(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Index pairs that connect all sets of similarity NEAR / OF or more, fewer than the sets.
+
+    ``sets`` hold distinct hashes; the similarity is exact. Given sides, only
+    pairs across them count.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    values, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    start, marked = np.cumsum(size) - size, np.zeros(len(values), bool)
+    left, out = np.arange(len(sets)), []
+    while len(left) > 1:
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            at = reached.pop()
+            fits = np.minimum(size[left], size[at]) * OF >= NEAR * np.maximum(size[left], size[at])
+            if side is not None:
+                fits &= side[left] != side[at]
+            some = left[fits]
+            if not len(some):
+                continue
+            n = size[some]
+            first = np.cumsum(n) - n
+            own = ids[start[at] : start[at] + size[at]]
+            marked[own] = True
+            hits = np.append(marked[ids[np.arange(n.sum()) + np.repeat(start[some] - first, n)]], False)
+            marked[own] = False
+            shared = np.where(n > 0, np.add.reduceat(hits, first, dtype=np.int64), 0)
+            got = some[shared * (NEAR + OF) >= NEAR * (n + size[at])]
+            out.extend((at, int(x)) for x in got)
+            reached.extend(got.tolist())
+            left = np.setdiff1d(left, got, assume_unique=True)
+    return out
 
 
-def similar_texts(
-    documents: DataFrame, shingle: int = 5, distance: int = 16, check_distance: int = 10, group_rows: int = 32768,
-) -> DataFrame:
-    """(doc_id, component_id): texts whose shingle sets are similar to about 0.8 or more.
+def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096) -> DataFrame:
+    """(row, component) for ``rows`` (row, text): near copies have one component.
 
-    Sets of similarity 0.8 differ in ten of 64 fingerprint bits on average and in
-    up to ``distance``, further than parts of 64 bits can separate: the plan for
-    it would be one part, the whole fingerprint. So the fingerprints are grouped
-    by the size of their shingle set instead, in bands of ratio 0.8 of which
-    neighbours meet, dealt out as pairs of chunks. Unrelated texts that come that
-    near by chance are told apart by 64 bits of minimum hashes, which differ in
-    (1 - similarity) / 2 of the places. Texts without words are one group. Rows
-    without doc_id have none.
+    Two texts are near copies if the sets of their word shingles have a similarity
+    of NEAR / OF or more, which is computed exactly; a component is what such pairs
+    connect. Texts with equal sets are one node, known by a 64-bit digest of the
+    set; texts without words are one, too.
+
+    Which sets are compared: nodes that agree in a band of minima are candidates.
+    The components of the candidates, each bucket tied to its smallest node, are
+    the groups; they hold every near copy of their members. A group above
+    ``group_rows`` (where ROW_SHINGLES shingles count as one row more) is dealt
+    out in pairs of chunks, as a whole or bucket by bucket, whichever copies fewer
+    rows. Sets are made again from the texts of candidates only, and from a group
+    come only the edges of a spanning forest. ``rows`` must give the same rows
+    each time it is read.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, check = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64)
-            size = np.zeros(b.num_rows, np.int64)
-            for i, t in enumerate(b.column("text")):
-                hashes = shingle_hashes(t.as_py(), shingle)
-                distinct = np.unique(hashes)
-                fp[i], check[i], size[i] = majority(hashes), minimum_bits(distinct), len(distinct)
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column("text")]
+            node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            bands = np.concatenate([band_keys(x) for x in sets]) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(check.view(np.int64)), pa.array(size)],
-                ["doc_id", "fp", "check", "size"],
+                [
+                    b.column("row"), pa.array(node), pa.array([len(x) for x in sets], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64))),
+                ],
+                ["row", "node", "size", "bands"],
             )
 
-    found = stage(
-        documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long, check long, size long")
+    texts = rows.select("row", F.col("text").cast("string"))
+    found = stage(texts.mapInArrow(describe, "row long, node long, size long, bands array<long>"))
+    listed = found.select("node", F.explode("bands").alias("bucket")).distinct()
+    shared = listed.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "first")
+    met = stage(listed.join(shared, "bucket"))
+    nodes = found.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"))
+    weight = (F.lit(1) + F.floor(F.col("size") / ROW_SHINGLES)).cast("long")
+    members = stage(components(met.select(F.col("node").alias("a"), F.col("first").alias("b"))).join(nodes, "node").withColumn("weight", weight))
+
+    # copies of rows that either way of dealing makes, by component
+    chunks = F.ceil(F.col("w") / group_rows)
+    whole = members.groupBy("component").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).select("component", (F.col("n") * chunks).alias("whole"), chunks.alias("c"))
+    large = stage(members.join(whole.filter("c > 1"), "component").select("node", "component", "weight", "whole"))
+    placed = stage(met.join(large, "node").select("node", "component", "weight", "whole", "bucket"))
+    split = (
+        placed.groupBy("bucket").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), F.first("component").alias("component"), F.first("whole").alias("whole"))
+        .groupBy("component").agg(F.sum(F.col("n") * chunks).alias("parts"), F.first("whole").alias("whole")).filter("parts < whole").select("component")
     )
-    keys = ["fp", "check", "size"]
-    distinct = stage(found.filter("doc_id is not null").groupBy(*keys).agg(F.min("doc_id").alias("node")))
-    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(-float(np.log(SIMILAR)))).cast("long")
-    placed = distinct.withColumn("_at", F.explode(F.array(
-        F.struct(band.alias("band"), F.lit(True).alias("here")), F.struct((band + 1).alias("band"), F.lit(False).alias("here")),
-    ))).select("fp", "check", "node", "_at.band", "_at.here")
-    dealt = split_large(placed, ["band"], group_rows, F.col("node"))
-    parts = ["band", "chunk_a", "chunk_b"]
-    few = int(np.log(FEW) / -np.log(SIMILAR))
+    split = stage(split)
+    grouped = members.join(split, "component", "left_anti").select("node", "weight", F.col("component").alias("group")).unionByName(
+        placed.join(split, "component", "left_semi").select("node", "weight", F.col("bucket").alias("group"))
+    )
+    dealt = stage(split_large(grouped, ["group"], group_rows, F.col("node"), F.col("weight")).drop("weight"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
+
+    sets = texts.join(members.select("row", "node"), "row").select("node", "text").mapInArrow(gather, "node long, hashes binary")
+    keys = ["group", "chunk_a", "chunk_b"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, parts):
-            fp, check = (g.column(c).to_numpy().view(np.uint64) for c in ("fp", "check"))
+        for g in groups(batches, keys):
             across = g.column("chunk_a")[0].as_py() != g.column("chunk_b")[0].as_py()
-            edges = forest(
-                fp, np.ones(len(fp), bool), g.column("chunk").to_numpy() if across else None,
-                distance if g.column("band")[0].as_py() > few else distance // 2,
-                g.column("here").to_numpy(), check, check_distance,
-            )
+            edges = near_sets([np.frombuffer(x, np.uint64) for x in g.column("hashes").to_pylist()], g.column("chunk").to_numpy() if across else None)
             node, at = g.column("node").to_numpy(), np.array(edges, int).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["a", "b"])
 
-    edges = dealt.repartition(*parts).sortWithinPartitions(*parts).mapInArrow(compare, "a long, b long")
+    edges = dealt.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
     labels = components(edges)
-    by_key = distinct.join(labels, "node", "left").select(*keys, F.coalesce("component", "node").alias("component_id"))
-    return found.join(by_key, keys, "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return found.select("row", "node").join(labels, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
+
+
+def similar_texts(documents: DataFrame, shingle: int = 5, group_rows: int = 4096) -> DataFrame:
+    """(doc_id, component_id): the smallest doc_id among the near copies of each text (see ``similar_rows``).
+
+    Rows without doc_id have no component and connect nothing.
+    """
+    rows = stage(documents.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.monotonically_increasing_id()))
+    labels = stage(similar_rows(rows.filter("doc_id is not null"), shingle, group_rows).join(rows.select("row", "doc_id"), "row"))
+    least = labels.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return labels.join(least, "component").select("doc_id", "component_id").unionByName(
+        rows.filter("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("component_id"))
+    )

@@ -419,3 +419,35 @@ def test_similar_texts_edges(odd, none):
 
 def test_simhash_of_nothing(none):
     assert simhash.near_duplicates(none).count() == 0
+
+
+def words_of(rng, n):
+    return ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(n)]
+
+
+def similarity(a, b):
+    x, y = ({tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def families(rng, sizes, low, high):
+    """Pairs of texts, shared in front, of a similarity from low to high: the second has other words at its end."""
+    out = []
+    for n in sizes:
+        base = words_of(rng, n)
+        for cut in range(n):
+            other = base[: n - cut] + words_of(rng, cut)
+            if low <= similarity(" ".join(base), " ".join(other)) < high:
+                out.append((" ".join(base), " ".join(other)))
+                break
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [4096, 8])
+def test_similar_texts_finds_all_pairs_that_brute_force_finds(spark, group_rows):
+    rng = np.random.default_rng(3)
+    pairs = families(rng, [n for n in range(14, 41) for _ in range(8)], 0.8, 0.86) + families(rng, [100, 300, 900] * 20, 0.8, 0.86)
+    assert len(pairs) > 150
+    df = spark.createDataFrame([(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df, group_rows=group_rows).collect()}
+    assert got == {d: d - d % 2 for d in range(2 * len(pairs))}
