@@ -451,3 +451,12 @@ def test_similar_texts_finds_all_pairs_that_brute_force_finds(spark, group_rows)
     df = spark.createDataFrame([(2 * k + i, t) for k, p in enumerate(pairs) for i, t in enumerate(p)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_texts(df, group_rows=group_rows).collect()}
     assert got == {d: d - d % 2 for d in range(2 * len(pairs))}
+
+
+def test_similar_texts_leaves_pairs_below_the_similarity(spark):
+    rng = np.random.default_rng(4)
+    pairs = families(rng, [100, 300, 900] * 20, 0.7, 0.79) + families(rng, [n for n in range(14, 41) for _ in range(4)], 0.6, 0.79)
+    shared = words_of(rng, 150)
+    rows = [t for p in pairs for t in p] + [" ".join(shared + words_of(rng, 45)) for _ in range(30)]  # one family, no two at 0.8
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert all(r["doc_id"] == r["component_id"] for r in simhash.similar_texts(df).collect())
