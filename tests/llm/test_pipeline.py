@@ -48,3 +48,18 @@ def test_stages_keep_what_they_should(spark):
         tokens[r["doc_id"]] += r["length"]
     size = {r["doc_id"]: r["doc_tokens"] for r in packed.collect()}
     assert tokens == Counter({d: copies[d] * size[d] for d in groups})
+
+
+def test_near_copies_are_judged_by_row(spark):
+    rows = [
+        (None, "no id and these six words"), (None, "no id and these six words"), (None, "NO id and these six words"), (None, "a text of its own"),
+        (5, "repeated row with one id and text"), (5, "repeated row with one id and text"),
+        (1, "the text of the smallest id here"), (7, "the text of the smallest id here"), (7, "what only the seventh row has to say"),
+        (9, "copy of a row without any id"), (None, "copy of a row without any id"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect())
+    assert got == Counter({
+        (None, "no id and these six words"): 1, (None, "a text of its own"): 1, (5, "repeated row with one id and text"): 1,
+        (1, "the text of the smallest id here"): 1, (7, "what only the seventh row has to say"): 1, (9, "copy of a row without any id"): 1,
+    })
