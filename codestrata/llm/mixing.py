@@ -89,14 +89,15 @@ def budgets(sources: DataFrame, exponent: float, tokens: int | None = None) -> D
     total = sources.agg(F.sum("tokens").alias("total")).first()["total"] or 1
     raw = sources.withColumn("_w", F.pow(F.col("tokens") / F.lit(total), F.lit(exponent)))
     z = raw.agg(F.sum("_w").alias("z")).first()["z"] or 1.0
-    weighted = raw.withColumn("weight", F.round(F.col("_w") / F.lit(z), WEIGHT_DECIMALS))
+    weighted = raw.withColumn("_share", F.col("_w") / F.lit(z))
     if tokens is None:
-        need = weighted.agg(F.max(F.col("tokens") / F.col("weight")).alias("need")).first()["need"]
+        need = weighted.agg(F.max(F.col("tokens") / F.col("_share")).alias("need")).first()["need"]
         size = F.lit(need or 1.0)
     else:
         size = F.lit(float(tokens))
-    budget = F.ceil(F.col("weight") * size - F.lit(1e-3)).cast("long")
-    return weighted.select("source", "tokens", "docs", "weight", budget.alias("budget"))
+    # only the reported weight is rounded: a small source's would be rounded away
+    budget = F.ceil(F.col("_share") * size - F.lit(1e-3)).cast("long")
+    return weighted.select("source", "tokens", "docs", F.round("_share", WEIGHT_DECIMALS).alias("weight"), budget.alias("budget"))
 
 
 def order_key(*parts: Column | str) -> Column:

@@ -176,6 +176,14 @@ def test_mixing_edges(odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in ODD}
 
 
+def test_a_source_of_one_token_beside_a_large_one(spark):
+    sources = spark.createDataFrame([("small", 1, 1), ("large", 10**10, 10**6)], "source string, tokens long, docs long")
+    got = {r["source"]: r["budget"] for r in mixing.budgets(sources, 1.0).collect()}
+    assert got == {"small": 1, "large": 10**10}
+    got = {r["source"]: r["budget"] for r in mixing.budgets(sources, 0.99).collect()}
+    assert got["large"] == 10**10 and got["small"] == 2
+
+
 # language model
 
 
