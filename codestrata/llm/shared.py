@@ -68,6 +68,29 @@ def split_large(rows: DataFrame, keys: list[str], limit: int, order: Column, wei
     )
 
 
+#: A key with more than this share of the rows is joined by broadcast; there are fewer than 1 / share of them.
+HOT_SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """Left join of ``rows`` to one row of ``facts`` per key, whatever share of the rows a key holds.
+
+    ``facts`` has every ``key`` of the rows (null is a key like any other),
+    ``values`` and ``_rows``, the number of rows with that key. Keys above HOT_SHARE of all
+    rows are fewer than a thousand by that definition and are broadcast; all other
+    keys meet in an exchange, where none can be hot. Both inputs should be
+    written tables: they are read twice.
+    """
+    total = facts.agg(F.sum("_rows")).first()[0] or 0
+    known = facts.select(F.col(key).alias("_key"), *values, (F.col("_rows") > HOT_SHARE * total).alias("_hot"))
+    hot = known.filter("_hot").select(F.col("_key").alias("_hot_key"), F.struct(*values).alias("_facts"))
+    marked = rows.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
+    found = marked.filter("_facts is not null").select(*rows.columns, *[F.col("_facts")[v].alias(v) for v in values])
+    rest = marked.filter("_facts is null").select(*rows.columns)
+    joined = rest.join(known.filter("not _hot"), F.col(key).eqNullSafe(F.col("_key")), "left").select(*rows.columns, *values)
+    return found.unionByName(joined)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

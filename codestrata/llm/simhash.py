@@ -164,6 +164,7 @@ def plan_parts(distinct: DataFrame, distance: int) -> list[tuple[list[int], int]
     from bit frequencies and the measured number of equal group values.
     """
     n, both = bit_counts(distinct)
+    n = max(n, 2)  # a probe is never free, so that few rows take the plan with fewest probes
     pairs = n * n / 2
     options = []
     for m in range(2, distance + 2):
