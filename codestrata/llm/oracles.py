@@ -55,6 +55,7 @@ def host_rules_sql(limit: float = 0.5, sureness: float = 2.0, strength: float =
         "few": "n_words < 20", "again": "100 * n_repeat_words > 30 * n_words", "symbols": "10 * n_symbols > n_words",
         "lines": "100 * n_dup_lines > 30 * n_lines", "length": "word_chars < 2 * n_words or word_chars > 20 * n_words",
     }
+    following = " || ' ' || ".join(f"lead(word, {k}) over (partition by row order by i)" for k in range(8))
     sums = ", ".join(f"count(*) filter ({cond}) as {r}" for r, cond in rules.items())
     fits = " union all ".join(f"""
   select '{r}' as rule, count(*) as k, sum(n) as total, sum(n * n) as n2, sum({r}) / sum(n)::double as mean,
@@ -65,8 +66,9 @@ def host_rules_sql(limit: float = 0.5, sureness: float = 2.0, strength: float =
 with base as (
   select row_number() over () as row, doc_id, source, coalesce(text, '') as text,
          regexp_extract_all(coalesce(text, ''), '{words}') as w from documents),
+places as (select row, unnest(w) as word, unnest(range(len(w))) as i from base),
 windows as (
-  select row, i, list_slice(w, i, i + 7) as win from (select row, w, unnest(range(1, len(w) - 6)) as i from base)),
+  select row, i, {following} as win from places qualify lead(i, 7) over (partition by row order by i) is not null),
 often as (select row, win from windows group by row, win having count(*) > 1),
 covered as (
   select row, count(distinct i + o) as n from windows join often using (row, win), range(0, 8) t(o) group by row),
