@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ def collapsed(documents: DataFrame) -> DataFrame:
     """(lang, digest, source, n, text): multiplicities of texts, and each text once per task that holds it.
 
     Rows of a text come in two kinds: n rows of a source without the text, and
-    the text with n = 0.
+    the deflated text with n = 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,9 +67,10 @@ def collapsed(documents: DataFrame) -> DataFrame:
                     seen.add((lang[i], digest))
                     fresh.append(i)
             at = pa.array(fresh, pa.int64())
+            bodies = pa.array([zlib.compress(texts[i].as_buffer(), 1) for i in fresh], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [b.column("lang").take(at), pa.array([digests[i] for i in fresh], pa.binary()), pa.array([""] * len(fresh)),
-                 pa.array(np.zeros(len(fresh), np.int64)), texts.take(at)], names)
+                 pa.array(np.zeros(len(fresh), np.int64)), bodies], names)
             if len(counts) > HELD:
                 yield flush()
                 counts.clear()
@@ -103,7 +105,7 @@ def term_counts(documents: DataFrame) -> DataFrame:
         def add() -> None:
             if key is None:
                 return
-            terms = Counter(TERM.findall((text or b"").lower()))
+            terms = Counter(TERM.findall(zlib.decompress(text).lower()) if text else ())
             for source, n in sources.items():
                 held.setdefault((key[0], source, None), [0, 0])[1] += n
                 for term, count in terms.items():
