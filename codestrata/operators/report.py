@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.operators import inventory, tree
 from codestrata.operators.ordering import prefix
 from codestrata.operators.quality import language_of
 from codestrata.operators.tokens import project_stats
-from codestrata.session import stage
 
 # Headings of the text form.
 _RULE, _BAR = "-" * 53, "=" * 48
@@ -104,132 +101,3 @@ def render_report(report: DataFrame, fmt: str, part_rows: int | None = None) ->
         lines = F.transform("_rows", lambda r: F.concat(r["section"], F.lit(": "), r["key"], F.lit(" "), r["value"]))
         text = F.concat_ws("\n", F.concat(F.lit("PROJECT: "), F.col("repo")), F.array_join(lines, "\n"))
     return parts.select("repo", "part", text.alias("document"))
-
-
-# --- batches -----------------------------------------------------------------------
-
-BATCH_BYTES = 100 * 2**20  # usual size of a batch
-
-
-def _from_empty(sizes: np.ndarray, budget: int, large: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Next-fit over one ordered piece, starting empty in front of every row.
-
-    Returns for each row the bytes left at the end of the piece and the flushes
-    on the way, and the bytes buffered by all rows in front of each row.
-    """
-    n = len(sizes)
-    before = np.concatenate(([0], np.cumsum(np.where(_direct(sizes, large), 0, sizes))))
-    reach = before[:-1] + sizes
-    left, count = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-    # rows behind j that exceed every nearer one, farthest first
-    records: list[int] = []
-    for j in range(n - 1, -1, -1):
-        limit = before[j] + budget
-        lo, hi, hit = 0, len(records) - 1, n
-        while lo <= hi:
-            mid = (lo + hi) // 2
-            if reach[records[mid]] > limit:
-                hit, lo = records[mid], mid + 1
-            else:
-                hi = mid - 1
-        # nothing buffered yet: no flush at that row
-        while hit < n and not (before[hit] > before[j] and reach[hit] > limit):
-            hit += 1
-        if hit == n:
-            left[j] = before[n] - before[j]
-        else:
-            left[j], count[j] = left[hit], count[hit] + 1
-        while records and reach[records[-1]] <= reach[j]:
-            records.pop()
-        records.append(j)
-    return left, count, before
-
-
-def _entry_table(pdf: pd.DataFrame, budget: int, large: int | None = None) -> pd.DataFrame:
-    """How a piece maps the buffer it receives to the one it hands on.
-
-    The first flush comes earlier the more bytes are received, so the map is a
-    step function. ``kind`` is ``step`` (received more than ``above``),
-    ``empty`` (received nothing) or ``keep`` (no flush in the piece).
-    """
-    pdf = pdf.sort_values("_at")
-    sizes = pdf["size"].to_numpy(np.int64)
-    left, count, before = _from_empty(sizes, budget, large)
-    rows = [("empty", 0, int(left[0]), int(count[0])), ("keep", 0, int(before[-1]), 0)]
-    slack = budget - (before[:-1] + sizes)
-    lowest = None
-    for j, s in enumerate(slack):
-        if lowest is None or s < lowest:
-            lowest = s
-            rows.append(("step", int(s), int(left[j]), int(count[j]) + 1))
-            if s <= 0:
-                break
-    table = pd.DataFrame(rows, columns=["kind", "above", "left", "flushes"])
-    return table.assign(repo=pdf["repo"].iloc[0], _piece=int(pdf["_piece"].iloc[0]))[
-        ["repo", "_piece", "kind", "above", "left", "flushes"]
-    ]
-
-
-def _chain(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Received bytes and batch number at the start of every piece of a repository."""
-    out, held, batch = [], 0, 0
-    for piece, table in pdf.groupby("_piece", sort=True):
-        out.append((pdf["repo"].iloc[0], piece, held, batch))
-        if held == 0:
-            row = table[table["kind"] == "empty"].iloc[0]
-        else:
-            steps = table[(table["kind"] == "step") & (table["above"] < held)]
-            if len(steps) == 0:
-                held += int(table[table["kind"] == "keep"]["left"].iloc[0])
-                continue
-            row = steps.loc[steps["above"].idxmax()]
-        held, batch = int(row["left"]), batch + int(row["flushes"])
-    return pd.DataFrame(out, columns=["repo", "_piece", "held", "batch"])
-
-
-def _assign(pdf: pd.DataFrame, budget: int, large: int | None = None) -> pd.DataFrame:
-    """Batch numbers of one piece from its received buffer."""
-    pdf = pdf.sort_values("_at")
-    held, batch = int(pdf["held"].iloc[0]), int(pdf["batch"].iloc[0])
-    ids, direct = [], _direct(pdf["size"].to_numpy(np.int64), large)
-    for size, alone in zip(pdf["size"], direct):
-        if held + size > budget and held > 0:
-            held, batch = 0, batch + 1
-        if not alone:
-            held += int(size)
-        ids.append(batch)
-    return pd.DataFrame({
-        "repo": pdf["repo"], "path": pdf["path"], "size": pdf["size"], "batch_id": ids, "direct": direct,
-    })
-
-
-def _direct(sizes: np.ndarray, large: int | None) -> np.ndarray:
-    return np.zeros(len(sizes), bool) if large is None else sizes > large
-
-
-def pack_batches(files: DataFrame, budget: int = BATCH_BYTES, large: int | None = None) -> DataFrame:
-    """Next-fit batches in path order: (repo, path, size, batch_id, direct).
-
-    With ``large``, files above it are written on their own (``direct``) and do
-    not fill a batch.
-
-    The assignment is sequential by nature. The ordered (path, size) rows are
-    cut into pieces by range partition; each piece is summarised by how it maps
-    the buffer it receives, a short chain over pieces links them, and every
-    piece then numbers its own rows. No task holds more than one piece.
-    """
-    ordered = stage(
-        files.select("repo", "path", "size").repartitionByRange("repo", "path").sortWithinPartitions("repo", "path")
-        .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_piece", F.shiftright("_at", 33))
-    tables = ordered.groupBy("repo", "_piece").applyInPandas(
-        lambda pdf: _entry_table(pdf, budget, large),
-        "repo string, _piece long, kind string, above long, left long, flushes long",
-    )
-    starts = tables.groupBy("repo").applyInPandas(_chain, "repo string, _piece long, held long, batch long")
-    return (
-        ordered.join(starts, ["repo", "_piece"]).groupBy("repo", "_piece")
-        .applyInPandas(
-            lambda pdf: _assign(pdf, budget, large), "repo string, path string, size long, batch_id long, direct boolean"
-        )
-    )

@@ -1,6 +1,6 @@
 """Prompt, report and batch queries."""
 
-from codestrata.operators import report
+from codestrata.operators import batches, report
 from codestrata.plans.corpora import duck, load
 from codestrata.plans.inventory_plans import ORACLES as INVENTORY
 from codestrata.plans.oracle_parts import language
@@ -48,7 +48,7 @@ QUERIES = {
     "report_sink_json": _sink("json"),
     "report_sink_xml": _sink("xml"),
     "report_sink_txt": _sink("txt"),
-    "pack_batches": lambda s, d: report.pack_batches(load(s, d, "docs"), BUDGET),
+    "pack_batches": lambda s, d: batches.pack_batches(load(s, d, "docs"), BUDGET),
 }
 
 # --- oracle ----------------------------------------------------------------------

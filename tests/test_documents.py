@@ -2,11 +2,12 @@
 
 import json
 import random
+from functools import reduce
 
-import pandas as pd
+import numpy as np
 import pytest
 
-from codestrata.operators import advisories, changes, dependencies, lint, report, symbols, technology, tree
+from codestrata.operators import advisories, batches, changes, dependencies, lint, report, symbols, technology, tree
 from codestrata.streaming import chunks
 from pyspark.sql import functions as F
 
@@ -188,6 +189,16 @@ def next_fit(sizes, budget, large=10**18):
     return out
 
 
+def next_fit_from(sizes, budget, large, held):
+    flushes = 0
+    for s in sizes:
+        if held + s > budget and held > 0:
+            held, flushes = 0, flushes + 1
+        if s <= large:
+            held += s
+    return held, flushes
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_batch_pieces_compose(seed):
     """Pieces of any size give what one sequential pass gives."""
@@ -197,34 +208,53 @@ def test_batch_pieces_compose(seed):
         sizes = [rng.choice([0, 1, 3, rng.randrange(30), 200 * 2**20]) for _ in range(rng.randrange(1, 40))]
         cuts = sorted(rng.sample(range(1, len(sizes)), min(len(sizes) - 1, rng.randrange(0, 6))))
         bounds = list(zip([0, *cuts], [*cuts, len(sizes)]))
-        rows = pd.DataFrame({"repo": "r", "path": [f"{i:03}" for i in range(len(sizes))], "size": sizes, "_at": range(len(sizes))})
-        tables, pieces = [], []
-        for n, (a, b) in enumerate(bounds):
-            piece = rows.iloc[a:b].assign(_piece=n)
-            pieces.append(piece)
-            tables.append(report._entry_table(piece, budget, large))
-        starts = report._chain(pd.concat(tables)).set_index("_piece")
+        pieces = [np.array(sizes[a:b]) for a, b in bounds]
+        maps = [batches.steps_of(p, budget, large) for p in pieces]
+        # what lies in front of a piece is one map, however it was put together
         got = []
         for n, piece in enumerate(pieces):
-            given = piece.assign(held=starts.loc[n, "held"], batch=starts.loc[n, "batch"])
-            got += list(report._assign(given, budget, large)["batch_id"])
+            some = maps[:n]
+            while len(some) > 1:
+                k = rng.randrange(len(some) - 1)
+                some[k : k + 2] = [some[k].then(some[k + 1])]
+            (held,), (batch,) = some[0].apply(np.array([0])) if some else ((0,), (0,))
+            got += batches.assign(piece, int(held), int(batch), budget, large)[0]
+        # and a map holds for every received buffer
+        whole = reduce(batches.Steps.then, maps)
+        for held in {0, 1, 2, 7, budget, budget + 1, 10**9}:
+            after, flushes = (int(x[0]) for x in whole.apply(np.array([held])))
+            walked = next_fit_from(sizes, budget, large or 10**18, held)
+            assert (after, flushes) == walked, (sizes, budget, large, held)
         assert got == next_fit(sizes, budget, large or 10**18), (sizes, budget, large, bounds)
 
 
 def test_batches_run(spark):
     rng = random.Random(1)
     rows = [("hot" if i % 3 else "cold", f"{i:04}", rng.randrange(100)) for i in range(2000)]
-    got = report.pack_batches(spark.createDataFrame(rows, "repo string, path string, size long"), 500).collect()
+    got = batches.pack_batches(spark.createDataFrame(rows, "repo string, path string, size long"), 500).collect()
     for repo in ("hot", "cold"):
         mine = sorted((r.path, r["size"], r.batch_id) for r in got if r.repo == repo)
         assert [b for _, _, b in mine] == next_fit([s for _, s, _ in mine], 500)
-    some = report.pack_batches(spark.createDataFrame(rows, "repo string, path string, size long"), 500, large=50).collect()
+    some = batches.pack_batches(spark.createDataFrame(rows, "repo string, path string, size long"), 500, large=50).collect()
     for repo in ("hot", "cold"):
         mine = sorted((r.path, r["size"], r.batch_id, r.direct) for r in some if r.repo == repo)
         assert [b for _, _, b, _ in mine] == next_fit([s for _, s, _, _ in mine], 500, 50)
         assert [d for *_, d in mine] == [s > 50 for _, s, *_ in mine] and any(d for *_, d in mine)
 
 
+def test_batches_of_many_levels(spark, monkeypatch):
+    """Pieces of four files, two at a time: the tree of maps has many levels."""
+    monkeypatch.setattr(batches, "PIECE_BITS", 2)
+    monkeypatch.setattr(batches, "FAN", 2)
+    rng = random.Random(2)
+    rows = [("hot" if i % 4 else "cold", f"{i:04}", rng.choice([0, 1, 30, 400, rng.randrange(90)])) for i in range(300)]
+    got = batches.pack_batches(spark.createDataFrame(rows, "repo string, path string, size long"), 300, large=350).collect()
+    for repo in ("hot", "cold"):
+        mine = sorted((r.path, r["size"], r.batch_id) for r in got if r.repo == repo)
+        assert [b for _, _, b in mine] == next_fit([s for _, s, _ in mine], 300, 350)
+    assert batches.pack_batches(spark.createDataFrame([], "repo string, path string, size long"), 300).count() == 0
+
+
 def test_prompt_document(files, tmp_path):
     df = files(("a.txt", "one\ntwo"), ("d/b.txt", "three"), ("e.txt", ""))
     rows = report.prompt_text(df).orderBy(*report.PROMPT_ORDER).collect()
