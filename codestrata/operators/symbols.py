@@ -161,36 +161,71 @@ def _c_imports(text: Column) -> Column:
 
 # --- Go ----------------------------------------------------------------------------------
 
-# A comment block with the declaration behind it, or a declaration alone. Grouped
-# declarations run to the closing parenthesis at the line start.
+# The layout of formatted Go. A comment block with the declaration
+# behind it, or a declaration alone. Grouped declarations and parameter lists over
+# several lines run to the closing bracket at the line start.
+_GO_BLOCK = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+\*/"
+_GO_COMMENTS = rf"(?:^//[^\n]*\n|^{_GO_BLOCK}[ \t]*\n)"
 _GO_DECL = (
-    r"(?:^(?:const|var|type|import) \([^\n]*\n(?:[^)\n][^\n]*\n|\n)*+\)|^(?:package|func|type|const|var|import) [^\n]*)"
-)
-_GO_CHUNK = rf"(?dm)(?:^//[^\n]*\n)++(?:{_GO_DECL})?|{_GO_DECL}"
-_GO_FUNC = (
-    r"(?dm)^func (?:\(([^()\n]*)\) )?(\p{Lu}[\p{L}\p{N}_]*)(?:\[[^\]\n]*\])?\(([^()\n]*)\) ?"
-    r"(?:\(([^()\n]*)\)|([^({\n]*?))[ ]*(?:\{[^\n]*)?$"
+    r"(?:^(?:const|var|type|import) \([^\n]*\n(?:[^)\n][^\n]*\n|\n)*+\)"
+    r"|^func [^\n]*[(\[,]\n(?:[ \t][^\n]*\n|\n)*+[)\]][^\n]*"
+    r"|^(?:package|func|type|const|var|import) [^\n]*)"
 )
+_GO_CHUNK = rf"(?dm){_GO_COMMENTS}++(?:{_GO_DECL})?|{_GO_DECL}"
+_GO_FUNC = r"(?ds)\Afunc (?:\(([^()]*)\) )?(\p{Lu}[\p{L}\p{N}_]*)(.*)\z"
 _GO_EXPORTED_FUNC = r"(?dm)^func (?:\([^)\n]*\) )?(\p{Lu}[\p{L}\p{N}_]*)[\[(]"
-_GO_TYPE = r"(?dm)^(?:type |\t)(\p{Lu}[\p{L}\p{N}_]*)(?:\[[^\]\n]*\])? (?:= )?(struct|interface|[^\n]*)"
 _GO_VALUE_HEAD = r"(?dm)^(?:(?:const|var) |\t)([\p{L}_][\p{L}\p{N}_]*(?:, *[\p{L}_][\p{L}\p{N}_]*)*)"
+_GO_DIRECTIVE = r"\A//(?:[a-z0-9]+:[a-z0-9]|line |extern |export )"
+_GO_PARAMETERS = r"(?:\[(?:[^\[\]\n]|\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\])*\])?"
+_GO_TYPE = rf"(?dm)^(?:type |\t)(\p{{Lu}}[\p{{L}}\p{{N}}_]*){_GO_PARAMETERS} (?:= )?(struct|interface|[^\n]*)"
+
+# Private characters that stand for types printed already: interface{}, a form
+# without a plain spelling, func, [], the brackets of a map, and the dots of a
+# variable parameter.
+_EMPTY, _OTHER, _FUNC, _SLICE, _OPEN, _CLOSE, _DOTS = "\ue001\ue002\ue003\ue004\ue005\ue006\ue007"
+_GO_WORD = rf"[\p{{L}}\p{{N}}_.*{_EMPTY}-{_DOTS}]"
+#: One round replaces every innermost bracket by what is printed for it.
+_GO_ROUND = [
+    (r"\bmap\[([^\[\](){}]+)\]", f"map{_OPEN}$1{_CLOSE}"),
+    (r"(?<![\p{L}\p{N}_.])(?!map\[)[\p{L}_][\p{L}\p{N}_.]*\[[^\[\](){}]+\]", _OTHER),
+    (r"(?<![\p{L}\p{N}_.])\[[^\[\](){}]*\](?=[^\s,)])", _SLICE),
+    (rf"(?:<-chan|chan<-|\bchan) (?!chan\b|<-){_GO_WORD}++(?![\[({{])", _OTHER),
+    (rf"\bfunc\([^()\[\]{{}}]*\)(?: \([^()\[\]{{}}]*\)| (?!chan\b){_GO_WORD}++)?(?=\z|[,)\]}};])", _FUNC),
+    (r"\bstruct ?\{[^{}]*\}", _OTHER),
+    (r"\binterface ?\{[^{}]*\}", _EMPTY),
+    # not the parameters right behind type parameters
+    (rf"(?<=[*{_SLICE}{_CLOSE}{_DOTS}])(?<!\A.)\([^()]*\)", _OTHER),
+]
+_GO_HEAD = rf"\A[{_SLICE}{_OTHER}]?\(([^()]*)\)(?: \(([^()]*)\)| ([^()]+))? *\z"
+
+
+def _go_flat(text: Column) -> Column:
+    """A signature whose types hold no brackets: nested ones are replaced from the inside, to any depth."""
+    start = F.regexp_replace(F.regexp_replace(text, rf"//[^\n]*|{_GO_BLOCK}", ""), r"\s+", " ")
+    start = F.regexp_replace(start, r"\.\.\.", _DOTS)
+
+    def once(t: Column) -> Column:
+        for pattern, by in _GO_ROUND:
+            t = F.regexp_replace(t, pattern, by)
+        return t
+
+    # each round closes at least one bracket or channel
+    rounds = F.regexp_count(start, F.lit(r"[\[{]|func\(|\bchan\b|[*\]]\("))
+    return F.when(rounds == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), rounds), start, lambda t, _: once(t)))
 
 
 def _go_type(text: Column) -> Column:
     """Type as printed in a signature; forms without a plain spelling give ``...``."""
-    plain = F.regexp_replace(text, r"\[[0-9A-Za-z_]+\](?=[\[*\p{L}])", "[]")
-    return (
-        F.when(text.rlike(r"\A(?:\.\.\.|chan\b|<-chan\b|struct\b)"), "...")
-        .when(text.startswith("func"), "func")
-        .when(text.startswith("map["), text)
-        .otherwise(plain)
-    )
+    out = F.regexp_replace(text, f"{_DOTS}.*", _OTHER)
+    for mark, shown in ((_EMPTY, "interface{}"), (_OTHER, "..."), (_FUNC, "func"), (_SLICE, "[]"), (_OPEN, "["), (_CLOSE, "]")):
+        out = F.replace(out, F.lit(mark), F.lit(shown))
+    return out
 
 
 def _go_fields(text: Column) -> Column:
     """``a, b int, c string`` to ``a int, b int, c string``."""
     parts = F.filter(F.transform(F.split(text, ","), trim), lambda p: p != "")
-    named = F.exists(parts, lambda p: p.contains(" ") & ~p.rlike(r"\A(?:chan|<-chan|struct|func|interface)\b"))
+    named = F.exists(parts, lambda p: p.contains(" "))
 
     def cut(p: Column) -> Column:
         return F.instr(p, " ")
@@ -210,20 +245,28 @@ def _go_fields(text: Column) -> Column:
 
 
 def _go_function(decl: Column, doc: Column) -> Column:
-    def group(n: int) -> Column:
+    def part(n: int) -> Column:
         return F.regexp_extract(decl, _GO_FUNC, n)
 
-    name = F.regexp_extract(decl, _GO_EXPORTED_FUNC, 1)
-    receiver = F.when(group(1) != "", F.concat(_go_fields(group(1)), F.lit(" "))).otherwise("")
-    several, single = _go_fields(group(4)), _go_type(trim(group(5)))
-    result = F.when(group(4) != "", several).when(group(5) != "", single).otherwise("")
-    printed = F.concat(
-        F.lit("func "), receiver, group(2), F.lit("("), _go_fields(group(3)), F.lit(")"),
-        F.when(result != "", F.concat(F.lit(" "), result)).otherwise(""),
-    )
-    # parameters that are functions themselves are left as written
-    raw = trim(F.regexp_replace(decl, r"[ ]*\{[^\n]*\z", ""))
-    return F.array(_symbol("function", name, F.when(group(2) != "", printed).otherwise(raw), doc))
+    # the signature ends where the body opens
+    rest = F.regexp_replace(part(3), r"(?s)(?<!\bstruct)(?<!\binterface) \{.*\z", "")
+    flat = F.transform(F.array(rest), _go_flat)
+
+    def printed(t: Column) -> Column:
+        def group(n: int) -> Column:
+            return F.regexp_extract(t, _GO_HEAD, n)
+
+        receiver = F.when(part(1) != "", F.concat(_go_fields(_go_flat(part(1))), F.lit(" "))).otherwise("")
+        result = F.when(group(2) != "", _go_fields(group(2))).when(group(3) != "", _go_type(trim(group(3)))).otherwise("")
+        whole = F.concat(
+            F.lit("func "), receiver, part(2), F.lit("("), _go_fields(group(1)), F.lit(")"),
+            F.when(result != "", F.concat(F.lit(" "), result)).otherwise(""),
+        )
+        # what does not parse is left as written
+        raw = F.concat(F.lit("func "), F.when(part(1) != "", F.concat(F.lit("("), part(1), F.lit(") "))).otherwise(""), part(2), rest)
+        return _symbol("function", part(2), F.when(t.rlike(_GO_HEAD), whole).otherwise(raw), doc)
+
+    return F.transform(flat, printed)
 
 
 def _go_types(decl: Column, doc: Column) -> Column:
@@ -232,25 +275,38 @@ def _go_types(decl: Column, doc: Column) -> Column:
         tail = F.when(g(2).isin("interface", "struct"), F.concat(F.lit(" "), g(2))).otherwise("")
         return _symbol(kind, g(1), F.concat(F.lit("type "), g(1), tail), doc)
 
-    return _each(decl, _GO_TYPE, make)
+    return _each(F.regexp_replace(decl, _GO_BLOCK, ""), _GO_TYPE, make)
 
 
 def _go_values(decl: Column, kind: str, doc: Column) -> Column:
-    heads = _all(decl, _GO_VALUE_HEAD, 1)
+    heads = _all(F.regexp_replace(decl, _GO_BLOCK, ""), _GO_VALUE_HEAD, 1)
     names = F.filter(
         F.flatten(F.transform(heads, lambda h: F.transform(F.split(h, ","), trim))), lambda n: n.rlike(r"\A\p{Lu}")
     )
     return F.transform(names, lambda n: _symbol(kind, n, F.concat(F.lit(kind + " "), n), doc))
 
 
+def _go_doc_text(comment: Column) -> Column:
+    """Text of a comment block: markers, directives and superfluous blank lines are left out."""
+    def lines(c: Column) -> Column:
+        return F.when(c.startswith("/*"), F.split(F.substring(c, F.lit(3), F.length(c) - 4), "\n")).otherwise(
+            F.array(F.regexp_replace(c, r"\A// ?", ""))
+        )
+
+    comments = F.filter(_all(comment, rf"(?dm)^//[^\n]*|^{_GO_BLOCK}"), lambda c: ~c.rlike(_GO_DIRECTIVE))
+    kept = F.transform(F.flatten(F.transform(comments, lines)), lambda l: F.regexp_replace(l, r"[ \t\r]+\z", ""))
+    text = F.regexp_replace(F.array_join(kept, "\n"), r"\A\n+|\n+\z", "")
+    return F.when(text == "", "").otherwise(F.concat(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit("\n")))
+
+
 def _go_chunks(text: Column) -> Column:
     """array<struct<doc, decl>> of the top-level declarations."""
     plain = F.replace(text, F.lit("\r\n"), F.lit("\n"))
 
     def cut(chunk: Column) -> Column:
-        comment = F.regexp_extract(chunk, r"(?dm)\A(?:^//[^\n]*\n)+", 0)
+        comment = F.regexp_extract(chunk, rf"(?dm)\A{_GO_COMMENTS}+", 0)
         return F.struct(
-            F.regexp_replace(comment, r"(?dm)^// ?", "").alias("doc"),
+            _go_doc_text(comment).alias("doc"),
             F.substring(chunk, F.length(comment) + 1, F.length(chunk)).alias("decl"),
         )
 

@@ -1,5 +1,7 @@
 """Symbol and import queries."""
 
+from pyspark.sql import functions as F
+
 from codestrata.operators import symbols
 from codestrata.plans.corpora import duck, load
 from codestrata.plans.oracle_parts import base, ext, trim
@@ -9,10 +11,86 @@ def _code(op, *args):
     return lambda spark, sf: op(load(spark, sf, "code"), *args)
 
 
+#: One Go file per order, with what line patterns cannot see: type parameters,
+#: functions and channels as parameters, grouped types, block comments, directives.
+#: %K is the order's key, %N a number of it, %T a name of it.
+NESTED_GO = """/*
+Package p%K holds
+
+   things of %T.
+
+*/
+package p%K
+
+/* Stack%K is generic. */
+//go:generate stringer
+type Stack%K[K comparable, V map[K][]int] struct {
+	Field []V
+}
+
+type (
+	Set%K[T any] interface {
+		Has(T) bool
+	}
+	Pair%K [%N]int
+)
+
+//
+// Push%K adds
+//
+//
+// %T.
+//go:noinline
+func (s *Stack%K[K, V]) Push%K(f func(a int, b ...string) (x, y int), m map[[%N]string][]V, c chan<- func() error) (out []func(int) bool, err error) {
+	return nil, nil
+}
+
+func Build%K[T any, L ~[]T](
+	items L, // the list
+	each func(T) func() error,
+	opts ...Option[T],
+) *Set%K[T] {
+	return nil
+}
+/*
+func Hidden%K() {}
+*/
+
+func Last%K(x interface{ M(int) string }, s struct{ A, B int }, n [%N]*pkg.T) func(int) chan int { return f(func() {}) }
+"""
+#: kind, name, signature and doc of its symbols, in order.
+NESTED_SYMBOLS = [
+    ("type", "Stack%K", "type Stack%K struct", " Stack%K is generic.\n"),
+    ("interface", "Set%K", "type Set%K interface", ""),
+    ("type", "Pair%K", "type Pair%K", ""),
+    ("function", "Push%K", "func s *... Push%K(f func, m map[[]string][]V, c ...) out []func, err error", "Push%K adds\n\n%T.\n"),
+    ("function", "Build%K", "func Build%K(items L, each func, opts ...) *...", ""),
+    ("function", "Last%K", "func Last%K(x interface{}, s ..., n []*pkg.T) func", ""),
+]
+
+
+def _nested_go(spark, sf):
+    def put(template, values):
+        for mark, value in values.items():
+            template = F.replace(template, F.lit(mark), value)
+        return template
+
+    values = {
+        "%K": F.col("o_orderkey").cast("string"), "%N": (F.col("o_custkey") % 7 + 1).cast("string"),
+        "%T": F.lower(F.col("o_orderstatus")),
+    }
+    made = spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.lit("nested").alias("repo"), F.concat(F.lit("p"), values["%K"], F.lit("/a.go")).alias("path"),
+        put(F.lit(NESTED_GO), values).alias("content"),
+    )
+    return symbols.go_symbols(made).select("path", "pos", "kind", "name", "signature", "doc")
+
+
 PATTERNS = ["src/**/*.js", "**/*.py", "lib/*.go", "test/*"]
 
 QUERIES = {
     "go_symbols": _code(symbols.go_symbols),
+    "go_symbols_nested": _nested_go,
     "js_symbols": _code(symbols.js_symbols),
     "py_symbols": _code(symbols.py_symbols),
     "java_symbols": _code(symbols.java_symbols),
@@ -127,7 +205,23 @@ _RENDER = (
     "on s.repo = e.repo and s.path = e.path"
 )
 
+
+
+def _nested_expected():
+    """The rows by construction: nothing is parsed here."""
+    def text(template):
+        quoted = template.replace("'", "''").replace("\n", "' || chr(10) || '")
+        return f"replace(replace('{quoted}', '%K', o_orderkey::varchar), '%T', lower(o_orderstatus))"
+
+    return " union all ".join(
+        f"select 'p' || o_orderkey || '/a.go' as path, {pos}::bigint as pos, '{kind}' as kind, {text(name)} as name, "
+        f"{text(signature)} as signature, {text(doc)} as doc from orders"
+        for pos, (kind, name, signature, doc) in enumerate(NESTED_SYMBOLS, 1)
+    )
+
+
 ORACLES = {
+    "go_symbols_nested": _nested_expected(),
     "go_symbols": _symbols(_GO),
     "js_symbols": _symbols(_JS),
     "py_symbols": _symbols(_PY),

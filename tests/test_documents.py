@@ -123,12 +123,81 @@ def test_go_symbols(files):
         ("type", "ID", "type ID", ""), ("type", "List", "type List", ""),
         ("function", "Start", "func s *Server Start(a int, b int, names []string) string, error", "Start runs.\n"),
         ("function", "Plain", "func Plain()", ""), ("function", "Wait", "func Wait(c ..., args ...) map[string]int", ""),
-        ("function", "Walk", "func Walk(f func(int) error) error", ""),
+        ("function", "Walk", "func Walk(f func) error", ""),
     ]
     assert [r.target for r in symbols.imports(df).orderBy("pos").collect()] == ["fmt", "os/exec", "single"]
     assert symbols.summarize(df).first().doc == "Package p does things.\n"
 
 
+GO_NESTED = """/*
+Package q holds
+
+   things.	
+
+*/
+package q
+
+/* Stack is generic. */
+//go:generate stringer
+type Stack[K comparable, V map[K][]int] struct {
+	Field []V
+}
+
+type (
+	/*
+	Lost = int
+	*/
+	Set[T any] interface {
+		Has(T) bool
+	}
+	Pair [2]int
+	Alias = interface{ M() }
+)
+
+//
+// Push adds
+//
+//
+// values.
+//go:noinline
+func (s *Stack[K, V]) Push(f func(a int, b ...string) (x, y int), m map[[2]string][]V, c chan<- func() error) (out []func(int) bool, err error) {
+	return nil, nil
+}
+
+func Build[T any, L ~[]T](
+	items L, // the list
+	each func(T) func() error,
+	opts ...Option[T],
+) *Set[T] {
+	return nil
+}
+/*
+func Hidden() {}
+*/
+
+func Last(x interface{ M(int) string }, s struct{ A, B int }, any2 any, n [3]*pkg.T) func(int) chan int { return f(func() {}) }
+func (Set[T]) Chan(<-chan chan int, map[string]chan struct{}) map[string]func(a []int) (int, error) {
+func Deep(f func(g func(h func(i []map[string]Box[int]) [2]int) error) (func(), error)) []*Box[Box[int]] {
+func External(a, _ int, b *(T)) (n int)
+"""
+
+
+def test_go_symbols_with_nested_types(files):
+    df = files(("a.go", GO_NESTED))
+    got = [(r.kind, r.name, r.signature, r.doc) for r in symbols.go_symbols(df).orderBy("pos").collect()]
+    assert got == [
+        ("type", "Stack", "type Stack struct", " Stack is generic.\n"),
+        ("interface", "Set", "type Set interface", ""), ("type", "Pair", "type Pair", ""), ("interface", "Alias", "type Alias interface", ""),
+        ("function", "Push", "func s *... Push(f func, m map[[]string][]V, c ...) out []func, err error", "Push adds\n\nvalues.\n"),
+        ("function", "Build", "func Build(items L, each func, opts ...) *...", ""),
+        ("function", "Last", "func Last(x interface{}, s ..., any2 any, n []*pkg.T) func", ""),
+        ("function", "Chan", "func ... Chan(..., map[string]...) map[string]func", ""),
+        ("function", "Deep", "func Deep(f func) []*...", ""),
+        ("function", "External", "func External(a int, _ int, b *...) n int", ""),
+    ]
+    assert symbols.summarize(df).first().doc == "Package q holds\n\n   things.\n"
+
+
 def test_c_functions(files):
     body = (
         "int\nmain (int argc) {\nif (x) {\nstatic char *name(void);\nfoo(1);\nvoid\nrun(int a);\n"
