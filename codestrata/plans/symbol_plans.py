@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codestrata.operators import symbols
-from codestrata.plans.corpora import duck, load
+from codestrata.plans.corpora import duck, load, spread
 from codestrata.plans.oracle_parts import base, ext, trim
 
 
@@ -79,7 +79,7 @@ def _nested_go(spark, sf):
         "%K": F.col("o_orderkey").cast("string"), "%N": (F.col("o_custkey") % 7 + 1).cast("string"),
         "%T": F.lower(F.col("o_orderstatus")),
     }
-    made = spark.read.parquet(f"{sf}/orders.parquet").select(
+    made = spread(spark.read.parquet(f"{sf}/orders.parquet")).select(
         F.lit("nested").alias("repo"), F.concat(F.lit("p"), values["%K"], F.lit("/a.go")).alias("path"),
         put(F.lit(NESTED_GO), values).alias("content"),
     )
