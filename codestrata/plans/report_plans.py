@@ -1,5 +1,7 @@
 """Prompt, report and batch queries."""
 
+from pyspark.sql import functions as F
+
 from codestrata.operators import batches, report
 from codestrata.plans.corpora import duck, load
 from codestrata.plans.inventory_plans import ORACLES as INVENTORY
@@ -7,6 +9,7 @@ from codestrata.plans.oracle_parts import language
 from codestrata.plans.token_plans import ORACLES as TOKENS
 from codestrata.plans.tree_plans import ORACLES as TREES
 from codestrata.session import scratch_path
+from codestrata.sources.report_sink import commit_report, committed_parts
 from codestrata.sources.sinks import write_report
 
 BUDGET = 200_000
@@ -38,7 +41,29 @@ def _prompt_sink(spark, sf):
     return spark.read.text(location).selectExpr("repo", "value as line")
 
 
+def _committed(kind):
+    """Two runs of one report, the second repeated, read back from the committed files of that one."""
+    def query(spark, sf):
+        folder = scratch_path(spark, f"reports-{kind}").removeprefix("file://").removeprefix("file:")
+        rows = report.project_report(load(spark, sf, "docs"))
+        keys = ["repo", "section", "key"]
+        commit_report(rows.limit(0), kind, folder, "r1", "corpus", keys)
+        for _ in range(2):
+            location = commit_report(rows, kind, folder, "r2", "corpus", keys)
+        names = spark.createDataFrame([(f,) for f in committed_parts(location)], "file string")
+        fields = "repo string, section string, key string, value string"
+        lines = spark.read.text([r["file"] for r in names.collect()])
+        if kind == "json":
+            row = F.from_json(F.regexp_replace("value", r"\A,", ""), fields)
+            return lines.filter("startswith(value, ',')").select(row.alias("r")).select("r.*")
+        row = F.from_xml("value", fields)
+        return lines.filter("startswith(value, '<row>')").select(row.alias("r")).select("r.*").withColumn("value", F.coalesce("value", F.lit("")))
+    return query
+
+
 QUERIES = {
+    "report_commit_json": _committed("json"),
+    "report_commit_xml": _committed("xml"),
     "prompt_text": lambda s, d: report.prompt_text(load(s, d, "docs")),
     "prompt_sink": _prompt_sink,
     "project_report": lambda s, d: report.project_report(load(s, d, "code")),
@@ -90,6 +115,8 @@ _PAIRS = ", ".join(
 _RANKED = f"select *, row_number() over (partition by repo order by section, key) as rank from ({_report('docs')})"
 
 ORACLES = {
+    "report_commit_json": _report("docs"),
+    "report_commit_xml": _report("docs"),
     "prompt_text": _PROMPT,
     "prompt_sink": f"select repo, unnest(string_split_regex(text, '\\r\\n|\\n|\\r')) as line from ({_on(_PROMPT, 'docs', 'code')})",
     "project_report": _report("code"),

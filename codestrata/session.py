@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import shutil
 import tempfile
@@ -63,10 +64,17 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers, once per application."""
+    """Make this package importable in Python workers, once per application.
+
+    Executors get it as a file; workers beside the driver (planning of streams)
+    do not, they find it by their search path.
+    """
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = Path(__file__).resolve().parent
+        environment = spark.sparkContext.environment
+        known = environment.get("PYTHONPATH", "")
+        environment["PYTHONPATH"] = f"{package.parent}{os.pathsep + known if known else ''}"
         target = Path(tempfile.mkdtemp(prefix="codestrata-")) / "codestrata_package"
         archive = shutil.make_archive(str(target), "zip", root_dir=package.parent, base_dir=package.name)
         spark.sparkContext.addPyFile(archive)

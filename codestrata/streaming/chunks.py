@@ -32,6 +32,25 @@ def chunk_files(files: DataFrame, size: int = CHUNK) -> DataFrame:
     )
 
 
+def checked_chunks(files: DataFrame, size: int = CHUNK, limit: int | None = None) -> DataFrame:
+    """``chunk_files`` with a column ``error``; a file without content or above ``limit`` bytes is one row with its error."""
+    data = F.col("content").cast("binary")
+    total = F.octet_length(data).cast("long")
+    error = F.when(data.isNull(), "no content")
+    if limit is not None:
+        error = error.when(total > limit, F.format_string(f"%d bytes are above the limit of {limit}", total))
+    known = files.select("repo", "path", "content", total.alias("total"), error.alias("error"))
+    last = F.floor(F.greatest(F.col("total") - 1, F.lit(0)) / size).cast("long")
+    numbers = F.when(F.col("error").isNull(), F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array(F.lit(0).cast("long")))
+    cut = F.transform(numbers, lambda n: F.struct(
+        n.alias("chunk_no"), (n * size).alias("offset"),
+        F.when(F.col("error").isNull(), F.substring(data, (n * size + 1).cast("int"), F.lit(size))).alias("data"),
+    ))
+    return known.select("repo", "path", "total", "error", F.inline(cut)).select(
+        "repo", "path", "chunk_no", "offset", "total", "data", "error"
+    )
+
+
 def streaming_stats(chunks: DataFrame, large: int = LARGE_FILE) -> DataFrame:
     """Running totals per repository; works on a batch and on a stream."""
     first = F.col("chunk_no") == 0
