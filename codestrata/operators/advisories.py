@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from codestrata.functions import rules
 from codestrata.functions.text import contains_any, lookup, trim
+from codestrata.session import stage
+from codestrata.sources.json_object import SPLIT, json_entries
 
 _KEEP = ["repo", "ecosystem", "manifest", "name", "version", "type", "line_no"]
 
@@ -21,24 +23,36 @@ def load_advisories(spark: SparkSession, path: str | None = None) -> DataFrame:
     seed = spark.range(1).select(F.inline(F.array(*literals)))
     if path is None:
         return seed
-    item = (
-        "struct<package_name:string,version:string,severity:string,cve_id:string,"
-        "description:string,recommendation:string>"
-    )
-    feed = spark.read.text(path, wholetext=True).select(
-        F.explode(F.from_json("value", f"map<string,array<{item}>>")).alias("name", "_items")
-    ).select("name", F.inline("_items"))
-    return seed.unionByName(
-        feed.select("name", *[F.coalesce(c, F.lit("")).alias(c) for c in
-                              ("version", "severity", "cve_id", "description", "recommendation")])
-    )
+    return seed.unionByName(feed_advisories(spark, path))
+
+
+_FEED_ITEM = (
+    "struct<package_name:string,version:string,severity:string,cve_id:string,"
+    "description:string,recommendation:string>"
+)
+
+
+def feed_advisories(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """Advisories of a feed ``{package: [advisory, ...]}``, read by many tasks.
+
+    Of a package listed twice the last list counts. A feed that does not parse,
+    in brackets, quotes or any entry, gives nothing.
+    """
+    entries, whole = json_entries(spark, path, split)
+    parsed = stage(entries.select(
+        "file", "at", F.from_json(F.concat(F.lit("{"), "entry", F.lit("}")), f"map<string,array<{_FEED_ITEM}>>").alias("_map")
+    ))
+    broken = parsed.filter("_map is null or cardinality(_map) != 1").select("file").union(whole.filter("not whole").select("file")).distinct()
+    sound = parsed.join(broken, "file", "left_anti").select("file", "at", F.explode("_map").alias("name", "_items"))
+    last = sound.groupBy("file", "name").agg(F.max_by("_items", "at").alias("_items"))
+    columns = ("version", "severity", "cve_id", "description", "recommendation")
+    return last.select("name", F.inline("_items")).select("name", *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
 def clean_version(version: Column) -> Column:
     """Strip each known prefix at most once, in the fixed order."""
-    for p in rules.VERSION_PREFIXES:
-        version = F.regexp_replace(version, rf"\A\Q{p}\E", "")
-    return trim(version)
+    prefixes = "".join(rf"(?:\Q{p}\E)?" for p in rules.VERSION_PREFIXES)
+    return trim(F.regexp_replace(version, rf"\A{prefixes}", ""))
 
 
 def strip_operators(version: Column) -> Column:
@@ -158,36 +172,33 @@ def vuln_counts(findings: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def vuln_summary(findings: DataFrame, old: DataFrame, n: int = 5) -> DataFrame:
-    """Report rows: counts, the ``n`` most severe findings, the first ``n`` outdated
-    packages and how many more there are.
+    """Report rows: counts, the ``n`` most severe findings with CVE and fix, the
+    first ``n`` outdated packages and how many more there are.
 
-    Counts and rankings read both inputs; stage the dependencies before the
-    checks where parsing them is the expensive part.
+    Findings and outdated packages are computed once, into one narrow table;
+    counts and rankings read that.
     """
-    worst = Window.partitionBy("repo").orderBy(
+    found = findings.withColumn("current_version", F.lit(None).cast("string")).withColumn("kind", F.lit("top"))
+    listed = old.withColumn("version", F.col("current_version")).withColumn("kind", F.lit("outdated"))
+    rows = stage(found.unionByName(listed.drop("latest_version"), allowMissingColumns=True))
+    text = F.when(F.col("kind") == "outdated", F.concat("name", F.lit(": "), "current_version")).otherwise(F.concat(
+        "name", F.lit("@"), "version", F.lit(" ["), "severity", F.lit("]\n    "), "description",
+        F.when(F.col("cve_id") != "", F.concat(F.lit("\n    CVE: "), "cve_id")).otherwise(""), F.lit("\n    Fix: "), "recommendation",
+    ))
+    worst = Window.partitionBy("repo", "kind").orderBy(
         lookup(F.col("severity"), rules.SEVERITY_RANK), *_encounter(), "stage", "advisory_version", "cve_id"
     )
-    top = findings.withColumn("rank", F.row_number().over(worst)).filter(F.col("rank") <= n).select(
-        "repo", F.lit("top").alias("section"), F.col("rank").cast("long").alias("rank"),
-        F.concat("name", F.lit("@"), "version", F.lit(" ["), "severity", F.lit("] "), "description").alias("text"),
-    )
-    first = Window.partitionBy("repo").orderBy(
-        *[c for c in _encounter()[:-1]], "current_version"
-    )
-    listed = old.withColumn("version", F.col("current_version")).withColumn(
-        "rank", F.row_number().over(first)
-    ).filter(F.col("rank") <= n).select(
-        "repo", F.lit("outdated").alias("section"), F.col("rank").cast("long").alias("rank"),
-        F.concat("name", F.lit(": "), "current_version").alias("text"),
+    ranked = rows.withColumn("rank", F.row_number().over(worst).cast("long")).filter(F.col("rank") <= n).select(
+        "repo", F.col("kind").alias("section"), "rank", text.alias("text")
     )
-    counts = vuln_counts(findings, old)
+    counts = vuln_counts(rows.filter("kind = 'top'"), rows.filter("kind = 'outdated'"))
 
     def entry(section: str, rank: int, text: Column, when: Column) -> Column:
         return F.when(
             when, F.struct(F.lit(section).alias("section"), F.lit(rank).cast("long").alias("rank"), text.alias("text"))
         )
 
-    rows = [
+    lines = [
         entry("count", i, F.concat(F.lit(f"{s}: "), F.col(s).cast("string")), F.col(s) > 0)
         for s, i in rules.SEVERITY_RANK.items()
     ] + [
@@ -196,5 +207,4 @@ def vuln_summary(findings: DataFrame, old: DataFrame, n: int = 5) -> DataFrame:
             F.col("total_outdated") > n,
         )
     ]
-    counted = counts.select("repo", F.inline(F.array_compact(F.array(*rows))))
-    return counted.unionByName(top).unionByName(listed)
+    return counts.select("repo", F.inline(F.array_compact(F.array(*lines)))).unionByName(ranked)

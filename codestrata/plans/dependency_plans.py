@@ -7,6 +7,7 @@ from codestrata.plans.oracle_parts import quote, split_lines, trim
 from codestrata.sources.manifests import json_section
 from codestrata.sources.sinks import write_vuln_report
 from codestrata.session import scratch_path, stage
+from pyspark.sql import functions as F
 
 _MAN = duck("man")
 
@@ -41,7 +42,27 @@ def _vuln_report(spark, sf):
     )
 
 
+def _feed(spark, sf):
+    """One JSON object with an entry per source, written from the documents, read by tasks of 64 KiB."""
+    folder = scratch_path(spark, "feed").removeprefix("file://").removeprefix("file:")
+    item = F.to_json(F.struct(
+        F.col("doc_id").cast("string").alias("version"), F.lit("low").alias("severity"), F.coalesce("text", F.lit("")).alias("description")
+    ))
+    entry = F.concat(F.to_json(F.array(F.concat("source", F.lit("/"), "doc_id"))), F.lit(":["), item, F.lit("]"))
+    entry = F.regexp_replace(entry, r"\A\[(.*?)\]:", "$1:")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("source is not null").select("doc_id", entry.alias("entry"))
+    last = docs.agg(F.max("doc_id")).first()[0]
+    lines = docs.coalesce(1).sortWithinPartitions("doc_id").select(F.concat(
+        F.when(F.monotonically_increasing_id() == 0, "{\n").otherwise(""), "entry", F.when(F.col("doc_id") == last, "\n}").otherwise(","),
+    ).alias("value"))
+    lines.write.text(folder)
+    [file] = [x for x in spark.read.text(folder).inputFiles()]
+    rows = advisories.feed_advisories(spark, file.removeprefix("file://").removeprefix("file:"), 1 << 16)
+    return rows.select("name", "version", "severity", F.md5("description").alias("digest"))
+
+
 QUERIES = {
+    "advisory_feed": _feed,
     "json_section": lambda s, d: json_section(load(s, d, "man").filter("path = 'package.json'"), "dependencies"),
     "node_deps": _on_man(dependencies.node_deps),
     "go_deps": _on_man(dependencies.go_deps),
@@ -239,7 +260,8 @@ _VULN_SUMMARY = (
         for s, i in rules.SEVERITY_RANK.items()
     )
     + " union all select repo, 'outdated', 6, '... and ' || (total_outdated - 5) || ' more' from counts where total_outdated > 5"
-    " union all select repo, 'top', rn, name || '@' || version || ' [' || severity || '] ' || description from top where rn <= 5"
+    " union all select repo, 'top', rn, name || '@' || version || ' [' || severity || ']' || chr(10) || '    ' || description "
+    "|| case when cve_id <> '' then chr(10) || '    CVE: ' || cve_id else '' end || chr(10) || '    Fix: ' || recommendation from top where rn <= 5"
     " union all select repo, 'outdated', rn, name || ': ' || current_version from old where rn <= 5"
 )
 
@@ -253,6 +275,8 @@ def _eco(part: str) -> str:
 
 
 ORACLES = {
+    "advisory_feed": "select source || '/' || doc_id as name, doc_id::varchar as version, 'low' as severity, md5(coalesce(text, '')) as digest "
+    "from documents where source is not null",
     "json_section": "select repo, 'package.json' as path, name, version from (" + _json("x", "package.json", {"dependencies": "p"}) + ")",
     "node_deps": _NODE,
     "go_deps": _eco(_GO),

@@ -49,6 +49,9 @@ def test_advisories(spark, files, tmp_path):
     assert got == {
         ("lodash", 1, "high"), ("own", 1, "critical"), ("axios", 2, "medium"), ("request", 3, "low"), ("request", 4, "medium"),
     }
+    summary = advisories.vuln_summary(advisories.check_dependencies(deps, known), advisories.outdated(deps))
+    top = [r.text for r in summary.filter("section = 'top'").orderBy("rank").collect()]
+    assert top[0] == "own@9.1 [critical]\n    bad\n    Fix: " and top[1].startswith("lodash@^4.17.15 [high]\n") and "\n    CVE: CVE-" in top[1]
     strict = advisories.match_advisories(deps, known, strict=True)
     assert {r.name for r in strict.collect()} == {"lodash", "own", "django"}
 
@@ -311,6 +314,29 @@ def test_batches_run(spark):
         assert [d for *_, d in mine] == [s > 50 for _, s, *_ in mine] and any(d for *_, d in mine)
 
 
+def test_feed_in_pieces_of_any_size(spark, tmp_path):
+    """However small the ranges, the feed is what one parser reads."""
+    feed = {
+        "plain": [{"version": "1", "severity": "low", "description": "d"}],
+        'quo"te\\\\': [{"version": "{[,", "description": 'a "b", {c} \\\\', "cve_id": "]}"}, {"version": "é漢"}],
+        "none": [], "\\\\\\": [{"version": "\\\\\\\\", "recommendation": "\\\\n,"}],
+    }
+    path = tmp_path / "feed.json"
+    names = ("version", "severity", "cve_id", "description", "recommendation")
+    want = sorted((k, *[x.get(n, "") for n in names]) for k, items in feed.items() for x in items)
+    for indent in (None, 1):
+        path.write_text("  " + json.dumps(feed, indent=indent, ensure_ascii=indent is None), encoding="utf-8")
+        for split in (1, 3, 17, 10**6):
+            got = advisories.feed_advisories(spark, str(path), split)
+            assert sorted(tuple(r) for r in got.collect()) == want, (indent, split)
+    # of a package listed twice the last list counts, as a map keeps one value
+    path.write_text('{"a": [{"version": "1"}], "b": [], "a": [{"version": "2"}, {"version": "3"}]}')
+    assert sorted(r.version for r in advisories.feed_advisories(spark, str(path), 5).collect()) == ["2", "3"]
+    for text in ("{}", "", "[]", '{"a": [{"version": "1"}]', '{"a": [{"version": "1"}], "b": 5, }', '{"a": [{"version": "1"}], "b: []}', '[{"a": []}]'):
+        path.write_text(text)
+        assert advisories.feed_advisories(spark, str(path), 4).count() == 0, text
+
+
 def test_batches_of_many_levels(spark, monkeypatch):
     """Pieces of four files, two at a time: the tree of maps has many levels."""
     monkeypatch.setattr(batches, "PIECE_BITS", 2)
