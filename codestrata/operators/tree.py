@@ -83,6 +83,37 @@ def _last_children(nodes: DataFrame) -> DataFrame:
     )
 
 
+def _is_last() -> Column:
+    here = (F.col("name") == F.col("_last_name")) & ((F.col("kind") == DIRECTORY) == F.col("_last_dir"))
+    return F.coalesce(here, F.lit(True))
+
+
+def _inside(nodes: DataFrame, last: DataFrame) -> DataFrame:
+    """(repo, parent, _indent, last child): what every directory hands down to its children.
+
+    Only directories look at the directories above them, a fraction of the nodes;
+    files take all they need from their own.
+    """
+    dirs = stage(
+        nodes.filter(F.col("kind") == DIRECTORY).join(last, ["repo", "parent"], "left").select(
+            "repo", "node_path", "depth", F.when(_is_last(), "    ").otherwise("│   ").alias("_piece")
+        )
+    )
+    parts = F.split(F.col("node_path"), "/")
+    path = F.transform(F.sequence(F.lit(1), F.col("depth").cast("int")), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    steps = dirs.filter("depth > 0").select("repo", "node_path", F.posexplode(path).alias("_at", "_dir"))
+    drawn = (
+        steps.join(dirs.select("repo", F.col("node_path").alias("_dir"), "_piece"), ["repo", "_dir"])
+        # one entry per level of the path
+        .groupBy("repo", "node_path").agg(F.array_sort(F.collect_list(F.struct("_at", "_piece"))).alias("_steps"))
+        .select("repo", "node_path", F.array_join(F.transform("_steps", lambda s: s["_piece"]), "").alias("_drawn"))
+    )
+    # the root's piece is blank
+    indent = F.concat(F.lit("    "), F.coalesce("_drawn", F.lit("")))
+    inside = dirs.join(drawn, ["repo", "node_path"], "left").select("repo", F.col("node_path").alias("parent"), indent.alias("_indent"))
+    return inside.join(last, ["repo", "parent"], "left")
+
+
 def tree_text(nodes: DataFrame, root_name: Column | None = None) -> DataFrame:
     """(repo, line_no, text): the tree drawn with box glyphs.
 
@@ -90,39 +121,14 @@ def tree_text(nodes: DataFrame, root_name: Column | None = None) -> DataFrame:
     """
     nodes = stage(nodes)
     root = F.col("repo") if root_name is None else root_name
-    last = F.coalesce(
-        (F.col("name") == F.col("_last_name")) & ((F.col("kind") == DIRECTORY) == F.col("_last_dir")), F.lit(True)
-    )
-    flagged = nodes.join(_last_children(nodes), ["repo", "parent"], "left").select(
-        "repo", "node_path", "name", "kind", "depth", last.alias("is_last")
-    )
-    # indentation of a node: one piece per directory above it, the root's is blank
-    parts = F.split(F.col("node_path"), "/")
-    above = F.when(
-        F.col("depth") > 1,
-        F.transform(F.sequence(F.lit(1), (F.col("depth") - 1).cast("int")), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")),
-    ).otherwise(F.array().cast("array<string>"))
-    dirs = flagged.filter(F.col("kind") == DIRECTORY).select(
-        "repo", F.col("node_path").alias("_dir"), F.when(F.col("is_last"), "    ").otherwise("│   ").alias("_piece")
-    )
-    steps = flagged.select("repo", "node_path", "name", "kind", "is_last", "depth", F.posexplode_outer(above).alias("_at", "_dir"))
-    indented = (
-        steps.join(dirs, ["repo", "_dir"], "left")
-        .groupBy("repo", "node_path", "name", "kind", "is_last", "depth")
-        # at most one entry per level of the path
-        .agg(F.array_sort(F.collect_list(F.when(F.col("_piece").isNotNull(), F.struct("_at", "_piece")))).alias("_steps"))
-    )
-    indent = F.concat(
-        F.when(F.col("depth") > 0, "    ").otherwise(""),
-        F.array_join(F.transform("_steps", lambda s: s["_piece"]), ""),
-    )
     text = F.concat(
-        indent, F.when(F.col("is_last"), "└── ").otherwise("├── "),
+        F.coalesce("_indent", F.lit("")), F.when(_is_last(), "└── ").otherwise("├── "),
         F.when(F.col("depth") == 0, root).otherwise(F.col("name")),
         F.when(F.col("kind") == DIRECTORY, "/").otherwise(""),
     )
-    lines = indented.select("repo", "node_path", "kind", text.alias("text"))
-    return _ranked(lines, "text").withColumnRenamed("rank", "line_no").select("repo", "line_no", "text")
+    # numbered before the joins: a range partition reads its input twice
+    lines = _ranked(nodes, "parent", "name", "kind", "depth").join(_inside(nodes, _last_children(nodes)), ["repo", "parent"], "left")
+    return lines.select("repo", F.col("rank").alias("line_no"), text.alias("text"))
 
 
 def tree_edges(nodes: DataFrame) -> DataFrame:
