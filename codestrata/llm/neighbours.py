@@ -113,10 +113,13 @@ class Space:
 
 
 def best_in_cell(
-    q: np.ndarray, q_id: np.ndarray, bound: np.ndarray, x: np.ndarray, x_id: np.ndarray, space: Space, k: int, stop: float,
+    q: np.ndarray, q_row: np.ndarray, bound: np.ndarray, x: np.ndarray, x_row: np.ndarray, x_id: np.ndarray,
+    space: Space, k: int, stop: float,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vector row, score) of up to k candidates per query, ties kept by smaller id.
 
+    ``q_row`` and ``x_row`` tell rows of the table apart: a query is no candidate of its own.
+
     Leaves are visited by growing projected distance, one per query and round,
     all queries of a leaf at once. A query ends when the next leaf's squared
     projected distance exceeds ``stop`` times its k-th squared distance so far.
@@ -145,7 +148,7 @@ def best_in_cell(
         for a, b in zip(starts, [*starts[1:], len(by)]):
             who, rows = active[by[a:b]], parts[leaf[by[a]]]
             score = q[who] @ x[rows].T
-            score[q_id[who][:, None] == x_id[rows][None, :]] = -np.inf
+            score[q_row[who][:, None] == x_row[rows][None, :]] = -np.inf
             reach = (score >= np.maximum(kth[who], top_score[who, -1])[:, None] - 1e-9 * np.abs(score).max(initial=0)).any(1)
             if not reach.any():
                 continue
@@ -153,7 +156,7 @@ def best_in_cell(
             # exact scores, the same for equal vectors wherever they lie
             some = np.flatnonzero((score >= kth[who][:, None] - 1e-9 * np.abs(score).max(initial=0)).any(0))
             exact = np.stack([(q[w] * x[rows[some]]).sum(1) for w in who])
-            exact[q_id[who][:, None] == x_id[rows[some]][None, :]] = -np.inf
+            exact[q_row[who][:, None] == x_row[rows[some]][None, :]] = -np.inf
             all_score = np.concatenate([top_score[who], exact], axis=1)
             all_row = np.concatenate([top_row[who], np.broadcast_to(rows[some], exact.shape)], axis=1)
             ids = np.where(all_row >= 0, x_id[all_row], np.iinfo(np.int64).max)
@@ -177,11 +180,13 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     size; a cell of many equal projections is dealt out by hash. Products are
     recomputed in double precision row by row, so equal vectors tie exactly and
     the smaller vec_id wins. Vectors that take no part are neither queries nor
-    candidates; of several lengths only the most frequent takes part. Rows with
-    equal vec_id are never candidates of each other.
+    candidates; of several lengths only the most frequent takes part. Rows are
+    told apart by a written key: of several rows with one vec_id each has its own
+    result and is a candidate of the others. A cell with many queries is sent once
+    for every QUERY_ROWS of them, a cell without queries not at all.
     """
     kind = number_kind(embeddings)
-    rows = stage(packed(embeddings).withColumn("is_query", F.coalesce(is_query, F.lit(False))))
+    rows = stage(packed(embeddings).withColumn("is_query", F.coalesce(is_query, F.lit(False))).withColumn("row", F.monotonically_increasing_id()))
     size = usual_size(rows)
     result = "query_id long, rank int, vec_id long, score double"
     if not size:
@@ -213,10 +218,11 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                 p = space.project(matrix(b.column("vector"), kind), False)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * PROJECTED, pa.int32()), pa.array(p.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("vec_id"), b.column("vector"), pa.array(cell_of(p, tree, depth)), flat], ["vec_id", "vector", "cell", "at"]
+                    [b.column("row"), b.column("vec_id"), b.column("vector"), pa.array(cell_of(p, tree, depth)), flat],
+                    ["row", "vec_id", "vector", "cell", "at"],
                 )
 
-    points = stage(valid.select("vec_id", "vector").mapInArrow(place, "vec_id long, vector binary, cell long, at array<double>"))
+    points = stage(valid.select("row", "vec_id", "vector").mapInArrow(place, "row long, vec_id long, vector binary, cell long, at array<double>"))
     extent = [f(F.get("at", F.lit(d))).alias(f"{name}{d}") for name, f in (("low", F.min), ("high", F.max)) for d in range(PROJECTED)]
     # at most MOST_CELLS rows
     boxes = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *extent).orderBy("cell").collect()
@@ -226,13 +232,11 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     parts = np.array([-(-r["n"] // target) for r in boxes])
     parts_of = F.create_map(*[F.lit(int(v)) for r in zip(cell_ids, parts) if r[1] > 1 for v in r]) if (parts > 1).any() else None
     many = F.coalesce(parts_of[F.col("cell")], F.lit(1)) if parts_of is not None else F.lit(1)
-    dealt = points.select("vec_id", "vector", "cell", F.pmod(F.xxhash64("vec_id", F.lit(3)), many).cast("long").alias("part"))
+    dealt = points.select("row", "vec_id", "vector", "cell", F.pmod(F.xxhash64("row", F.lit(3)), many).cast("long").alias("part"))
 
-    queries = stage(valid.filter("is_query").select("vec_id", "vector"))
-    chunks = max(1, -(-queries.count() // QUERY_ROWS))
-    asked = queries.withColumn("chunk", F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(chunks)).cast("long"))
+    asked = stage(valid.filter("is_query").select("row", "vec_id", "vector"))
     keys = ["cell", "part", "chunk"]
-    found_schema = "query_id long, vec_id long, score double"
+    found_schema = "ask long, query_id long, vec_id long, score double"
 
     def route(home: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +259,7 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                         seen = (cell == first[who]) & (part == 0)
                         who, cell, part = who[~seen], cell[~seen], part[~seen]
                     take = pa.array(who)
-                    names = ["vec_id", "vector", "chunk"] + ([] if home else ["bound"])
+                    names = ["row", "vec_id", "vector"] + ([] if home else ["bound"])
                     yield pa.RecordBatch.from_arrays(
                         [*(b.column(c).take(take) for c in names), pa.array(cell_ids[cell]), pa.array(part.astype(np.int64))], [*names, "cell", "part"]
                     )
@@ -267,32 +271,38 @@ def nearest(embeddings: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
             asks = g.column("asks").to_numpy()
             if asks.all() or not asks.any():
                 continue
-            x, x_id = matrix(g.filter(pa.array(~asks)).column("vector"), kind), g.column("vec_id").to_numpy()[~asks]
-            q, q_id = matrix(g.filter(pa.array(asks)).column("vector"), kind), g.column("vec_id").to_numpy()[asks]
+            x, q = (matrix(g.filter(pa.array(some)).column("vector"), kind) for some in (~asks, asks))
+            ids, rows = g.column("vec_id").to_numpy(), g.column("row").to_numpy()
             bound = g.column("bound").to_numpy()[asks]
-            who, row, score = best_in_cell(q, q_id, bound, x, x_id, space, k, stop)
-            yield pa.RecordBatch.from_arrays([pa.array(q_id[who]), pa.array(x_id[row]), pa.array(score)], ["query_id", "vec_id", "score"])
+            who, at, score = best_in_cell(q, rows[asks], bound, x, rows[~asks], ids[~asks], space, k, stop)
+            columns = [rows[asks][who], ids[asks][who], ids[~asks][at], score]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ask", "query_id", "vec_id", "score"])
 
     nothing = F.lit(float("-inf"))
-    spread = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)).cast("array<long>")))
 
     def searched(sent: DataFrame) -> DataFrame:
-        columns = ["cell", "part", "chunk", "asks", "bound", "vec_id", "vector"]
+        columns = ["cell", "part", "chunk", "asks", "bound", "row", "vec_id", "vector"]
+        # queries of a cell beyond QUERY_ROWS make further groups of that cell alone; a row per cell and part
+        asking = F.broadcast(stage(
+            sent.groupBy("cell", "part").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("long").alias("chunks"))
+        ))
+        spread = dealt.join(asking, ["cell", "part"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        routed = sent.join(asking, ["cell", "part"]).withColumn("chunk", F.pmod(F.xxhash64("row", F.lit(9)), F.col("chunks")))
         both = spread.withColumn("asks", F.lit(False)).withColumn("bound", nothing).select(*columns).unionByName(
-            sent.withColumn("asks", F.lit(True)).select(*columns)
+            routed.withColumn("asks", F.lit(True)).select(*columns)
         )
         return stage(both.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, found_schema))
 
-    sent_schema = "vec_id long, vector binary, chunk long, {}cell long, part long"
+    sent_schema = "row long, vec_id long, vector binary, {}cell long, part long"
     first = searched(asked.mapInArrow(route(True), sent_schema.format("")).withColumn("bound", nothing))
-    bounds = first.groupBy("query_id").agg(
+    bounds = first.groupBy("ask").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(nothing).alias("bound")
     )
-    known = asked.join(bounds, asked.vec_id == bounds.query_id, "left").select(
-        "vec_id", "vector", "chunk", F.coalesce("bound", nothing).alias("bound")
+    known = asked.join(bounds, asked.row == bounds.ask, "left").select(
+        "row", "vec_id", "vector", F.coalesce("bound", nothing).alias("bound")
     )
     rest = searched(known.mapInArrow(route(False), sent_schema.format("bound double, ")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("ask").orderBy(F.desc("score"), "vec_id")
     return (
         first.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

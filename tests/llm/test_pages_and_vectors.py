@@ -151,3 +151,32 @@ def test_neighbours_of_little(vectors):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
     few = neighbours.nearest(df.filter("vec_id in (1, 2, 3, 1000)"), F.lit(True)).collect()
     assert len(few) == 6
+
+
+def test_neighbours_of_repeated_rows_over_many_cells_and_groups(spark, monkeypatch):
+    """Rows of one id have results of their own; cells are split by their own queries only."""
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 256)
+    monkeypatch.setattr(neighbours, "QUERY_ROWS", 8)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = np.float32(centres[rng.integers(0, 40, 3000)] + rng.normal(scale=0.2, size=(3000, 16)))
+    ids = np.arange(3000)
+    ids[1:6] = 20  # several rows with the id of a query, three of them nearest to each other
+    x[1:4] = 3 * x[20]
+    df = spark.createDataFrame([(int(i), v.tolist(), 0) for i, v in zip(ids, x)], "vec_id long, embedding array<float>, label int")
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, 5).collect():
+        got.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    want, found = {}, 0
+    exact = x.astype(float) @ x.astype(float).T
+    for row in np.flatnonzero(ids % 20 == 0):
+        others = np.delete(np.arange(3000), row)
+        best = others[np.lexsort((ids[others], -exact[row, others]))[:5]]
+        for rank, at in enumerate(best, 1):
+            want.setdefault((int(ids[row]), rank), []).append(round(float(exact[row, at]), 6))
+    assert {k: len(v) for k, v in got.items()} == {k: len(v) for k, v in want.items()}
+    for key, scores in want.items():
+        mine = [round(s, 6) for _, s in got[key]]
+        found += sum(s in mine for s in scores)
+    assert found >= 0.97 * sum(map(len, want.values()))
+    assert sum(v == 20 for v, _ in got[20, 1]) >= 4
