@@ -13,6 +13,8 @@ _META = ["repo", "path", "size"]
 
 INCLUDE = ["**/*.go", "d1/*.js", "**/s?/**/*.{c,cpp,h}", "README.md", "d[0-3]/f1*"]
 EXCLUDE = ["*.log", "d3/", "/d4/s1", "!keep.log", "d5/**/f*.go", "vendor/", "*.r[bs]", "!f1*.rb", "!/d3/f3*"]
+#: Limits of the large-project gate (bytes, files, some files, mean bytes) between the repositories of the corpus.
+GATE = (65_000_000, 300, 200, 250_000)
 OPTIONS = CollectOptions(
     include=("**/*.*",), exclude=("*.sql",), min_size=20_000, max_size=450_000,
     max_files=60, max_total_size=5_000_000,
@@ -78,6 +80,7 @@ QUERIES = {
     "limit_files": _meta(collect.limit_files, 20),
     "fit_budget": _meta(collect.fit_budget, 40_000_000),
     "is_large_project": lambda s, d: collect.is_large_project(load(s, d, "inv")),
+    "is_large_project_tight": lambda s, d: collect.is_large_project(load(s, d, "inv"), *GATE),
     "classify_binary": lambda s, d: collect.classify_binary(load(s, d, "inv")).select("repo", "path", "is_binary"),
     "classify_binary_web": lambda s, d: collect.classify_binary(load(s, d, "web")).select("repo", "path", "is_binary"),
     "classify_incremental": _incremental,
@@ -188,6 +191,14 @@ _COLLECTED = (
 
 _TREE_SQL = "select " + ", ".join(f"{text} as {name}" for name, text in _TREE.items()) + " from documents"
 
+
+def _gate(size, count, some, mean):
+    return (
+        f"select *, total_size > {size} or file_count > {count} or (file_count > {some} and total_size // file_count > {mean}) "
+        f"as is_large from (select repo, count(*)::bigint as file_count, sum(size)::bigint as total_size from ({_INV}) group by repo)"
+    )
+
+
 ORACLES = {
     "scan_tree": f"select repo, path, strlen(content)::bigint as size, md5(content) as digest, null::varchar as error from ({_TREE_SQL})",
     "scan_tree_chunks": "select repo, path, chunk_no, chunk_no * 4096 as offset, total, octet_length(data)::bigint as bytes, md5(data) as digest from ("
@@ -207,8 +218,8 @@ ORACLES = {
     "size_between": f"select repo, path, size from ({duck('docs')}) where size between 1024 and 8000",
     "limit_files": f"select repo, path, size from (select *, row_number() over (partition by repo order by {_WALK}) as rn from ({_INV})) where rn <= 20",
     "fit_budget": _budget(_INV, 40_000_000),
-    "is_large_project": "select *, total_size > 524288000 or file_count > 10000 or (file_count > 5000 and total_size // file_count > 51200) "
-    f"as is_large from (select repo, count(*)::bigint as file_count, sum(size)::bigint as total_size from ({_INV}) group by repo)",
+    "is_large_project": _gate(524288000, 10000, 5000, 51200),
+    "is_large_project_tight": _gate(*GATE),
     "classify_binary": f"select repo, path, {_BINARY} as is_binary from ({_INV})",
     "classify_binary_web": f"select repo, path, {_BINARY} as is_binary from ({duck('web')})",
     "classify_incremental": f"select repo, path, size, {_BINARY} as is_binary from ({_INV})",

@@ -145,3 +145,16 @@ def test_scan_files(spark, tmp_path):
 def test_signatures(files, head, binary):
     rows = collect.classify_binary(files(("a.unknown", head.decode("latin-1")))).collect()
     assert rows[0].is_binary == (binary or any(c < 32 and c not in b"\t\n\r\x0c\x1b" for c in head))
+
+
+def test_large_project_gate_at_its_limits(spark):
+    """Each condition alone, just below and just above its limit."""
+    cases = {
+        "bytes": (1, 500 * 2**20 + 1, True), "bytes-": (1, 500 * 2**20, False),
+        "files": (10_001, 1, True), "files-": (10_000, 1, False),
+        "mean": (5_001, 50 * 2**10 + 1, True), "mean-": (5_001, 50 * 2**10, False), "mean+": (5_000, 50 * 2**10 + 1, False),
+    }
+    rows = spark.createDataFrame([(r, n, size) for r, (n, size, _) in cases.items()], "repo string, n int, size long")
+    files = rows.select("repo", "size", F.explode(F.sequence(F.lit(1), "n")))
+    got = {r.repo: r.is_large for r in collect.is_large_project(files).collect()}
+    assert got == {r: large for r, (*_, large) in cases.items()}
