@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codestrata.llm.shared import at_place, join_counted
 from codestrata.session import stage
 
 #: Fixed value: a token here is a run without ASCII white space.
@@ -17,6 +18,10 @@ ROUNDS = 6
 #: Decimals the exponent and the weights are rounded to.
 EXPONENT_DECIMALS, WEIGHT_DECIMALS = 6, 9
 _LOCAL_BITS = 33
+#: Copies of a row that are made from one array; more are made in steps.
+RUN = 4096
+#: Facts of the sources are broadcast up to this many bytes, and joined by exchange above.
+BROADCAST_BYTES = 8 << 20
 
 
 def token_count(text: Column) -> Column:
@@ -105,6 +110,17 @@ def order_key(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("/", *parts).cast("binary"))
 
 
+def repeated(rows: DataFrame, times: Column, name: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``name``; no array is longer than RUN or times / RUN."""
+    first = F.col("_step") * RUN
+    return (
+        rows.withColumn("_times", times.cast("long")).filter("_times > 0")
+        .withColumn("_step", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / RUN))))
+        .withColumn(name, F.explode(F.sequence(first, F.least(first + RUN, F.col("_times")) - 1)))
+        .drop("_times", "_step")
+    )
+
+
 def running_tokens(documents: DataFrame, order: list[str]) -> DataFrame:
     """Add ``before``: the tokens of the same source ahead of the row in ``order``.
 
@@ -147,43 +163,72 @@ def mix(
     equal doc_id count as documents of their own; null sources form a source,
     null ids and texts are ordinary values. An empty table gives an empty result.
     """
-    named = stage(documents.select(F.col("doc_id").cast("long"), "source", "n_tokens"))
+    named = stage(documents.select(F.col("doc_id").cast("long"), "source", "n_tokens", F.monotonically_increasing_id().alias("_row")))
     sources = stage(source_tokens(named))
     exponent = find_exponent(sources, entropy, repeats)
-    plan = budgets(sources, exponent, tokens).withColumn("epochs", F.ceil(F.col("budget") / F.col("tokens")).cast("int"))
+    plan = budgets(sources, exponent, tokens).withColumn("epochs", F.expr("(budget + tokens - 1) div tokens"))
     joined = named.join(
         plan.select(F.col("source").alias("_source"), F.col("tokens").alias("_all"), "budget", "epochs"),
         F.col("source").eqNullSafe(F.col("_source")), "left",
     ).drop("_source")
     seeded = F.lit(str(seed))
-    whole = F.coalesce(F.col("epochs"), F.lit(1))
-    copies = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(whole, F.lit(1)) - 1)))
+    copies = repeated(joined, F.greatest(F.coalesce(F.col("epochs"), F.lit(1)), F.lit(1)), "epoch")
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     keyed = copies.withColumn("_key", order_key(seeded, F.col("epoch").cast("string"), doc))
-    placed = running_tokens(keyed, ["epoch", "_key", "doc_id"])
+    placed = running_tokens(keyed, ["epoch", "_key", "doc_id", "_row"])
     inside = F.col("before") < F.coalesce(F.col("budget"), F.lit(1))
     free = F.col("n_tokens") == 0
     kept = placed.filter(F.when(free, F.col("epoch") == 0).otherwise(inside))
     block = F.least(F.floor(F.col("before") * blocks / F.greatest(F.coalesce("budget", F.lit(1)), F.lit(1))), F.lit(blocks - 1))
     return kept.select(
-        "doc_id", "source", "n_tokens", "epoch", F.col("before").alias("start"), block.cast("int").alias("block"),
+        "doc_id", "source", "n_tokens", F.col("epoch").cast("int"), F.col("before").alias("start"), block.cast("int").alias("block"),
         order_key(seeded, F.lit("block"), F.col("epoch").cast("string"), doc).alias("place"),
     )
 
 
-def mix_rows(documents: DataFrame, entropy: float | None = None, repeats: float | None = None, tokens: int | None = None) -> DataFrame:
+def mix_rows(
+    documents: DataFrame, entropy: float | None = None, repeats: float | None = None, tokens: int | None = None, seed: int = 17,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """The rows of ``documents``, each as often as the mixture holds it, columns unchanged.
 
-    What is decided by ids only is joined back to the texts: rows that share a
-    doc_id share its count.
+    The texts stay where they are read. A source's budget is a number of whole
+    epochs, which is a count, and a part of one more, which holds the rows up to
+    the last one that begins within it: one row of facts per source, found from
+    narrow rows and joined to the texts (``broadcast_bytes`` decides how, not
+    what). A row is known by its place, so rows with one doc_id, repeated rows and
+    rows without doc_id are documents of their own; null sources form a source;
+    documents without words stay once. An empty table gives an empty result, and
+    column names cannot clash.
     """
-    counted = documents.select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
-    unique = counted.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("n_tokens").alias("n_tokens"))
-    times = mix(unique, entropy, repeats, tokens).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("_times"))
-    # grows with the documents, so it is merged at every size and never broadcast
-    times = stage(times).withColumnRenamed("doc_id", "_id").hint("merge")
-    return (
-        documents.join(times, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-        .drop("_id", "_times", "_copy")
+    rows = at_place(documents)
+    given = F.col("row")
+    text, doc = given["text"].cast("string"), F.coalesce(given["doc_id"].cast("long").cast("string"), F.lit(""))
+    known = rows.select(
+        "row", given["source"].alias("source"), doc.alias("doc"), F.xxhash64(text).alias("tie"), "file", "at",
     )
+    narrow = stage(known.select("source", "doc", "tie", "file", "at", token_count(text).alias("n_tokens")))
+    sources = stage(source_tokens(narrow))
+    size = sources.agg((F.sum(F.coalesce(F.octet_length("source"), F.lit(0))) + 256 * F.count(F.lit(1))).alias("size")).first()["size"] or 0
+    plan = stage(
+        budgets(sources, find_exponent(sources, entropy, repeats), tokens)
+        .select("source", F.expr("budget div tokens").alias("full"), F.expr("budget % tokens").alias("rest"))
+    )
+
+    def with_plan(left: DataFrame, facts: DataFrame, values: list[str]) -> DataFrame:
+        if size <= broadcast_bytes:
+            right = F.broadcast(facts.select(F.col("source").alias("_source"), *values))
+            return left.join(right, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+        return join_counted(left, facts, "source", values)
+
+    counts = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("_rows"))
+    plan = stage(counts.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"))
+    key = order_key(F.lit(str(seed)), F.col("full").cast("string"), F.col("doc"))
+    place = F.struct(key.alias("key"), "doc", "tie", "file", "at")
+    last_epoch = with_plan(narrow.filter("n_tokens > 0"), plan, ["full", "rest"]).filter("rest > 0").withColumn("key", key)
+    taken = running_tokens(last_epoch, ["key", "doc", "tie", "file", "at"]).filter("before < rest")
+    ends = taken.groupBy("source").agg(F.max(F.struct("key", "doc", "tie", "file", "at")).alias("end")).withColumnRenamed("source", "_source")
+    facts = stage(plan.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"))
+    words = F.coalesce(text.rlike(TOKEN), F.lit(False))
+    times = F.when(words, F.col("full") + F.coalesce(place <= F.col("end"), F.lit(False)).cast("long")).otherwise(1)
+    return repeated(with_plan(known, facts, ["full", "end"]), times, "copy").select("row.*")

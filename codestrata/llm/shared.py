@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codestrata.session import stage
@@ -15,6 +16,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def at_place(rows: DataFrame) -> DataFrame:
+    """(row, file, at): each row as one struct, with a place that is the same at every reading.
+
+    Rows of files are known by a hash of the file's path and their index in it;
+    rows that come from elsewhere are written first. Rows that a join makes from
+    one row of a file share its place.
+    """
+    def placed(given: DataFrame) -> DataFrame:
+        file = given.metadataColumn("_metadata")
+        columns = [F.col("`" + c.replace("`", "``") + "`") for c in given.columns]
+        return given.select(F.struct(*columns).alias("row"), F.xxhash64(file["file_path"]).alias("file"), file["row_index"].alias("at"))
+
+    try:
+        return placed(rows)
+    except AnalysisException:
+        return placed(stage(rows))
+
+
+#: Bits of the table that tells which keys certainly have no partner; its size does not grow with the data.
+MARKS = 1 << 25
+
+
+def split_marked(rows: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(may, not): the rows that may have a partner in ``keys``, and those that certainly have none.
+
+    Each key sets one of MARKS bits, kept as at most MARKS / 64 words, which are
+    broadcast. So rows without partner are told apart before an exchange, except
+    the share whose bit is set by another key. ``rows`` is read once for each part.
+    """
+    def word(k: Column) -> Column:
+        return F.shiftright(F.pmod(F.xxhash64(k), F.lit(MARKS)), 6)
+
+    def bit(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(k), F.lit(64)).cast("int"))
+
+    marks = stage(keys.groupBy(word(F.col(key)).alias("_word")).agg(F.bit_or(bit(F.col(key))).alias("_bits")))
+    checked = rows.withColumn("_at", word(F.col(key))).join(F.broadcast(marks), F.col("_at") == F.col("_word"), "left")
+    met = F.coalesce(F.col("_bits").bitwiseAND(bit(F.col(key))) != 0, F.lit(False))
+    return checked.filter(met).select(*rows.columns), checked.filter(~met).select(*rows.columns)
+
+
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Consecutive rows with equal ``keys``, over batch borders.
 

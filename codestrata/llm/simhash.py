@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from codestrata.llm.shared import components, groups, split_large
+from codestrata.llm.shared import components, groups, split_large, split_marked
 from codestrata.session import stage
 
 BITS = 64
@@ -372,10 +372,14 @@ def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096) -> D
     the groups; they hold every near copy of their members. A group above
     ``group_rows`` (where ROW_SHINGLES shingles count as one row more) is dealt
     out in pairs of chunks, as a whole or bucket by bucket, whichever copies fewer
-    rows. Sets are made again from the texts of candidates only, and from a group
-    come only the edges of a spanning forest. ``rows`` must give the same rows
-    each time it is read.
+    rows. Sets are made again from the texts of candidates only: texts that are
+    certainly none are left out before the exchange, and a set is sent once for
+    each group it is dealt to. From a group come only the edges of a spanning
+    forest. ``row`` is of any type that has an order; ``rows`` must give the same
+    rows each time it is read.
     """
+    kind = rows.schema["row"].dataType.simpleString()
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column("text")]
@@ -390,7 +394,7 @@ def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096) -> D
             )
 
     texts = rows.select("row", F.col("text").cast("string"))
-    found = stage(texts.mapInArrow(describe, "row long, node long, size long, bands array<long>"))
+    found = stage(texts.mapInArrow(describe, f"row {kind}, node long, size long, bands array<long>"))
     listed = found.select("node", F.explode("bands").alias("bucket")).distinct()
     shared = listed.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "first")
     met = stage(listed.join(shared, "bucket"))
@@ -401,25 +405,35 @@ def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096) -> D
     # copies of rows that either way of dealing makes, by component
     chunks = F.ceil(F.col("w") / group_rows)
     whole = members.groupBy("component").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n")).select("component", (F.col("n") * chunks).alias("whole"), chunks.alias("c"))
-    large = stage(members.join(whole.filter("c > 1"), "component").select("node", "component", "weight", "whole"))
-    placed = stage(met.join(large, "node").select("node", "component", "weight", "whole", "bucket"))
+    large = stage(members.join(whole.filter("c > 1"), "component").select("node", "row", "component", "weight", "whole"))
+    placed = stage(met.join(large, "node").select("node", "row", "component", "weight", "whole", "bucket"))
     split = (
         placed.groupBy("bucket").agg(F.sum("weight").alias("w"), F.count(F.lit(1)).alias("n"), F.first("component").alias("component"), F.first("whole").alias("whole"))
         .groupBy("component").agg(F.sum(F.col("n") * chunks).alias("parts"), F.first("whole").alias("whole")).filter("parts < whole").select("component")
     )
     split = stage(split)
-    grouped = members.join(split, "component", "left_anti").select("node", "weight", F.col("component").alias("group")).unionByName(
-        placed.join(split, "component", "left_semi").select("node", "weight", F.col("bucket").alias("group"))
+    grouped = members.join(split, "component", "left_anti").select("node", "row", "weight", F.col("component").alias("group")).unionByName(
+        placed.join(split, "component", "left_semi").select("node", "row", "weight", F.col("bucket").alias("group"))
     )
     dealt = stage(split_large(grouped, ["group"], group_rows, F.col("node"), F.col("weight")).drop("weight"))
 
+    keys = ["group", "chunk_a", "chunk_b"]
+    carried = [*keys, "chunk", "node"]
+
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, packed = None, b""
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(sets, pa.binary())], ["node", "hashes"])
-
-    sets = texts.join(members.select("row", "node"), "row").select("node", "text").mapInArrow(gather, "node long, hashes binary")
-    keys = ["group", "chunk_a", "chunk_b"]
+            sets = []
+            for node, text in zip(b.column("node").to_pylist(), b.column("text")):
+                if node != last:  # the groups of a row follow each other
+                    last, packed = node, np.unique(shingle_hashes(text.as_py(), shingle)).tobytes()
+                sets.append(packed)
+            yield pa.RecordBatch.from_arrays([*map(b.column, carried), pa.array(sets, pa.binary())], [*carried, "hashes"])
+
+    candidates, _ = split_marked(texts, members.select("row"), "row")
+    sets = candidates.join(dealt, "row").select(*carried, "text").mapInArrow(
+        gather, "group long, chunk_a int, chunk_b int, chunk int, node long, hashes binary"
+    )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, keys):
@@ -428,7 +442,7 @@ def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096) -> D
             node, at = g.column("node").to_numpy(), np.array(edges, int).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(node[at[:, 0]]), pa.array(node[at[:, 1]])], ["a", "b"])
 
-    edges = dealt.join(sets, "node").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
+    edges = sets.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
     labels = components(edges)
     return found.select("row", "node").join(labels, "node", "left").select("row", F.coalesce("component", "node").alias("component"))
 

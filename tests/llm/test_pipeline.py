@@ -63,3 +63,25 @@ def test_near_copies_are_judged_by_row(spark):
         (None, "no id and these six words"): 1, (None, "a text of its own"): 1, (5, "repeated row with one id and text"): 1,
         (1, "the text of the smallest id here"): 1, (7, "what only the seventh row has to say"): 1, (9, "copy of a row without any id"): 1,
     })
+
+
+def test_stages_take_nulls_ties_empty_tables_and_any_column(spark):
+    clash = ["row", "file", "at", "key", "tie", "doc", "copy", "_times", "_step", "_at", "_metadata"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in clash)
+    words = " ".join(f"word{i}" for i in range(3000))
+    base = [
+        (1, "one two three four five six", "en", "a"), (1, "one two three four five six", "en", "a"), (None, None, None, None),
+        (2, "", "en", "b"), (None, "nothing like the rest of them here", "en", None), (3, words, "de", "b"), (4, words + " more", "de", "b"),
+    ]
+    docs = spark.createDataFrame([(i, t, l, s, len(t or ""), *clash) for i, t, l, s in base], schema)
+    for _, step in corpus_pipeline.STAGES:
+        got = step(spark, docs, SF)
+        assert step(spark, docs.limit(0), SF).count() == 0
+        if step is not corpus_pipeline.pack_sequences:
+            assert got.columns == docs.columns
+            assert {r["row"] for r in got.collect()} <= {"row"}
+    single = corpus_pipeline.keep_one_of_near_copies(spark, docs, SF)
+    assert Counter(r["doc_id"] for r in single.collect()) == Counter([1, 2, 3, None])
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} == {(i, t) for i, t, _, _ in base}
+    assert sum(r["doc_id"] == 1 for r in mixed.collect()) >= 2

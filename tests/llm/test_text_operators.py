@@ -176,6 +176,29 @@ def test_mixing_edges(odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in ODD}
 
 
+@pytest.mark.parametrize("broadcast_bytes", [mixing.BROADCAST_BYTES, 0])
+def test_rows_of_the_mixture_are_those_of_its_streams(spark, broadcast_bytes):
+    rows = [(i, "w " * (i % 9), ["big", "big", "big", "mid", None][i % 5] if i % 50 else f"s{i % 3}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for how in ({"entropy": 0.97}, {"repeats": 1.5}, {"repeats": 1.25, "tokens": 3000}):
+        want = Counter(r["doc_id"] for r in mixed(df, **how).collect())
+        got = Counter(r["doc_id"] for r in mixing.mix_rows(df, **how, broadcast_bytes=broadcast_bytes).collect())
+        assert got == want
+
+
+def test_half_the_ids_null_and_a_source_of_one_token(spark):
+    rows = [(None if i % 2 else i, f"text number {i} of all", "big") for i in range(2000)] + [(1, "alone", "small")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = Counter(r["text"] for r in mixing.mix_rows(df, entropy=0.9).collect())
+    assert set(got) == {r[1] for r in rows} and {got[t] for _, t, s in rows if s == "big"} == {1}
+    # entropy 0.9 of two sources needs a share of 0.316 for the small one
+    assert got["alone"] == pytest.approx(10000 * 0.316 / 0.684, rel=0.01)
+    listed = mixed(df, entropy=0.9).filter("source = 'small'")
+    assert listed.count() == got["alone"] and listed.select("epoch").distinct().count() == got["alone"]
+    part = mixing.mix_rows(df, repeats=1.0, tokens=5001)
+    assert sum(len(r["text"].split()) for r in part.collect() if r["source"] == "big") == pytest.approx(5000, abs=10)
+
+
 def test_a_source_of_one_token_beside_a_large_one(spark):
     sources = spark.createDataFrame([("small", 1, 1), ("large", 10**10, 10**6)], "source string, tokens long, docs long")
     got = {r["source"]: r["budget"] for r in mixing.budgets(sources, 1.0).collect()}
