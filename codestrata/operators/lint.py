@@ -5,11 +5,13 @@ Issue columns: repo, path, line, column, severity, message, rule, linter, fixabl
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codestrata.functions.text import split_lines, trim
+from codestrata.functions.text import any_of, split_lines, trim
+from codestrata.session import stage
 
 COLUMNS = ["repo", "path", "line", "column", "severity", "message", "rule", "linter", "fixable"]
 
@@ -31,57 +33,78 @@ def _rule(test: Column, rule: tuple, seq: int) -> Column:
     ))
 
 
-def _lint(files: DataFrame, suffixes: list[str], linter: str, stage: int, hint: Column, rules: list[Column]) -> DataFrame:
-    """Rules on the split lines of matching files; ``hint`` skips whole files."""
-    wanted = reduce(lambda a, b: a | b, [F.col("path").endswith(s) for s in suffixes])
+@dataclass(frozen=True)
+class RuleSet:
+    """Rules of the files with some suffix; ``hint`` skips whole files that hold no issue."""
+
+    suffixes: tuple[str, ...]
+    linter: str
+    stage: int
+    hint: Column
+    rules: list[Column]
+
+    def wanted(self) -> Column:
+        return any_of(F.col("path").endswith(s) for s in self.suffixes) & self.hint
+
+
+def _lint(files: DataFrame, sets: list[RuleSet]) -> DataFrame:
+    """Rules on the split lines of matching files, all sets in one pass.
+
+    A suffix belongs to one set only, so a file has at most one.
+    """
+    def by_set(value) -> Column:
+        first, *rest = sets
+        return reduce(lambda cases, s: cases.when(F.col("stage") == s.stage, value(s)), rest, F.when(F.col("stage") == first.stage, value(first)))
+
+    stage_of = F.coalesce(*[F.when(s.wanted(), s.stage) for s in sets]).cast("long")
     return (
-        files.filter(wanted).filter(hint)
-        .select("repo", "path", F.posexplode(split_lines(F.col("content"))).alias("_pos", "_line"))
-        .select("repo", "path", "_pos", "_line", trim(F.col("_line")).alias("_text"))
-        .select("repo", "path", (F.col("_pos") + 1).cast("long").alias("line"), F.inline(F.array_compact(F.array(*rules))))
+        files.filter(any_of(s.wanted() for s in sets))
+        .select("repo", "path", stage_of.alias("stage"), F.posexplode(split_lines(F.col("content"))).alias("_pos", "_line"))
+        .select("repo", "path", "stage", "_pos", "_line", trim(F.col("_line")).alias("_text"))
+        .select(
+            "repo", "path", "stage", (F.col("_pos") + 1).cast("long").alias("line"),
+            F.inline(by_set(lambda s: F.array_compact(F.array(*s.rules)))),
+        )
         .select(
             "repo", "path", "line", F.lit(0).cast("long").alias("column"), "severity", "message", "rule",
-            F.lit(linter).alias("linter"), "fixable", F.lit(stage).cast("long").alias("stage"), "seq",
+            by_set(lambda s: F.lit(s.linter)).alias("linter"), "fixable", "stage", "seq",
         )
     )
 
 
-def _js(files: DataFrame) -> DataFrame:
+def _js() -> RuleSet:
     line, content = F.col("_line"), F.col("content")
     quiet = ~line.contains("//")
-    hint = reduce(lambda a, b: a | b, [content.contains(m) for m in JS_RULES])
     rules = [_rule(line.contains(m) & quiet, r, i) for i, (m, r) in enumerate(JS_RULES.items())]
-    return _lint(files, [".js", ".ts"], "basic-js", 1, hint, rules)
+    return RuleSet((".js", ".ts"), "basic-js", 1, any_of(content.contains(m) for m in JS_RULES), rules)
 
 
-def _go(files: DataFrame) -> DataFrame:
+def _go() -> RuleSet:
     text = F.col("_text")
     rest = F.substring(text, F.lit(4), F.length(text))
     test = text.startswith("// ") & (rest.contains("func ") | rest.contains("if "))
-    return _lint(files, [".go"], "basic-go", 2, F.col("content").contains("// "), [_rule(test, GO_RULE, 0)])
+    return RuleSet((".go",), "basic-go", 2, F.col("content").contains("// "), [_rule(test, GO_RULE, 0)])
 
 
-def _py(files: DataFrame) -> DataFrame:
-    return _lint(
-        files, [".py"], "basic-py", 3, F.col("content").contains("print("), [_rule(F.col("_text").startswith("print("), PY_RULE, 0)]
-    )
+def _py() -> RuleSet:
+    return RuleSet((".py",), "basic-py", 3, F.col("content").contains("print("), [_rule(F.col("_text").startswith("print("), PY_RULE, 0)])
 
 
 def lint_js(files: DataFrame) -> DataFrame:
-    return _js(files).select(*COLUMNS)
+    return _lint(files, [_js()]).select(*COLUMNS)
 
 
 def lint_go(files: DataFrame) -> DataFrame:
-    return _go(files).select(*COLUMNS)
+    return _lint(files, [_go()]).select(*COLUMNS)
 
 
 def lint_py(files: DataFrame) -> DataFrame:
-    return _py(files).select(*COLUMNS)
+    return _lint(files, [_py()]).select(*COLUMNS)
 
 
 def lint(files: DataFrame) -> DataFrame:
-    """All rule sets; (stage, path, line, seq) is the reporting order."""
-    return reduce(DataFrame.unionByName, [_js(files), _go(files), _py(files)])
+    """All rule sets in one pass over the contents; (stage, path, line, seq) is the reporting order."""
+    return _lint(files, [_js(), _go(), _py()])
 
 
 # --- reports of external linters ---------------------------------------------------
@@ -161,8 +184,10 @@ def lint_summary(issues: DataFrame, n: int = 10) -> DataFrame:
     """Report rows (repo, section, key, count): totals by severity, fixable, by
     linter, by file and the first ``n`` issues in reporting order.
 
-    Totals, linters and files are grouping sets of one aggregate.
+    Totals, linters and files are grouping sets of one aggregate. The issues are
+    written once, so contents are not read again for the first ones.
     """
+    issues = stage(issues)
     counts = (
         issues.groupingSets([["repo"], ["repo", "linter"], ["repo", "path"]], "repo", "linter", "path")
         .agg(

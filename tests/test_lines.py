@@ -7,7 +7,8 @@ import pytest
 from codestrata.functions import rules
 from codestrata.functions.tokens import CHARS_BY_WEIGHT, estimate
 from codestrata.functions.text import WHITE_SPACE
-from codestrata.operators import quality, security, tokens
+from codestrata.operators import lint, quality, security, tokens
+from codestrata.session import stage
 from codestrata.sources.lines import explode_lines
 from pyspark.sql import functions as F
 
@@ -143,3 +144,15 @@ def test_configuration_checks(files):
     )
     got = sorted((r.path, r.line, r.severity) for r in security.security_issues(df).filter("stage = 3").collect())
     assert got == [("Dockerfile", 0, "medium"), ("Dockerfile", 2, "high"), ("a.js", 2, "critical"), ("a/Dockerfile", 1, "high")]
+
+
+def test_lint_reads_contents_once(files):
+    given = stage(files(
+        ("a.js", "x\ndebugger\n"), ("b.go", "// if x\n"), ("c.py", "print(1)\nvar\n"), ("d.md", "debugger\n"), ("e.ts", ""), ("f.py", "debugger // if print("),
+    ))
+    found = lint.lint(given)
+    assert sorted((r["path"], r["line"], r["rule"], r["linter"], r["stage"]) for r in found.collect()) == [
+        ("a.js", 2, "no-debugger", "basic-js", 1), ("b.go", 1, "no-commented-code", "basic-go", 2), ("c.py", 1, "use-logging", "basic-py", 3),
+    ]
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert lint.lint_summary(found).filter("section = 'top'").count() == 3
