@@ -6,8 +6,6 @@ suggestion, matched. Stages: 1 permission, 2 secret, 3 config, 4 file.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codestrata.functions import rules
@@ -44,10 +42,42 @@ def _issues(files: DataFrame, stage: int, kind: str, found: Column) -> DataFrame
 # --- secrets --------------------------------------------------------------------
 
 
+_SECRET_HINT = rx(rules.SECRET_HINT, ignore_case=True)
+
+
+def _is_plain(path: Column) -> Column:
+    return ~contains_any(path, rules.SECRET_SKIP_DIRS) & ~ends_with_any(path, rules.SECRET_SKIP_SUFFIXES)
+
+
+def _may_hold_secret(line: Column) -> Column:
+    text = trim(line)
+    return line.rlike(_SECRET_HINT) & ~(text.startswith("//") | text.startswith("#") | text.startswith("/*"))
+
+
+def _secret_issues(line: Column, number: Column, max_match_chars: int | None = None) -> Column:
+    """Issues of one line; each pattern runs once."""
+    candidates = F.array(*[
+        F.struct(
+            F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(i).alias("seq"),
+            F.regexp_extract(line, rx(pattern, fold), 0).alias("hit"),
+        )
+        for i, (name, severity, fold, pattern) in enumerate(rules.SECRET_PATTERNS)
+    ])
+
+    def issue(c: Column) -> Column:
+        matched = c["hit"]
+        if max_match_chars is not None:
+            short = F.concat(F.left(matched, F.lit(max_match_chars)), F.lit("..."))
+            matched = F.when(F.length(matched) > max_match_chars, short).otherwise(matched)
+        description = F.concat(c["name"], F.lit(" detected in code"))
+        return _issue(c["severity"], description, rules.SECRET_SUGGESTION, number, matched, c["seq"])
+
+    return F.transform(F.filter(candidates, lambda c: c["hit"] != ""), issue)
+
+
 def secret_scan_scope(files: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
     """Files plain enough to be searched for secrets, and small enough if a limit is given."""
-    path = F.col("path")
-    plain = files.filter(~contains_any(path, rules.SECRET_SKIP_DIRS) & ~ends_with_any(path, rules.SECRET_SKIP_SUFFIXES))
+    plain = files.filter(_is_plain(F.col("path")))
     return plain if max_file_bytes is None else plain.filter(F.col("size") <= max_file_bytes)
 
 
@@ -57,35 +87,12 @@ def _secret_scan(files: DataFrame, max_file_bytes: int | None = None, max_match_
     A cheap hint every match must contain removes whole files, then lines,
     before the patterns run; each pattern runs once per remaining line.
     """
-    hint = rx(rules.SECRET_HINT, ignore_case=True)
     lines = (
-        secret_scan_scope(files, max_file_bytes).filter(F.col("content").rlike(hint))
-        .select("repo", "path", F.posexplode(scan_lines(F.col("content"))).alias("_pos", "line"))
-        .filter(F.col("line").rlike(hint))
-    )
-    text = trim(F.col("line"))
-    lines = lines.filter(~(text.startswith("//") | text.startswith("#") | text.startswith("/*")))
-    candidates = F.array(*[
-        F.struct(
-            F.lit(name).alias("name"), F.lit(severity).alias("severity"), F.lit(i).alias("seq"),
-            F.regexp_extract("line", rx(pattern, fold), 0).alias("hit"),
-        )
-        for i, (name, severity, fold, pattern) in enumerate(rules.SECRET_PATTERNS)
-    ])
-    matched = F.col("hit")
-    if max_match_chars is not None:
-        short = F.concat(F.left("hit", F.lit(max_match_chars)), F.lit("..."))
-        matched = F.when(F.length("hit") > max_match_chars, short).otherwise(matched)
-    return (
-        lines.select("repo", "path", (F.col("_pos") + 1).cast("long").alias("line"), F.inline(F.filter(candidates, lambda c: c["hit"] != "")))
-        .select(
-            "repo", F.lit(2).cast("long").alias("stage"), F.lit("secret").alias("type"), "severity", "path", "line",
-            F.concat("name", F.lit(" detected in code")).alias("description"),
-            F.lit(rules.SECRET_SUGGESTION).alias("suggestion"),
-            matched.alias("matched"),
-            F.col("seq").cast("long").alias("seq"),
-        )
+        secret_scan_scope(files, max_file_bytes).filter(F.col("content").rlike(_SECRET_HINT))
+        .select("repo", "path", F.posexplode(scan_lines(F.col("content"))).alias("_pos", "_line"))
+        .filter(_may_hold_secret(F.col("_line")))
     )
+    return _issues(lines, 2, "secret", _secret_issues(F.col("_line"), F.col("_pos") + 1, max_match_chars))
 
 
 def scan_secrets(files: DataFrame, max_file_bytes: int | None = None, max_match_chars: int | None = None) -> DataFrame:
@@ -101,13 +108,13 @@ def is_config_file(path: Column) -> Column:
     return ends_with_any(path, rules.CONFIG_SUFFIXES) | named
 
 
-def _permissions(files: DataFrame) -> DataFrame:
+def _permission_issues() -> Column:
     path, mode = F.col("path"), F.col("mode")
 
     def bits(mask: int) -> Column:
         return F.coalesce(mode.bitwiseAND(mask) != 0, F.lit(False))
 
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(bits(0o002), _issue(
             "high", "File is world-writable",
             F.concat(F.lit("Remove write permissions for others: chmod o-w "), path), seq=0)),
@@ -118,7 +125,10 @@ def _permissions(files: DataFrame) -> DataFrame:
             "critical", "Private key has overly permissive permissions",
             F.concat(F.lit("Restrict permissions: chmod 600 "), path), seq=2)),
     ))
-    return _issues(files, 1, "permission", found)
+
+
+def _permissions(files: DataFrame) -> DataFrame:
+    return _issues(files, 1, "permission", _permission_issues())
 
 
 def check_permissions(files: DataFrame) -> DataFrame:
@@ -207,17 +217,19 @@ _CHECKS = {"Docker Exposed Ports": _dockerfile_issues, "Nginx Security Headers":
 _ISSUE = "array<struct<severity:string,line:bigint,description:string,suggestion:string,matched:string,seq:bigint>>"
 
 
+def _config_issues(*checks: str) -> Column:
+    """Issues of the chosen checks; their order is part of the reporting order."""
+    path, empty = F.col("path"), F.array().cast(_ISSUE)
+    return F.concat(*[
+        F.coalesce(F.when(pattern_test(path, p), _CHECKS[name](F.col("content"))), empty)
+        for name, p in rules.CONFIG_CHECKS if name in checks
+    ])
+
+
 def _config(files: DataFrame, *checks: str) -> DataFrame:
     """Chosen checks in one pass; content is read only for routed files."""
-    patterns = {name: p for name, p in rules.CONFIG_CHECKS if name in checks}
-    routed = files.filter(any_of(pattern_test(F.col("path"), p) for p in patterns.values()))
-    empty = F.array().cast(_ISSUE)
-    found = F.concat(*[
-        F.coalesce(F.when(pattern_test(F.col("path"), p), _CHECKS[name](F.col("content"))), empty)
-        for name, p in patterns.items()
-    ])
-    # the order of the checks is part of the reporting order
-    return _issues(routed, 3, "config", found)
+    routed = files.filter(any_of(pattern_test(F.col("path"), p) for name, p in rules.CONFIG_CHECKS if name in checks))
+    return _issues(routed, 3, "config", _config_issues(*checks))
 
 
 def check_dockerfile(files: DataFrame) -> DataFrame:
@@ -235,13 +247,16 @@ def check_cors(files: DataFrame) -> DataFrame:
 # --- dangerous files ---------------------------------------------------------------
 
 
-def _dangerous(files: DataFrame) -> DataFrame:
+def _dangerous_issues() -> Column:
     name = basename(F.col("path"))
-    found = F.array_compact(F.array(*[
+    return F.array_compact(F.array(*[
         F.when(name.contains(mark), _issue(severity, text, rules.DANGEROUS_SUGGESTION, seq=i))
         for i, (mark, severity, text) in enumerate(rules.DANGEROUS_FILES)
     ]))
-    return _issues(files, 4, "file", found)
+
+
+def _dangerous(files: DataFrame) -> DataFrame:
+    return _issues(files, 4, "file", _dangerous_issues())
 
 
 def dangerous_files(files: DataFrame) -> DataFrame:
@@ -251,10 +266,36 @@ def dangerous_files(files: DataFrame) -> DataFrame:
 # --- report -------------------------------------------------------------------------
 
 
+_STAGES = {1: "permission", 2: "secret", 3: "config", 4: "file"}
+
+
 def security_issues(files: DataFrame) -> DataFrame:
-    """All issues; ``seq`` completes the reporting order (stage, path, line, seq)."""
-    parts = [_permissions(files), _secret_scan(files), _config(files, *_CHECKS), _dangerous(files)]
-    return reduce(DataFrame.unionByName, parts)
+    """All issues in one pass over the contents; ``seq`` completes the reporting order (stage, path, line, seq).
+
+    Lines are made of files that may hold secrets only; the issues of a whole file
+    go with its first line, or with the one row of a file without lines.
+    """
+    def staged(stage: int, found: Column) -> Column:
+        return F.transform(found, lambda x: F.struct(F.lit(stage).cast("long").alias("stage"), x.alias("issue")))
+
+    content = F.col("content")
+    whole = F.concat(staged(1, _permission_issues()), staged(3, _config_issues(*_CHECKS)), staged(4, _dangerous_issues()))
+    lines = F.when(_is_plain(F.col("path")) & content.rlike(_SECRET_HINT), scan_lines(content))
+    rows = files.select("repo", "path", whole.alias("_whole"), lines.alias("_lines")).select(
+        "repo", "path", "_whole", F.posexplode_outer("_lines").alias("_pos", "_line")
+    )
+    first, secret = F.coalesce("_pos", F.lit(0)) == 0, _may_hold_secret(F.col("_line"))
+    secrets = F.when(secret, staged(2, _secret_issues(F.col("_line"), F.col("_pos") + 1)))
+    empty = F.slice("_whole", 1, 0)
+    found = F.concat(F.when(first, F.col("_whole")).otherwise(empty), F.coalesce(secrets, empty))
+    kind = F.create_map(*[F.lit(x) for pair in _STAGES.items() for x in pair])
+    return (
+        rows.filter((first & (F.size("_whole") > 0)) | secret)
+        .select("repo", "path", F.inline(found)).select(
+            "repo", "stage", kind[F.col("stage").cast("int")].alias("type"), "issue.severity", "path", "issue.line",
+            "issue.description", "issue.suggestion", "issue.matched", "issue.seq",
+        )
+    )
 
 
 def security_totals(issues: DataFrame) -> DataFrame:
