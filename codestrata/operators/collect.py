@@ -11,10 +11,10 @@ import re
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from codestrata.functions import rules
-from codestrata.functions.globs import ignore_rule, path_glob, python_regex
+from codestrata.functions.globs import NEVER, ignore_rule, path_glob, python_regex
 from codestrata.functions.text import any_of, extension, split_lines, trim
 from codestrata.operators.ordering import first_n, prefix
 from codestrata.session import stage
@@ -95,65 +95,147 @@ def _pattern_array() -> Column:
     return F.filter(lines, lambda p: (p != "") & ~p.startswith("#"))
 
 
-def _compiled(patterns: list[str], on_dir: bool) -> list[tuple[bool, re.Pattern]]:
-    """Rules in the order they decide, neighbours of the same sign as one alternation."""
-    rules_ = reversed([ignore_rule(p) for p in patterns])
-    return [
-        (exclude_, python_regex("|".join(f"(?:{r.on_dir if on_dir else r.on_file})" for r in group)))
-        for exclude_, group in groupby(rules_, key=lambda r: r.exclude)
-    ]
+#: Characters that make a component of an ignore pattern more than literal text.
+_WILD = r"*?\[\\"
 
 
-def _first(compiled: list[tuple[bool, re.Pattern]], path: str) -> bool | None:
-    return next((exclude_ for exclude_, rule in compiled if rule.search(path)), None)
+def _by_shape(patterns: Column) -> Column:
+    """A repository's patterns as (shape, text, code, dir_only, pattern).
 
+    ``code`` grows with the position and is odd where the rule excludes, so the
+    last matching rule is the one with the largest code. Shapes: ``name`` (a whole
+    component), ``suffix`` and ``prefix`` of a component, ``path`` from the root;
+    ``other`` needs a regular expression.
+    """
+
+    def rule(pattern: Column, at: Column) -> Column:
+        excludes = ~pattern.startswith("!")
+        body = F.when(excludes, pattern).otherwise(F.substr(pattern, F.lit(2)))
+        dir_only = body.endswith("/")
+        body = F.regexp_replace(body, r"/\z", "")
+        inner = body.contains("/")
+        shape = (
+            F.when(inner & ~body.rlike(f"[{_WILD}]"), "path")
+            .when(inner | (body == ""), "other")
+            .when(~body.rlike(f"[{_WILD}]"), "name")
+            .when(body.rlike(rf"\A\*[^{_WILD}]*\z"), "suffix")
+            .when(body.rlike(rf"\A[^{_WILD}]+\*\z"), "prefix")
+            .otherwise("other")
+        )
+        text = (
+            F.when(shape == "path", F.array_join(F.filter(F.split(body, "/"), lambda c: c != ""), "/"))
+            .when(shape == "suffix", F.substr(body, F.lit(2)))
+            .when(shape == "prefix", F.substr(body, F.lit(1), F.length(body) - 1))
+            .otherwise(body)
+        )
+        return F.struct(
+            shape.alias("shape"), text.alias("text"), (at * 2 + excludes.cast("int")).alias("code"),
+            dir_only.alias("dir_only"), pattern.alias("pattern"),
+        )
 
-@F.pandas_udf(T.ArrayType(T.BooleanType()))
-def _own_decisions(paths: pd.Series, patterns: pd.Series) -> pd.Series:
-    """Decisions of a repository's own rules for the root, the file and each directory above it.
+    return F.transform(patterns, rule)
 
-    Rules are compiled once per repository and batch, a directory is decided once.
+
+_REGEXES = T.StructType().add("any", T.StringType()).add(
+    "rules", T.ArrayType(T.StructType().add("code", T.IntegerType()).add("on_file", T.StringType()).add("on_dir", T.StringType()))
+)
+
+
+@F.pandas_udf(_REGEXES)
+def _regexes(rules_: pd.Series) -> pd.DataFrame:
+    """Regular expressions of a repository's ``other`` rules, and one that any path they touch fits.
+
+    What cannot be compiled matches nothing.
     """
-    known: dict[tuple[str, ...], tuple] = {}
-    out = []
-    for path, own in zip(paths, patterns):
-        if own is None or path is None:
-            out.append(None)
-            continue
-        key = tuple(own)
-        if key not in known:
-            known[key] = _compiled(list(own), False), _compiled(list(own), True), {}
-        on_file, on_dir, seen = known[key]
-        parts = path.split("/")
-        row = []
-        for folder in [".", *("/".join(parts[:n]) for n in range(1, len(parts)))]:
-            if folder not in seen:
-                seen[folder] = _first(on_dir, folder)
-            row.append(seen[folder])
-        out.append([row[0], _first(on_file, path), *row[1:]])
-    return pd.Series(out, dtype=object)
+
+    def one(r: dict) -> dict:
+        compiled = ignore_rule(r["pattern"])
+        try:
+            python_regex(compiled.on_dir)
+            return {"code": r["code"], "on_file": compiled.on_file, "on_dir": compiled.on_dir}
+        except re.error:
+            return {"code": r["code"], "on_file": NEVER, "on_dir": NEVER}
+
+    compiled = [[one(r) for r in own] for own in rules_]
+    return pd.DataFrame({"any": ["|".join(f"(?:{r['on_dir']})" for r in own) or None for own in compiled], "rules": compiled})
+
+
+def repository_rules(ignore_files: DataFrame) -> DataFrame:
+    """The rules of each root ignore file by shape, one row per repository, and what they say of the root."""
+    own = ignore_files.filter(F.col("path") == ".gitignore").select("repo", _by_shape(_pattern_array()).alias("_rules"))
+
+    def of(shape: str) -> Column:
+        return F.filter("_rules", lambda r: (r.shape == shape) & ((r.text != "") | (r.shape != "path")))
+
+    others = F.transform(of("other"), lambda r: F.struct(r.code.alias("code"), r.pattern.alias("pattern")))
+    shapes = {"names": "name", "suffixes": "suffix", "prefixes": "prefix", "paths": "path"}
+    return own.select(
+        "repo", *(of(shape).alias(f"_{name}") for name, shape in shapes.items()),
+        _regexes(others).alias("_others"),
+    ).withColumn("_root", _last_rule(F.lit("."), F.lit("."), True, on_root=True))
+
+
+_OWN = ["_names", "_suffixes", "_prefixes", "_paths", "_others"]
+
+
+def _last_rule(component: Column, path: Column, on_dir: bool, on_root: bool = False) -> Column:
+    """Largest code among the own rules that fit the last component or the whole path, null if none does."""
+
+    def best(rules_: str, fits) -> Column:
+        def test(r: Column) -> Column:
+            return fits(r) if on_dir or rules_ == "_others.rules" else fits(r) & ~r.dir_only
+
+        return F.array_max(F.transform(F.filter(rules_, test), lambda r: r.code))
+
+    # one expression per repository stays compiled from row to row; what fits a
+    # directory or a file as a rule fits the file's path here
+    touched = F.regexp_instr(F.lit(".") if on_root else F.col("path"), F.col("_others.any")) > 0
+
+    return F.greatest(
+        best("_names", lambda r: r.text == component),
+        best("_suffixes", lambda r: component.endswith(r.text)),
+        best("_prefixes", lambda r: component.startswith(r.text)),
+        best("_paths", lambda r: r.text == path),
+        F.when(touched, best("_others.rules", lambda r: F.rlike(path, r.on_dir if on_dir else r.on_file))),
+    )
 
 
 def exclude_by_repo(files: DataFrame, ignore_files: DataFrame, patterns: list[str] = ()) -> DataFrame:
     """Common ``patterns`` first, then each repository's own ignore file.
 
-    ``ignore_files`` has one row per repository at most, so the join adds one
-    list of patterns to each file; AQE broadcasts it when small and splits a
-    repository with very many files when not.
+    Own rules are told apart by shape once per repository; names, suffixes,
+    prefixes and paths are compared as text, only the rest as regular
+    expressions. ``ignore_files`` has one row per repository at most, so the join
+    adds its rules to each file and moves nothing else; AQE broadcasts it when
+    small and splits a repository with very many files when not.
     """
     patterns = list(patterns)
-    own = ignore_files.filter(F.col("path") == ".gitignore").select("repo", _pattern_array().alias("_patterns"))
-    common = F.concat(
-        F.array(_decide(F.lit("."), patterns, True), _decide(F.col("path"), patterns, False)),
-        F.transform(ancestors(F.col("path")), lambda d: _decide(d, patterns, True)),
-    )
-    mine = F.coalesce(F.col("_own"), F.array().cast("array<boolean>"))  # zip_with fills up with nulls
-    hidden = F.exists(F.zip_with(mine, common, lambda m, c: F.coalesce(m, c, F.lit(False))), lambda x: x)
-    return (
-        files.join(own, "repo", "left").withColumn("_own", _own_decisions(F.col("path"), F.col("_patterns")))
-        .filter(~hidden).drop("_patterns", "_own")
+    parts = F.split("path", "/")
+    # every directory of the path from the outermost on, then the file, each bound once
+    places = F.zip_with(
+        parts, F.concat(ancestors(F.col("path")), F.array("path")),
+        lambda component, path: F.struct(component.alias("component"), path.alias("path"), (path == F.col("path")).alias("is_file")),
     )
 
+    def judge(place: Column) -> Column:
+        c, path = place.component, place.path
+        return F.struct(
+            F.when(place.is_file, _last_rule(c, path, False)).otherwise(_last_rule(c, path, True)).alias("code"),
+            F.when(place.is_file, _decide(path, patterns, False)).otherwise(_decide(path, patterns, True)).alias("common"),
+        )
+
+    def go_down(above: Column, here: Column) -> Column:
+        # a rule that fits a directory fits everything below
+        code = F.greatest(above.code, here.code)
+        return F.struct(
+            code.alias("code"), (above.hidden | F.coalesce(code % 2 == 1, here.common, F.lit(False))).alias("hidden")
+        )
+
+    root = F.coalesce(F.col("_root") % 2 == 1, _decide(F.lit("."), patterns, True), F.lit(False))
+    start = F.struct(F.lit(None).cast("int").alias("code"), root.alias("hidden"))
+    hidden = F.aggregate(F.transform(places, judge), start, go_down, lambda end: end.hidden)
+    return files.join(repository_rules(ignore_files), "repo", "left").filter(~hidden).drop(*_OWN, "_root")
+
 
 # --- sizes and limits ---------------------------------------------------------
 
@@ -191,22 +273,60 @@ def limit_files(files: DataFrame, n: int) -> DataFrame:
     return first_n(files, ["repo"], walk_order(), n).drop("rank") if n > 0 else files
 
 
+#: Bits of a size that one histogram tells apart: at most 4,096 rows per repository.
+_HISTOGRAM_BITS = 12
+
+
+def size_cuts(files: DataFrame, max_total: int) -> DataFrame:
+    """(repo, cut, room) of the repositories over budget.
+
+    Files below ``cut`` bytes fit; ``room`` bytes are left for those of exactly
+    ``cut``. Found by histograms of sizes, each over the bucket in which the
+    budget ran out before, so no file is ordered.
+    """
+    sizes = files.filter(F.col("size") <= max_total).select("repo", F.col("size").cast("long").alias("size"))
+    shift = max_total.bit_length()
+    cuts = None
+    while shift > 0:
+        width, shift = shift, max(0, shift - _HISTOGRAM_BITS)
+        rows = sizes
+        room = F.lit(max_total).cast("long")
+        if cuts is not None:
+            rows = sizes.join(cuts, ["repo"]).filter(F.shiftright("size", width) == F.shiftright("cut", width))
+            room = F.col("room")
+        buckets = rows.groupBy("repo", F.shiftright("size", shift).alias("bucket")).agg(
+            F.sum("size").alias("total"), F.max(room).alias("room")
+        )
+        so_far = Window.partitionBy("repo").orderBy("bucket")
+        cuts = (
+            buckets.withColumn("running", F.sum("total").over(so_far))
+            .filter(F.col("running") > F.col("room"))
+            .groupBy("repo").agg(F.min(F.struct("bucket", "running", "total", "room")).alias("at"))
+            .select(
+                "repo", F.shiftleft("at.bucket", shift).alias("cut"),
+                (F.col("at.room") - F.col("at.running") + F.col("at.total")).alias("room"),
+            )
+        )
+    return cuts
+
+
 def fit_budget(files: DataFrame, max_total: int) -> DataFrame:
     """Where a repository is over budget, keep its smallest files that fit.
 
-    Only repositories over budget are ordered. Metadata only: content is
-    dropped before the rows are exchanged.
+    Files of the cut-off size that do not all fit are taken by path; only these
+    are ranked. Metadata only: content is dropped before the rows are exchanged.
     """
     files = files.drop("content")
     if max_total <= 0:
         return files
-    totals = files.groupBy("repo").agg((F.sum("size") > max_total).alias("_over"))
-    flagged = files.join(totals, "repo")
-    within = flagged.filter(~F.col("_over")).drop("_over")
     # a file above the budget on its own never fits
-    over = flagged.filter(F.col("_over") & (F.col("size") <= max_total)).drop("_over")
-    kept = prefix(over, ["repo"], ["size", "path"], F.col("size")).filter(F.col("running") <= max_total)
-    return within.unionByName(kept.drop("rank", "running"))
+    cuts = stage(size_cuts(files, max_total)).select("repo", F.col("cut").alias("_cut"), F.col("room").alias("_room"))
+    judged = files.join(cuts, "repo", "left")
+    size, cut = F.col("size"), F.col("_cut")
+    inside = (size <= max_total) & (cut.isNull() | (size < cut))
+    tied = judged.filter((size == cut) & (F.col("_room") >= cut))
+    kept = prefix(tied, ["repo"], ["path"]).filter(F.col("rank") * cut <= F.col("_room"))
+    return judged.filter(inside).drop("_cut", "_room").unionByName(kept.drop("_cut", "_room", "rank"))
 
 
 def is_large_project(

@@ -1,5 +1,8 @@
 """Globs, ignore rules, limits, binary detection, memo and scans."""
 
+import random
+import re
+
 import pytest
 
 from codestrata.functions.globs import ignore_rule, path_glob, python_regex
@@ -55,6 +58,52 @@ def test_repository_ignore_file_comes_last(files):
     assert kept == [".gitignore", "a.pyc", "c.txt"]
 
 
+_PATTERNS = [
+    "a", "b/", "!a", "!b/", "*.go", "!*.go", "a*", "!a*/", "*", "!*", "/a", "/a/b", "a/b/", "!a/b", "//a//b", "/", "!", "!/", "**/b", "a/**/b",
+    "?.go", "[ab]", "!a/*", "a/*.go", ".", ".*", "**", "a**b", "[", "[b-a]", r"\*", "*.tar.gz", "a.go", "!a.go", "x{a}", "*~", "b*a",
+]
+_PATHS = [
+    "a", "b", "a.go", "a/b", "b/a", "a/b/a.go", "b/a/b/x.go", "x/a.go", "x/b/y", "aa/b", "x.tar.gz/a", "x/y.tar.gz", "*", "x{a}", "b~", "bxa/q", ".a/b",
+    "axb/a", "x/y/z/b/a", "a/x/y/b/c",
+]
+
+
+def _hidden(patterns, common, path):
+    """By the definition: every rule as a regular expression, the last one that fits decides."""
+
+    def decision(rules_, text, on_dir):
+        for r in reversed([ignore_rule(p) for p in rules_]):
+            try:
+                if python_regex(r.on_dir if on_dir else r.on_file).search(text):
+                    return r.exclude
+            except re.error:
+                pass
+        return None
+
+    parts = path.split("/")
+    places = [(".", True), (path, False), *(("/".join(parts[:n]), True) for n in range(1, len(parts)))]
+    own = [decision(patterns, *place) for place in places]
+    return any(decision(common, *place) if mine is None else mine for mine, place in zip(own, places))
+
+
+def test_repository_rules_of_every_shape(spark):
+    chance, common = random.Random(5), ["*.tar.gz", "y/", "!b~"]
+    rules_ = {f"r{i}": chance.sample(_PATTERNS, chance.randint(1, 6)) for i in range(120)}
+    rules_ |= {f"s{i}": [p] for i, p in enumerate(_PATTERNS)} | {"none": []}
+    rows = [(repo, ".gitignore", "\n".join(own)) for repo, own in rules_.items() if own]
+    ignore = spark.createDataFrame(rows, "repo string, path string, content string")
+    places = spark.createDataFrame([(repo, path) for repo in rules_ for path in _PATHS], "repo string, path string")
+    got = {(r.repo, r.path) for r in collect.exclude_by_repo(places, ignore, common).collect()}
+    want = {(repo, path) for repo, own in rules_.items() for path in _PATHS if not _hidden(own, common, path)}
+    assert got == want
+
+
+def test_repository_rules_call_no_python_per_file(files):
+    df = files((".gitignore", "a"), ("b", "x"))
+    plan = collect.exclude_by_repo(df.select("repo", "path"), df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.index("Join LeftOuter") < plan.index("ArrowEvalPython")
+
+
 def test_prefix_matches_a_window(spark):
     df = spark.range(5000).select(
         F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("repo"),
@@ -84,6 +133,22 @@ def test_budget(spark):
     assert collect.fit_budget(df, 0).count() == 6
 
 
+@pytest.mark.parametrize("budget", [1, 70, 5000, 123_456, 10**7])
+def test_budget_by_brute_force(spark, budget):
+    chance = random.Random(budget)
+    kinds = {"small": 5, "same": 1, "wide": 10**6, "zero": 0, "huge": 10**12}
+    rows = [(repo, f"d{i % 7}/f{i}", chance.randint(min(top, 1), top)) for repo, top in kinds.items() for i in range(300)]
+    df = spark.createDataFrame(rows, "repo string, path string, size long")
+    want = []
+    for repo in kinds:
+        room = budget
+        for size, path in sorted((r[2], r[1]) for r in rows if r[0] == repo):
+            room -= size
+            if room >= 0:
+                want.append((repo, path, size))
+    assert sorted(tuple(r) for r in collect.fit_budget(df, budget).collect()) == sorted(want)
+
+
 def test_binary(files):
     df = files(
         ("a.bin", "text"), ("a.js", "\x00"), ("a.json", "{}"), ("b.json", "\x01"), ("c", ""), ("d", "<HTML >"), ("e", "<a>"),
