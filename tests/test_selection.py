@@ -172,6 +172,31 @@ def test_memo_is_used(files, tmp_path):
     assert again.count() == 2
 
 
+@pytest.mark.parametrize("shuffle", [4, 200])
+def test_memo_rows_are_not_moved(files, tmp_path, shuffle):
+    df = files(*((f"f{i}", "plain") for i in range(200))).withColumn("mtime", F.timestamp_seconds(F.crc32("path")))
+    spark, where = df.sparkSession, str(tmp_path / "it's a memo")
+    save_memo(collect.classify_binary(df.filter("path < 'f5'")), where)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+        memo = load_memo(spark, where)
+        everything, fresh = collect.classify_incremental(df, memo)
+        for found in (memo, fresh):
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            moved = plan.count("Exchange hashpartitioning")
+            assert moved == (found is fresh), plan
+        kept = sorted(r.path for r in fresh.collect())
+        save_memo(fresh, where)
+        # a frame loaded before keeps its files
+        assert sorted(r.path for r in fresh.collect()) == kept == sorted(f"f{i}" for i in range(200) if f"f{i}" >= "f5")
+        assert load_memo(spark, where).count() == everything.count() == 200
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("text,size", [("0", 0), ("10MB", 10 * 2**20), ("1k", 1024), (" 2 GB ", 2 * 2**30), ("7", 7)])
 def test_parse_size(text, size):
     assert collect.parse_size(text) == size
