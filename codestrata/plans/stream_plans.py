@@ -16,9 +16,10 @@ SPLIT = 8192
 
 
 def _stream_source(spark, sf):
-    """The documents table as a stream of files."""
+    """The documents table, one file or a folder of them, as a stream of files."""
     table = f"{sf}/documents.parquet"
-    raw = spark.readStream.schema(spark.read.parquet(table).schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # streams take a lone file only by a pattern, a folder by either
+    raw = spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{sf}/documents[.]parquet")
     return raw.select(
         F.col("source").alias("repo"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.col("text").alias("content"),

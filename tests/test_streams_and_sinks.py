@@ -144,3 +144,18 @@ def test_a_failed_run_leaves_the_earlier_report(spark, tmp_path):
     report_sink.ship_package(spark)
     with pytest.raises(Exception, match="column text"):
         spark.range(1).write.format("report").options(path=folder, run="q", kind="txt").mode("append").save()
+
+
+def test_stream_queries_read_a_table_in_several_files(spark, tmp_path):
+    """A large table is a folder of files, a small one a lone file; both give the same rows."""
+    from codestrata.plans.stream_plans import QUERIES
+
+    rows = [(i, f"text {i} " * i, "en", "s", 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    folder, lone = tmp_path / "folder", tmp_path / "lone"
+    docs.repartition(3, "doc_id").write.parquet(str(folder / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(lone / "made"))
+    (lone / "documents.parquet").write_bytes(next((lone / "made").glob("part-*")).read_bytes())
+    for name in ("stream_files", "streaming_stats_stream", "running_stats"):
+        of_folder, of_lone = (sorted(map(str, QUERIES[name](spark, str(d)).collect())) for d in (folder, lone))
+        assert of_folder == of_lone and of_folder
