@@ -10,7 +10,7 @@ Each row is one chunk, read by its own seek, so no file is ever one value.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -21,8 +21,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from codestrata.session import ship_package
 from codestrata.streaming.chunks import CHUNK
 
-#: Bytes and files that one task reads by default.
-SPLIT_BYTES, SPLIT_FILES = 128 * 2**20, 1000
+#: Bytes and files that one task reads by default, and tasks; above them a task reads more.
+SPLIT_BYTES, SPLIT_FILES, MOST_TASKS = 128 * 2**20, 1000, 256
+#: Bytes and rows that a task hands over at once.
+BATCH_BYTES, BATCH_ROWS = 2**20, 1000
 _SCHEMA = "repo string, path string, chunk_no long, offset long, total long, data binary, error string"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 _KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
@@ -53,14 +55,23 @@ class _Layout:
         found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
         return {x.path[len(base) + 1 :]: x.size for x in found if x.type == fs.FileType.File}
 
-    def deal(self, ranges: Iterator[tuple[str, int, int, int]]) -> list[Ranges]:
-        """Ranges cut where chunks begin and dealt to tasks of about ``split`` bytes."""
+    def deal(self, ranges: Iterable[tuple[str, int, int, int]]) -> list[Ranges]:
+        """Ranges cut where chunks begin and dealt to tasks of about ``split`` bytes.
+
+        A file is read by several tasks from ``split`` bytes on. Of many files a task
+        gets as many pieces as keep the tasks within MOST_TASKS, a large file apart.
+        """
+        ranges = list(ranges)
         step = max(1, self.split // self.chunk) * self.chunk
+        whole = sum(end - start for _, start, end, _ in ranges)
+        most_bytes = max(self.split, -(-whole // MOST_TASKS))
+        most_files = max(SPLIT_FILES, -(-len(ranges) // MOST_TASKS))
+        step = max(step, most_bytes // step * step)
         out, held = [], 0
         for file, start, end, size in ranges:
             while True:
                 stop = min(end, (start // step + 1) * step)
-                if not out or held + (stop - start) > self.split or len(out[-1].ranges) >= SPLIT_FILES:
+                if not out or held + (stop - start) > most_bytes or len(out[-1].ranges) >= most_files:
                     out.append(Ranges())
                     held = 0
                 out[-1].ranges.append((file, start, stop, size))
@@ -72,27 +83,37 @@ class _Layout:
 
     def rows(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(self.root)
-        for file, start, end, size in part.ranges:
-            repo, _, path = (self.repo, "", file) if self.repo is not None else file.partition("/")
+        held, bytes_held = [], 0
 
-            def row(at: int, data: bytes | None, error: str | None) -> pa.RecordBatch:
-                values = [repo, path, at // self.chunk, at, size, data, error]
-                return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _KINDS)], _NAMES)
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*held), _KINDS)], _NAMES)
 
+        for row in self._chunks(store, base.rstrip("/"), part):
+            held.append(row)
+            bytes_held += len(row[5] or b"")
+            if bytes_held >= BATCH_BYTES or len(held) >= BATCH_ROWS:
+                yield batch()
+                held, bytes_held = [], 0
+        if held:
+            yield batch()
+
+    def _chunks(self, store: fs.FileSystem, base: str, part: Ranges) -> Iterator[tuple]:
+        for file, start, end, size in part.ranges:
+            repo, _, path = (self.repo, "", file) if self.repo is not None else file.partition("/")
             at = start
             try:
-                with store.open_input_file(f"{base.rstrip('/')}/{file}") as f:
+                with store.open_input_file(f"{base}/{file}") as f:
                     while at < end or at == start == end:
                         stop = min(end, (at // self.chunk + 1) * self.chunk)
                         data = f.read_at(stop - at, at)
                         if len(data) < stop - at:
                             raise OSError(f"{stop - at - len(data)} bytes are gone")
-                        yield row(at, data, None)
+                        yield repo, path, at // self.chunk, at, size, data, None
                         at = stop
                         if at >= end:
                             break
             except OSError as e:
-                yield row(at, None, str(e))
+                yield repo, path, at // self.chunk, at, size, None, str(e)
 
 
 class _Batch(DataSourceReader):

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from codestrata.operators.ordering import prefix
 from codestrata.session import ship_package, stage
 
+#: Folders that a task remembers to have made.
+MOST_FOLDERS = 10_000
 _ENTRY = "location string, folder boolean, size long, mode int, mtime timestamp, error string"
 _ENTRY_KINDS = [pa.string(), pa.bool_(), pa.int64(), pa.int32(), pa.timestamp("us", "UTC"), pa.string()]
 _ENTRY_NAMES = ["location", "folder", "size", "mode", "mtime", "error"]
@@ -144,10 +146,15 @@ def write_tree(files: DataFrame, root: str) -> None:
     """Write ``files(repo, path, content)`` as a directory tree, task by task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(root)
+        made: set[str] = set()
         for b in batches:
             for repo, path, content in zip(*(b.column(c).to_pylist() for c in ("repo", "path", "content"))):
                 target = f"{base}/{repo}/{path}"
-                store.create_dir(target.rsplit("/", 1)[0])
+                folder = target.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder)
+                    if len(made) < MOST_FOLDERS:
+                        made.add(folder)
                 with store.open_output_stream(target) as f:
                     f.write(content.encode())
             yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])

@@ -159,3 +159,18 @@ def test_stream_queries_read_a_table_in_several_files(spark, tmp_path):
     for name in ("stream_files", "streaming_stats_stream", "running_stats"):
         of_folder, of_lone = (sorted(map(str, QUERIES[name](spark, str(d)).collect())) for d in (folder, lone))
         assert of_folder == of_lone and of_folder
+
+
+def test_ranges_of_many_files_stay_few_tasks():
+    layout = byte_ranges._Layout({"path": "/x", "chunk": "4096", "split": "8192"})
+    ranges = [(f"r/{i}", 0, 5000 + i % 7000, 5000 + i % 7000) for i in range(20_000)] + [("r/large", 100, 50_000_000, 50_000_000), ("r/empty", 0, 0, 0)]
+    parts = layout.deal(iter(ranges))
+    assert len(parts) <= 2 * byte_ranges.MOST_TASKS
+    dealt = {}
+    for file, start, stop, size in (x for p in parts for x in p.ranges):
+        first, at = dealt.get(file, (start, start))
+        assert start == at and (start % 4096 == 0 or start == first)
+        dealt[file] = (first, stop)
+    assert [(f, *dealt[f]) for f, *_ in ranges] == [r[:3] for r in ranges]
+    # a few files are still cut at the split
+    assert len(layout.deal([("r/a", 0, 30_000, 30_000)])) == 4
