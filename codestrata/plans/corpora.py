@@ -24,7 +24,31 @@ _DUCK = {
 }
 
 
+#: For Spark: the same choice with its key computed once and found by halves.
+_HALVED: dict[str, str] = {}
+
+
+def _choice(key: str, values: list[str], default: str | None = None) -> str:
+    """CASE over the keys 0, 1, ...; an outer lambda would compute the key for every arm."""
+    def halves(first: int, last: int) -> str:
+        if first == last:
+            return values[first]
+        middle = (first + last + 1) // 2
+        return f"case when k_ < {middle} then {halves(first, middle - 1)} else {halves(middle, last)} end"
+
+    arms = " ".join(f"when {i} then {v}" for i, v in enumerate(values))
+    other = "" if default is None else f" else {default}"
+    text = f"case {key} {arms}{other} end"
+    _HALVED[text] = (
+        f"element_at(transform(array({key}), k_ -> case when k_ between 0 and {len(values) - 1} then {halves(0, len(values) - 1)}{other} end), 1)"
+    )
+    return text
+
+
 def _dialect(text: str, tokens: dict[str, str]) -> str:
+    if tokens is _SPARK:
+        for case, halved in _HALVED.items():
+            text = text.replace(case, halved)
     for token, value in tokens.items():
         text = text.replace(token, value)
     return text
@@ -81,8 +105,7 @@ def code_line(tid: str, pk: str, q: str) -> str:
         f"concat('const Max', {q}, ' = ', {pk}, ' // HACK')",
         f"concat('x = a&&b; while (x) {{ if(y){{}} }} // ', {q})",
     ]
-    arms = " ".join(f"when {i} then {text}" for i, text in enumerate(lines))
-    return f"case ({tid}) {arms} end".replace("{{", "{").replace("}}", "}")
+    return _choice(f"({tid})", [text.replace("{{", "{").replace("}}", "}") for text in lines])
 
 
 CODE_TEMPLATES = 46
@@ -190,7 +213,7 @@ _KNOWN = [
     "jest", "redis", "vue", "koa", "pytest", "gorm", "sqlalchemy", "mysql2", "imp", "next",
     "vitest", "fastapi",
 ]
-_NAME = f"(case (o_custkey * 3 + i * 7) % 40 {_arms(_KNOWN)} else concat('pkg', (o_custkey * 3 + i * 7) % 40, '-', o_orderkey % 100) end)"
+_NAME = f"""({_choice("(o_custkey * 3 + i * 7) % 40", [f"'{k}'" for k in _KNOWN], "concat('pkg', (o_custkey * 3 + i * 7) % 40, '-', o_orderkey % 100)")})"""
 _VERSION = (
     f"(case (o_orderkey ~/ 10 + i) % 7 when 0 then '4.17.15' when 1 then concat('^0.', {_Q}, '.1') "
     f"when 2 then concat({_Q}, '.0.0-beta') when 3 then concat('0.0.', {_Q}) when 4 then '==2.2.0' "
@@ -375,14 +398,18 @@ CORPORA = {
 }
 
 
+#: Rows that a task renders. Rendering multiplies their bytes and takes far longer than reading.
+TASK_ROWS = 1 << 17
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the table arrives in fewer splits than cores.
+    """Use every core, and tasks of about TASK_ROWS rows, when the table arrives in fewer files.
 
-    Rendering multiplies the bytes of a small input; a large table has enough
-    splits and is left alone.
+    A table in many small files has splits enough and is left alone. The number of
+    rows comes from the footers of the files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
 
 
 def render(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -248,3 +248,24 @@ def test_large_project_gate_at_its_limits(spark):
     files = rows.select("repo", "size", F.explode(F.sequence(F.lit(1), "n")))
     got = {r.repo: r.is_large for r in collect.is_large_project(files).collect()}
     assert got == {r: large for r, (*_, large) in cases.items()}
+
+
+def test_a_large_table_in_one_file_is_rendered_by_many_tasks(spark, tmp_path, monkeypatch):
+    from codestrata.plans import corpora
+
+    where = str(tmp_path / "orders.parquet")
+    spark.range(1000).coalesce(1).write.parquet(where)
+    table = spark.read.parquet(where)
+    assert corpora.spread(table).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(corpora, "TASK_ROWS", 100)
+    assert corpora.spread(table).rdd.getNumPartitions() == 10 and corpora.spread(table).count() == 1000
+
+
+def test_choices_by_halves_are_the_case(spark):
+    from codestrata.plans import corpora
+
+    keys = "cast(nullif(id - 2, 9) as bigint)"
+    for default in (None, "'other'"):
+        text = corpora._choice(f"({keys})", [f"'v{i}'" for i in range(7)], default)
+        halved = corpora._HALVED.pop(text)
+        assert spark.range(14).filter(f"not (({text}) <=> ({halved}))").count() == 0
