@@ -75,11 +75,11 @@ def _ranked(nodes: DataFrame, *columns: str) -> DataFrame:
 
 
 def _last_children(nodes: DataFrame) -> DataFrame:
-    """(repo, parent, last child): the last directory, else the last file."""
+    """(repo, parent, last child): the last directory, else the last file. Grows with the nodes, so it is never sent whole."""
     order = F.struct((F.col("kind") == DIRECTORY).alias("d"), F.col("name").alias("n"))
     return (
         nodes.filter(F.col("parent").isNotNull()).groupBy("repo", "parent").agg(F.max(order).alias("_m"))
-        .select("repo", F.col("parent"), F.col("_m.n").alias("_last_name"), F.col("_m.d").alias("_last_dir"))
+        .select("repo", F.col("parent"), F.col("_m.n").alias("_last_name"), F.col("_m.d").alias("_last_dir")).hint("merge")
     )
 
 
@@ -92,7 +92,8 @@ def _inside(nodes: DataFrame, last: DataFrame) -> DataFrame:
     """(repo, parent, _indent, last child): what every directory hands down to its children.
 
     Only directories look at the directories above them, a fraction of the nodes;
-    files take all they need from their own.
+    files take all they need from their own. Written tables of paths are small and
+    unpack to many times their size, so none of the joins may send one side whole.
     """
     dirs = stage(
         nodes.filter(F.col("kind") == DIRECTORY).join(last, ["repo", "parent"], "left").select(
@@ -103,15 +104,15 @@ def _inside(nodes: DataFrame, last: DataFrame) -> DataFrame:
     path = F.transform(F.sequence(F.lit(1), F.col("depth").cast("int")), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     steps = dirs.filter("depth > 0").select("repo", "node_path", F.posexplode(path).alias("_at", "_dir"))
     drawn = (
-        steps.join(dirs.select("repo", F.col("node_path").alias("_dir"), "_piece"), ["repo", "_dir"])
+        steps.join(dirs.select("repo", F.col("node_path").alias("_dir"), "_piece").hint("merge"), ["repo", "_dir"])
         # one entry per level of the path
         .groupBy("repo", "node_path").agg(F.array_sort(F.collect_list(F.struct("_at", "_piece"))).alias("_steps"))
         .select("repo", "node_path", F.array_join(F.transform("_steps", lambda s: s["_piece"]), "").alias("_drawn"))
     )
     # the root's piece is blank
     indent = F.concat(F.lit("    "), F.coalesce("_drawn", F.lit("")))
-    inside = dirs.join(drawn, ["repo", "node_path"], "left").select("repo", F.col("node_path").alias("parent"), indent.alias("_indent"))
-    return inside.join(last, ["repo", "parent"], "left")
+    inside = dirs.join(drawn.hint("merge"), ["repo", "node_path"], "left").select("repo", F.col("node_path").alias("parent"), indent.alias("_indent"))
+    return inside.join(last, ["repo", "parent"], "left").hint("merge")
 
 
 def tree_text(nodes: DataFrame, root_name: Column | None = None) -> DataFrame:

@@ -420,3 +420,12 @@ def test_repository_urls(spark):
     rows = ["https://github.com/a/b.git", "git@github.com:a/b", "github.com/a/b", "x", ""]
     got = [(r.owner, r.name, r.is_valid) for r in changes.parse_repo_urls(spark.createDataFrame([(u,) for u in rows], "url string")).collect()]
     assert got == [("a", "b", True), ("a", "b", True), ("a", "b", False), ("", "", False), ("", "", False)]
+
+
+def test_tree_text_sends_no_table_of_paths_whole(spark, tmp_path):
+    from codestrata.operators import tree
+
+    files = spark.createDataFrame([("r", f"d{i % 3}/s{i % 5}/f{i}") for i in range(40)], "repo string, path string")
+    plan = tree.tree_text(tree.tree_nodes(files))._jdf.queryExecution().sparkPlan().toString()
+    # the offsets of a rank alone are small
+    assert plan.count("BroadcastHashJoin") <= 1 and "SortMergeJoin" in plan
