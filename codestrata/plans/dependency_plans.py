@@ -7,7 +7,7 @@ from codestrata.plans.oracle_parts import quote, split_lines, trim
 from codestrata.sources.manifests import json_section
 from codestrata.sources.sinks import write_vuln_report
 from codestrata.session import scratch_path, stage
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 _MAN = duck("man")
 
@@ -42,22 +42,32 @@ def _vuln_report(spark, sf):
     )
 
 
+#: Entries of one feed file.
+FEED_ENTRIES = 20_000
+
+
 def _feed(spark, sf):
-    """One JSON object with an entry per source, written from the documents, read by tasks of 64 KiB."""
+    """JSON objects with an entry per source, written from the documents, read by tasks of 64 KiB.
+
+    Each object is written by one task, so there are as many as keep it to about
+    FEED_ENTRIES entries; a name is always in the same one.
+    """
     folder = scratch_path(spark, "feed").removeprefix("file://").removeprefix("file:")
     item = F.to_json(F.struct(
         F.col("doc_id").cast("string").alias("version"), F.lit("low").alias("severity"), F.coalesce("text", F.lit("")).alias("description")
     ))
-    entry = F.concat(F.to_json(F.array(F.concat("source", F.lit("/"), "doc_id"))), F.lit(":["), item, F.lit("]"))
+    name = F.concat("source", F.lit("/"), "doc_id")
+    entry = F.concat(F.to_json(F.array(name)), F.lit(":["), item, F.lit("]"))
     entry = F.regexp_replace(entry, r"\A\[(.*?)\]:", "$1:")
-    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("source is not null").select("doc_id", entry.alias("entry"))
-    last = docs.agg(F.max("doc_id")).first()[0]
-    lines = docs.coalesce(1).sortWithinPartitions("doc_id").select(F.concat(
-        F.when(F.monotonically_increasing_id() == 0, "{\n").otherwise(""), "entry", F.when(F.col("doc_id") == last, "\n}").otherwise(","),
-    ).alias("value"))
-    lines.write.text(folder)
-    [file] = [x for x in spark.read.text(folder).inputFiles()]
-    rows = advisories.feed_advisories(spark, file.removeprefix("file://").removeprefix("file:"), 1 << 16)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("source is not null")
+    files = max(1, -(-docs.count() // FEED_ENTRIES))
+    rows = docs.select(F.pmod(F.xxhash64(name), F.lit(files)).cast("int").alias("file"), "doc_id", entry.alias("entry"))
+    order = Window.partitionBy("file").orderBy("doc_id")
+    rows.select("file", F.concat(
+        F.when(F.lag(F.lit(1)).over(order).isNull(), "{\n").otherwise(""), "entry",
+        F.when(F.lead(F.lit(1)).over(order).isNull(), "\n}").otherwise(","),
+    ).alias("value")).write.partitionBy("file").text(folder)
+    rows = advisories.feed_advisories(spark, folder, 1 << 16)
     return rows.select("name", "version", "severity", F.md5("description").alias("digest"))
 
 

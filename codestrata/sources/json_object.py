@@ -103,7 +103,8 @@ def _entries(f: pa.NativeFile, start: int, stop: int, size: int, side: int, dept
 def json_entries(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """Entries (file, at, entry) of the JSON object in each file, and (file, whole) of all files.
 
-    ``path`` is a file or a folder of files. An entry is its text ``"key": value``;
+    ``path`` is a file or a folder of files, those that begin with ``_`` or ``.``
+    left out. An entry is its text ``"key": value``;
     one entry is held at a time, never the object. ``whole`` tells whether quotes
     and brackets of the file are balanced; a file that does not start with ``{``
     is not whole. Text behind the object is not looked at.
@@ -114,8 +115,12 @@ def json_entries(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[Da
     if info.type == fs.FileType.NotFound:
         raise FileNotFoundError(path)
     found = [info] if info.type == fs.FileType.File else [
-        x for x in store.get_file_info(fs.FileSelector(base, recursive=True)) if x.type == fs.FileType.File
+        x for x in store.get_file_info(fs.FileSelector(base, recursive=True))
+        if x.type == fs.FileType.File and not x.base_name.startswith(("_", "."))
     ]
+    # narrow rows that stand for much work: a given number of tasks is not joined to fewer
+    pieces, cores = sum(max(1, -(-x.size // split)) for x in found), spark.sparkContext.defaultParallelism
+    tasks = max(1, min(pieces, max(4 * cores, sum(x.size for x in found) // SPLIT)))
     files = spark.createDataFrame([(x.path, x.size) for x in found], "file string, size long")
     ranges = files.select(
         "file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start")
@@ -132,7 +137,7 @@ def json_entries(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[Da
                 yield pa.RecordBatch.from_pylist([{**row, **dict(zip(("quotes", "outside", "inside"), made)), "opens": opens}])
 
     kinds = "file string, size long, start long, stop long, quotes long, outside long, inside long, opens boolean"
-    summaries = stage(ranges.repartition("file", "start").mapInArrow(summarise, kinds))
+    summaries = stage(ranges.repartition(tasks, "file", "start").mapInArrow(summarise, kinds))
     # one row per range: a file of a terabyte has some ten thousand
     earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     sided = summaries.withColumn("side", F.coalesce(F.sum("quotes").over(earlier), F.lit(0)) % 2).withColumn(
@@ -163,5 +168,5 @@ def json_entries(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[Da
                             held, bytes_held = [], 0
                 yield batch(held)
 
-    located = placed.select("file", "size", "start", "stop", "side", "depth").repartition("file", "start")
+    located = placed.select("file", "size", "start", "stop", "side", "depth").repartition(tasks, "file", "start")
     return located.mapInArrow(cut, "file string, at long, entry string"), whole

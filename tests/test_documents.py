@@ -429,3 +429,19 @@ def test_tree_text_sends_no_table_of_paths_whole(spark, tmp_path):
     plan = tree.tree_text(tree.tree_nodes(files))._jdf.queryExecution().sparkPlan().toString()
     # the offsets of a rank alone are small
     assert plan.count("BroadcastHashJoin") <= 1 and "SortMergeJoin" in plan
+
+
+def test_a_feed_is_written_and_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    from codestrata.plans import dependency_plans
+    from codestrata.sources.json_object import json_entries
+
+    docs = [(i, f'text "{i}" ' * 50, "en", "s", 0) for i in range(40)] + [(39, "again", "en", "t", 0)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(dependency_plans, "FEED_ENTRIES", 1000, raising=False)
+    whole = sorted(map(str, dependency_plans._feed(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(dependency_plans, "FEED_ENTRIES", 10, raising=False)
+    assert sorted(map(str, dependency_plans._feed(spark, str(tmp_path)).collect())) == whole and len(whole) == 41
+    path = tmp_path / "feed.json"
+    path.write_text("{" + ",".join(f'"p{i}": []' for i in range(500)) + "}")
+    entries, _ = json_entries(spark, str(path), 64)
+    assert entries.count() == 500 and entries.rdd.getNumPartitions() > 8
