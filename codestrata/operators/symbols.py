@@ -36,6 +36,11 @@ def _no_symbols() -> Column:
     return F.array().cast(f"array<{_SYMBOL}>")
 
 
+def _once(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often ``make`` uses it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -209,9 +214,17 @@ def _go_flat(text: Column) -> Column:
             t = F.regexp_replace(t, pattern, by)
         return t
 
-    # each round closes at least one bracket or channel
-    rounds = F.regexp_count(start, F.lit(r"[\[{]|func\(|\bchan\b|[*\]]\("))
-    return F.when(rounds == 0, start).otherwise(F.aggregate(F.sequence(F.lit(1), rounds), start, lambda t, _: once(t)))
+    def step(at: Column, _: Column) -> Column:
+        # a round that changed nothing was the last one
+        return F.when(at["text"] == at["before"], at).otherwise(F.struct(once(at["text"]).alias("text"), at["text"].alias("before")))
+
+    def flat(text: Column) -> Column:
+        # each round closes at least one bracket or channel
+        rounds = F.regexp_count(text, F.lit(r"[\[{]|func\(|\bchan\b|[*\]]\("))
+        first = F.struct(text.alias("text"), F.lit(None).cast("string").alias("before"))
+        return _once(rounds, lambda n: F.when(n == 0, text).otherwise(F.aggregate(F.sequence(F.lit(1), n), first, step)["text"]))
+
+    return _once(start, flat)
 
 
 def _go_type(text: Column) -> Column:
@@ -224,49 +237,52 @@ def _go_type(text: Column) -> Column:
 
 def _go_fields(text: Column) -> Column:
     """``a, b int, c string`` to ``a int, b int, c string``."""
-    parts = F.filter(F.transform(F.split(text, ","), trim), lambda p: p != "")
-    named = F.exists(parts, lambda p: p.contains(" "))
-
     def cut(p: Column) -> Column:
         return F.instr(p, " ")
 
     def step(acc: Column, p: Column) -> Column:
         kind = F.when(p.contains(" "), _go_type(trim(F.substring(p, cut(p) + 1, F.length(p))))).otherwise(acc["kind"])
         name = F.when(p.contains(" "), F.left(p, cut(p) - 1)).otherwise(p)
-        return F.struct(
-            kind.alias("kind"),
-            F.concat(name, F.lit(" "), kind, F.when(acc["out"] == "", "").otherwise(F.concat(F.lit(", "), acc["out"]))).alias("out"),
-        )
+        return _once(kind, lambda k: F.struct(
+            k.alias("kind"),
+            F.concat(name, F.lit(" "), k, F.when(acc["out"] == "", "").otherwise(F.concat(F.lit(", "), acc["out"]))).alias("out"),
+        ))
 
     start = F.struct(F.lit("").alias("kind"), F.lit("").alias("out"))
-    return F.when(named, F.aggregate(F.reverse(parts), start, step)["out"]).otherwise(
-        F.array_join(F.transform(parts, _go_type), ", ")
-    )
 
+    def printed(parts: Column) -> Column:
+        named = F.exists(parts, lambda p: p.contains(" "))
+        return F.when(named, F.aggregate(F.reverse(parts), start, step)["out"]).otherwise(
+            F.array_join(F.transform(parts, _go_type), ", ")
+        )
 
-def _go_function(decl: Column, doc: Column) -> Column:
-    def part(n: int) -> Column:
-        return F.regexp_extract(decl, _GO_FUNC, n)
-
-    # the signature ends where the body opens
-    rest = F.regexp_replace(part(3), r"(?s)(?<!\bstruct)(?<!\binterface) \{.*\z", "")
-    flat = F.transform(F.array(rest), _go_flat)
+    return _once(F.filter(F.transform(F.split(text, ","), trim), lambda p: p != ""), printed)
 
-    def printed(t: Column) -> Column:
-        def group(n: int) -> Column:
-            return F.regexp_extract(t, _GO_HEAD, n)
 
-        receiver = F.when(part(1) != "", F.concat(_go_fields(_go_flat(part(1))), F.lit(" "))).otherwise("")
-        result = F.when(group(2) != "", _go_fields(group(2))).when(group(3) != "", _go_type(trim(group(3)))).otherwise("")
+def _go_function(decl: Column, doc: Column) -> Column:
+    def group(text: Column, pattern: str, n: int) -> Column:
+        return F.regexp_extract(text, pattern, n)
+
+    def printed(parts: Column, t: Column) -> Column:
+        owner, name = parts["owner"], parts["name"]
+        receiver = F.when(owner != "", F.concat(_go_fields(_go_flat(owner)), F.lit(" "))).otherwise("")
+        result = _once(F.struct(group(t, _GO_HEAD, 2).alias("list"), group(t, _GO_HEAD, 3).alias("one")), lambda g: (
+            F.when(g["list"] != "", _go_fields(g["list"])).when(g["one"] != "", _go_type(trim(g["one"]))).otherwise("")
+        ))
         whole = F.concat(
-            F.lit("func "), receiver, part(2), F.lit("("), _go_fields(group(1)), F.lit(")"),
-            F.when(result != "", F.concat(F.lit(" "), result)).otherwise(""),
+            F.lit("func "), receiver, name, F.lit("("), _go_fields(group(t, _GO_HEAD, 1)), F.lit(")"),
+            _once(result, lambda r: F.when(r != "", F.concat(F.lit(" "), r)).otherwise("")),
         )
         # what does not parse is left as written
-        raw = F.concat(F.lit("func "), F.when(part(1) != "", F.concat(F.lit("("), part(1), F.lit(") "))).otherwise(""), part(2), rest)
-        return _symbol("function", part(2), F.when(t.rlike(_GO_HEAD), whole).otherwise(raw), doc)
+        raw = F.concat(F.lit("func "), F.when(owner != "", F.concat(F.lit("("), owner, F.lit(") "))).otherwise(""), name, parts["rest"])
+        return _symbol("function", name, F.when(t.rlike(_GO_HEAD), whole).otherwise(raw), doc)
 
-    return F.transform(flat, printed)
+    parts = F.struct(
+        group(decl, _GO_FUNC, 1).alias("owner"), group(decl, _GO_FUNC, 2).alias("name"),
+        # the signature ends where the body opens
+        F.regexp_replace(group(decl, _GO_FUNC, 3), r"(?s)(?<!\bstruct)(?<!\binterface) \{.*\z", "").alias("rest"),
+    )
+    return F.transform(F.array(parts), lambda p: _once(_go_flat(p["rest"]), lambda t: printed(p, t)))
 
 
 def _go_types(decl: Column, doc: Column) -> Column:
@@ -296,7 +312,7 @@ def _go_doc_text(comment: Column) -> Column:
     comments = F.filter(_all(comment, rf"(?dm)^//[^\n]*|^{_GO_BLOCK}"), lambda c: ~c.rlike(_GO_DIRECTIVE))
     kept = F.transform(F.flatten(F.transform(comments, lines)), lambda l: F.regexp_replace(l, r"[ \t\r]+\z", ""))
     text = F.regexp_replace(F.array_join(kept, "\n"), r"\A\n+|\n+\z", "")
-    return F.when(text == "", "").otherwise(F.concat(F.regexp_replace(text, r"\n{3,}", "\n\n"), F.lit("\n")))
+    return _once(text, lambda t: F.when(t == "", "").otherwise(F.concat(F.regexp_replace(t, r"\n{3,}", "\n\n"), F.lit("\n"))))
 
 
 def _go_chunks(text: Column) -> Column:
@@ -304,11 +320,10 @@ def _go_chunks(text: Column) -> Column:
     plain = F.replace(text, F.lit("\r\n"), F.lit("\n"))
 
     def cut(chunk: Column) -> Column:
-        comment = F.regexp_extract(chunk, rf"(?dm)\A{_GO_COMMENTS}+", 0)
-        return F.struct(
-            _go_doc_text(comment).alias("doc"),
+        return _once(F.regexp_extract(chunk, rf"(?dm)\A{_GO_COMMENTS}+", 0), lambda comment: F.struct(
+            F.when(comment == "", "").otherwise(_go_doc_text(comment)).alias("doc"),
             F.substring(chunk, F.length(comment) + 1, F.length(chunk)).alias("decl"),
-        )
+        ))
 
     return F.filter(F.transform(_all(plain, _GO_CHUNK), cut), lambda c: c["decl"] != "")
 

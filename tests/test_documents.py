@@ -445,3 +445,10 @@ def test_a_feed_is_written_and_read_by_several_tasks(spark, tmp_path, monkeypatc
     path.write_text("{" + ",".join(f'"p{i}": []' for i in range(500)) + "}")
     entries, _ = json_entries(spark, str(path), 64)
     assert entries.count() == 500 and entries.rdd.getNumPartitions() > 8
+
+
+def test_go_signatures_are_computed_once():
+    from codestrata.operators import symbols
+
+    text = str(symbols._go_flat(F.col("signature")))
+    assert text.count("signature") == 1
