@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by the generalised pigeonhole principle, and near copies by exact similarity."""
+"""SimHash near-duplicates by the generalised pigeonhole principle, and near copies by exact similarity of candidates."""
 
 from __future__ import annotations
 
@@ -359,7 +359,20 @@ def near_sets(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tu
     return out
 
 
-def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096) -> DataFrame:
+def linked_prints(prints: DataFrame, distance: int) -> DataFrame:
+    """(node, bucket) of the nodes in ``prints`` (node, fp) whose fingerprints are linked: what links connect is a bucket.
+
+    Fingerprints are linked at ``distance`` or fewer differing bits, equal ones too.
+    """
+    distinct = stage(prints.groupBy("fp").agg(F.min("node").alias("_least"), F.max("node").alias("_most")).withColumn("node", F.col("fp")))
+    labels = components(links(distinct.select("fp", "node"), distance)).withColumnRenamed("node", "fp")
+    # a fingerprint of one node without links is no candidate
+    told = distinct.join(labels, "fp", "left").filter("component is not null or _least != _most")
+    buckets = told.select("fp", F.xxhash64(F.coalesce("component", "fp"), F.lit("fingerprints")).alias("bucket"))
+    return prints.join(buckets, "fp").select("node", "bucket").distinct()
+
+
+def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096, distance: int = 4) -> DataFrame:
     """(row, component) for ``rows`` (row, text): near copies have one component.
 
     Two texts are near copies if the sets of their word shingles have a similarity
@@ -367,8 +380,10 @@ def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096) -> D
     connect. Texts with equal sets are one node, known by a 64-bit digest of the
     set; texts without words are one, too.
 
-    Which sets are compared: nodes that agree in a band of minima are candidates.
-    The components of the candidates, each bucket tied to its smallest node, are
+    Which sets are compared: nodes whose SimHash fingerprints are linked at
+    ``distance`` or fewer differing bits are candidates, and for those copies whose
+    fingerprints lie further apart, as they do towards NEAR / OF, nodes that agree in
+    a band of minima. The components of the candidates, each bucket tied to its smallest node, are
     the groups; they hold every near copy of their members. A group above
     ``group_rows`` (where ROW_SHINGLES shingles count as one row more) is dealt
     out in pairs of chunks, as a whole or bucket by bucket, whichever copies fewer
@@ -382,20 +397,25 @@ def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096) -> D
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in b.column("text")]
+            prints, sets = np.zeros(b.num_rows, np.uint64), []
+            for i, t in enumerate(b.column("text")):
+                hashes = shingle_hashes(t.as_py(), shingle)
+                prints[i] = majority(hashes)
+                sets.append(np.unique(hashes))
             node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             bands = np.concatenate([band_keys(x) for x in sets]) if sets else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("row"), pa.array(node), pa.array([len(x) for x in sets], pa.int64()),
+                    b.column("row"), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(bands.view(np.int64))),
                 ],
-                ["row", "node", "size", "bands"],
+                ["row", "node", "size", "fp", "bands"],
             )
 
     texts = rows.select("row", F.col("text").cast("string"))
-    found = stage(texts.mapInArrow(describe, f"row {kind}, node long, size long, bands array<long>"))
-    listed = found.select("node", F.explode("bands").alias("bucket")).distinct()
+    found = stage(texts.mapInArrow(describe, f"row {kind}, node long, size long, fp long, bands array<long>"))
+    linked = linked_prints(found.select("node", "fp").distinct(), distance)
+    listed = found.select("node", F.explode("bands").alias("bucket")).distinct().unionByName(linked)
     shared = listed.groupBy("bucket").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "first")
     met = stage(listed.join(shared, "bucket"))
     nodes = found.groupBy("node").agg(F.min("row").alias("row"), F.first("size").alias("size"))

@@ -2,14 +2,15 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from compare import compare
 
 import corpus_pipeline
-from codestrata.llm import queries
+from codestrata.llm import queries, simhash
 from codestrata.llm.quality import quality
 from codestrata.llm.shared import table
-from codestrata.llm.simhash import similar_texts
+from codestrata.llm.simhash import fingerprint, similar_texts
 from codestrata.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
@@ -65,6 +66,20 @@ def test_near_copies_are_judged_by_row(spark):
     })
 
 
+def test_near_copies_are_found_by_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    bases = [["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(300)] for _ in range(20)]
+    rows = [" ".join(t) for base in bases for t in (base, base[:-1] + ["x"])]
+    near = [(fingerprint(a, corpus_pipeline.SHINGLE) ^ fingerprint(b, corpus_pipeline.SHINGLE)).bit_count() <= corpus_pipeline.DISTANCE
+            for a, b in zip(rows[::2], rows[1::2])]
+    assert any(near)
+    # no two bands agree, so that fingerprints alone give the candidates
+    monkeypatch.setattr(simhash, "band_keys", lambda distinct: np.random.default_rng().integers(0, 1 << 63, simhash.BANDS, np.uint64))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.keep_one_of_near_copies(spark, docs, SF).collect()}
+    assert got == set(range(0, 40, 2)) | {2 * k + 1 for k, n in enumerate(near) if not n}
+
+
 def test_stages_take_nulls_ties_empty_tables_and_any_column(spark):
     clash = ["row", "file", "at", "key", "tie", "doc", "copy", "_times", "_step", "_at", "_metadata"]
     schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c}` string" for c in clash)
