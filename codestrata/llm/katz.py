@@ -1,19 +1,25 @@
 """Katz backoff language model: Good-Turing discounts, exact backoff weights.
 
-Vocabulary: the words with at least VOCABULARY_SHARE of the training tokens, at
-most 1 / VOCABULARY_SHARE of them, so ids and unigram counts can be sent to every
-task. All other words, unseen ones included, are one class, inside which a word
-has (c + 1) / (tokens of the class + its types + 1). Bigrams of classes back off
-to unigrams:
+Vocabulary: every word that the training texts hold twice or more, at any size of
+the corpus. Words seen once stand for those never seen: they are one class, inside
+which a word has (c + 1) / (tokens of the class + its types + 1). Bigrams of classes
+back off to unigrams:
 
     P(w | h) = d[n(h, w)] n(h, w) / n(h)      where the bigram was seen
              = a(h) P(w)                      elsewhere
 
 with a(h) such that the probabilities after every h sum to one.
 
-Texts are read in blocks. A block sends its distinct bigrams to buckets by hash,
-as packed arrays, and gets their log probabilities back in the same order, so
-what is exchanged is distinct bigrams per block, not tokens.
+Ids are given by falling count, so the count of a word is a step function of its
+id: tasks get one row per distinct count, never one per word. Bigrams meet in
+buckets by their history, whose weight is found there. Only histories with
+VOCABULARY_SHARE of the training tokens, at most 1 / VOCABULARY_SHARE of them, are
+spread over all buckets; their weights are sent to every task.
+
+Texts are read once, in blocks of word numbers. A block sends its distinct words
+and then its distinct bigrams to buckets by hash, as packed arrays, and gets ids
+and log probabilities back in the same order, so what is exchanged is distinct
+words and bigrams per block, and the word numbers.
 """
 
 from __future__ import annotations
@@ -30,14 +36,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.llm.quality import held_out
 from codestrata.llm.shared import groups
-from codestrata.session import scratch_path, stage
+from codestrata.session import scratch_path
 
+#: Histories with this share of the training tokens are spread over the buckets.
 VOCABULARY_SHARE = 1e-6
-#: Tokens of a block, tokens per bucket, largest count that is discounted.
-BLOCK_TOKENS, BUCKET_TOKENS, DISCOUNTED = 3_000_000, 2_000_000, 5
+#: Tokens of a block, tokens per bucket, bytes of text per bucket of words, largest count that is discounted.
+BLOCK_TOKENS, BUCKET_TOKENS, WORD_BYTES, DISCOUNTED = 3_000_000, 2_000_000, 32 << 20, 5
 #: Class ids: words of no own, end of text, begin of text (as history only).
 OTHER, END, BEGIN, FIRST_WORD = 0, 1, 2, 3
-_ID_BITS = 21
+#: What a block is told of a word that was seen once: it is of no own, but known.
+ONCE = 0xFFFFFFFF
+_ID_BITS = 32
 _ID_MASK = (1 << _ID_BITS) - 1
 
 
@@ -95,149 +104,240 @@ def _unsqueeze(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n): training counts by hash of the word; ends of text are not in it."""
+_SCHEMA = (
+    "kind int, block long, bucket long, keys binary, counts binary, places binary, sizes binary, held binary, ids array<long>"
+)
+_COLUMNS = {
+    "keys": pa.binary(), "counts": pa.binary(), "places": pa.binary(), "sizes": pa.binary(), "held": pa.binary(), "ids": pa.list_(pa.int64()),
+}
+
+
+def _rows(kind: int, block: list, bucket: list, **given) -> pa.RecordBatch:
+    n = len(block)
+    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(block, pa.int64()), pa.array(bucket, pa.int64())]
+    columns += [pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in _COLUMNS.items()]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "block", "bucket", *_COLUMNS])
+
+
+def _dealt(block: int, keys: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, pa.RecordBatch]:
+    """Order of ``keys`` by bucket and value, and rows of kind 1 that hold them so: a bucket's keys with their counts."""
+    order = np.lexsort((keys, bucket))
+    keys, n, bucket = keys[order], n[order].astype(np.uint32), bucket[order].astype(np.int64)
+    cuts = [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist(), len(bucket)] if len(bucket) else [0]
+    parts = list(zip(cuts, cuts[1:]))
+    return order, _rows(1, [block] * len(parts), [int(bucket[a]) for a, _ in parts],
+                        keys=[_squeeze(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in parts],
+                        counts=[_squeeze(n[a:b]) for a, b in parts])
+
+
+def _hash_bucket(x: np.ndarray, buckets: int) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+
+
+def _merged(g: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Distinct keys of a bucket, their counts, and per block row where its keys are."""
+    keys = [np.cumsum(_unsqueeze(k, "<u8"), dtype=np.uint64) for k in g.column("keys").to_pylist()]
+    n = np.concatenate([_unsqueeze(c, "<u4") for c in g.column("counts").to_pylist()])
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    return distinct, np.bincount(at, weights=n, minlength=len(distinct)).astype(np.int64), at, [len(k) for k in keys]
+
+
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.select("block", "bucket", "keys", "counts").repartition("bucket").sortWithinPartitions("bucket", "block")
+
+
+def read_texts(texts: DataFrame, buckets: int) -> DataFrame:
+    """The texts as blocks, in two kinds of rows.
+
+    0: a block's documents with the word numbers of their tokens and, per word, its
+    place among the words by bucket. 1: hashes of a block's words in a bucket with
+    their training counts; ends of text are not in it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        task = TaskContext.get().partitionId()
+        for k, block in enumerate(blocks(batches)):
+            number = (task << 20) + k
             train = np.repeat(~block.held, block.sizes)
             n = np.bincount(block.words[train], minlength=len(block.hashes))
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(block.hashes[some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["word", "n"])
+            order, rows = _dealt(number, block.hashes, n, _hash_bucket(block.hashes, buckets))
+            yield _rows(0, [number], [-1], keys=[_squeeze(block.words.astype(np.uint32))], places=[_squeeze(order.astype(np.uint32))],
+                        sizes=[_squeeze(block.sizes)], ids=[block.ids], held=[block.held.tobytes()])
+            yield rows
+
+    return texts.mapInArrow(run, _SCHEMA)
+
+
+def counts_of_counts(words: DataFrame) -> DataFrame:
+    """(bucket, n, types): how many words of a bucket have a training count."""
 
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["bucket"]):
+            n, types = np.unique(_merged(g)[1], return_counts=True)
+            n, types = n[n > 0], types[n > 0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), g.column("bucket")[0].as_py())), pa.array(n), pa.array(types)], ["bucket", "n", "types"])
+
+    return _by_bucket(words).mapInArrow(run, "bucket long, n long, types long")
 
 
 @dataclass
 class Vocabulary:
-    """Hashes of the words with an id of their own, sorted, and counts by class id."""
+    """Counts by class id, as steps, and the first id of each (bucket, count)."""
 
-    hashes: np.ndarray
-    counts: np.ndarray
+    starts: np.ndarray
+    steps: np.ndarray
+    classes: int
     tokens: int
     types: int
-    other_types: int
+    spread: int
+    bucket: np.ndarray
+    count: np.ndarray
+    first: np.ndarray
 
-    def classes(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
-        hit = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        return np.where(hit, at + FIRST_WORD, OTHER)
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        return self.steps[np.searchsorted(self.starts, ids, side="right") - 1]
 
-    def unigram(self) -> np.ndarray:
+    def unigram(self, ids: np.ndarray) -> np.ndarray:
         """Add-one probability of each class; the begin is never predicted."""
-        p = (self.counts + 1.0) / (self.counts.sum() + len(self.counts) - 1)
-        p[BEGIN] = 0.0
-        return p
+        return np.where(ids == BEGIN, 0.0, (self.counts(ids) + 1.0) / (self.tokens + self.classes - 1))
+
+    def ids(self, bucket: int, n: np.ndarray) -> np.ndarray:
+        """What blocks are told of the words of a bucket with counts ``n``: ONCE, an id, or OTHER if never seen."""
+        a, b = np.searchsorted(self.bucket, [bucket, bucket + 1])
+        out = np.where(n == 1, ONCE, OTHER).astype(np.uint32)
+        order = np.argsort(n, kind="stable")
+        order = order[n[order] > 1]
+        counts = n[order]
+        new = np.flatnonzero(np.r_[True, counts[1:] != counts[:-1]]) if len(counts) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(new, len(counts)))
+        within = np.arange(len(counts)) - np.repeat(new, sizes)
+        out[order] = self.first[a:b][np.searchsorted(self.count[a:b], counts)] + within
+        return out
 
 
 def vocabulary(words: DataFrame, ends: int) -> Vocabulary:
-    """``ends`` is the number of training texts. At most 1 / VOCABULARY_SHARE rows reach the driver."""
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, types = total["n"] + ends, total["v"] + (ends > 0)
-    got = words.filter(F.col("n") >= max(2, VOCABULARY_SHARE * tokens)).toArrow()
-    hashes = got.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    counts = np.concatenate([np.zeros(FIRST_WORD), got.column("n").to_numpy()[order]])
-    counts[END] = ends
-    counts[OTHER] = total["n"] - counts[FIRST_WORD:].sum()
-    return Vocabulary(hashes[order], counts, tokens, types, total["v"] - len(order))
-
-
-def encode(texts: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
-    """The blocks by class, as three kinds of rows.
-
-    0: a block's documents with their sums over vocabulary words and, per token,
-    the number of its bigram in the block. 1: bigrams of a block in a bucket with
-    their training counts; taken by ascending bucket they stand in the order of
-    those numbers. 2: other words of a document.
+    """``ends`` is the number of training texts. A row per bucket and distinct count reaches the driver, never one per word."""
+    got = counts_of_counts(words).toArrow()
+    bucket, n, types = (got.column(c).to_numpy() for c in ("bucket", "n", "types"))
+    tokens, all_types, once = int((n * types).sum()) + ends, int(types.sum()) + (ends > 0), int(types[n == 1].sum())
+    own = n > 1
+    bucket, n, types = bucket[own], n[own], types[own]
+    order = np.lexsort((bucket, -n))
+    first = np.empty(len(n), np.int64)
+    first[order] = FIRST_WORD + np.cumsum(types[order]) - types[order]
+    falling = n[order]
+    new = np.flatnonzero(np.r_[True, falling[1:] != falling[:-1]]) if len(falling) else np.zeros(0, np.int64)
+    starts = np.concatenate([[OTHER, END, BEGIN], first[order][new]])
+    steps = np.concatenate([[once, ends, 0], falling[new]])
+    spread = FIRST_WORD + int(types[n >= VOCABULARY_SHARE * tokens].sum())
+    classes = FIRST_WORD + int(types.sum())
+    if classes >= ONCE:
+        raise ValueError("more words than ids")
+    place = np.lexsort((n, bucket))
+    return Vocabulary(starts, steps, classes, tokens, all_types, spread, bucket[place], n[place], first[place])
+
+
+def resolve(words: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """(block, bucket, keys): ids of a block's words, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, ["bucket"]):
+            _, n, at, sizes = _merged(g)
+            ids = vocab.ids(g.column("bucket")[0].as_py(), n)[at]
+            ends = np.cumsum([0, *sizes])
+            yield pa.RecordBatch.from_arrays(
+                [g.column("block").combine_chunks(), g.column("bucket").combine_chunks(), pa.array([_squeeze(ids[a:b]) for a, b in zip(ends, ends[1:])], pa.binary())],
+                ["block", "bucket", "keys"],
+            )
+
+    return _by_bucket(words).mapInArrow(run, "block long, bucket long, keys binary")
+
+
+def encode(read: DataFrame, resolved: DataFrame, vocab: Vocabulary, buckets: int) -> DataFrame:
+    """The blocks by class, as two kinds of rows.
+
+    0: a block's documents with their sums over words and, per token, the number of
+    its bigram in the block. 1: bigrams of a block in a bucket with their training
+    counts; taken by ascending bucket they stand in the order of those numbers.
     """
-    logs = np.log10(vocab.counts + 1.0)
+    both = read.select("block", "bucket", "keys", "places", "sizes", "held", "ids").unionByName(resolved, allowMissingColumns=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        for k, block in enumerate(blocks(batches)):
-            number = (task << 20) + k
-            docs, sizes = len(block.sizes), block.sizes
-            cls = vocab.classes(block.hashes)[block.words]
-            doc_of = np.repeat(np.arange(docs), sizes)
-            own = cls != OTHER
-            known = np.bincount(doc_of[own], minlength=docs)
-            log_sum = np.bincount(doc_of[own], weights=logs[cls[own]], minlength=docs)
+        for g in groups(batches, ["block"]):
+            number, ids = g.column("block")[0].as_py(), g.column("ids")[0].as_py()
+            data = g.column("keys").to_pylist()
+            sizes, held = _unsqueeze(g.column("sizes")[0].as_py(), "<i8"), np.frombuffer(g.column("held")[0].as_py(), bool)
+            place = _unsqueeze(g.column("places")[0].as_py(), "<u4")
+            told = np.empty(len(place), np.uint32)
+            if len(place):
+                told[place] = np.concatenate([_unsqueeze(x, "<u4") for x in data[1:]])
+            words, docs = _unsqueeze(data[0], "<u4"), len(sizes)
+            class_of = np.where(told == ONCE, OTHER, told).astype(np.uint32)
+            n = np.where(told == ONCE, 1, np.where(told == OTHER, 0, vocab.counts(class_of)))
+            logs, other = np.log10(n + 1.0), class_of == OTHER
+            doc_of = np.repeat(np.arange(docs, dtype=np.int32), sizes)
+
+            def per_doc(x: np.ndarray) -> np.ndarray:
+                return np.bincount(doc_of, weights=x[words], minlength=docs)
+
+            sums = np.column_stack([per_doc(n > 0), per_doc(logs), per_doc(other), per_doc(np.where(other, logs, 0))]).astype(np.float64)
+            del doc_of
             # each text: its words, then the end; histories begin with BEGIN
             ends = np.cumsum(sizes + 1) - 1
-            next_ = np.full(len(cls) + docs, END)
-            inside = np.ones(len(next_), bool)
+            keys = np.full(len(words) + docs, END, np.uint64)
+            inside = np.ones(len(keys), bool)
             inside[ends] = False
-            next_[inside] = cls
-            last = np.concatenate(([BEGIN], next_[:-1]))
+            keys[inside] = class_of[words]
+            last = np.concatenate((np.array([BEGIN], np.uint64), keys[:-1]))
             last[np.concatenate(([0], ends[:-1] + 1))] = BEGIN
-            keys = (last.astype(np.uint64) << _ID_BITS) | next_.astype(np.uint64)
+            keys |= last << np.uint64(_ID_BITS)
+            del last, inside, words
             distinct, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at[np.repeat(~block.held, sizes + 1)], minlength=len(distinct))
-            bucket = ((distinct * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-            order = np.lexsort((distinct, bucket))
+            del keys
+            n = np.bincount(at[np.repeat(~held, sizes + 1)], minlength=len(distinct))
+            history = distinct >> np.uint64(_ID_BITS)
+            bucket = _hash_bucket(np.where(history < vocab.spread, distinct, history), buckets)
+            order, rows = _dealt(number, distinct, n, bucket)
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            sums = np.column_stack([known, log_sum]).astype(np.float64)
-            yield _rows(0, [number], [-1], keys=[_squeeze(place[at])], sizes=[_squeeze(sizes)], ids=[block.ids],
-                        counts=[sums.tobytes()], held=[block.held.tobytes()])
-            distinct, n, bucket = distinct[order], n[order].astype(np.uint32), bucket[order].astype(np.int64)
-            cuts = [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist(), len(bucket)]
-            parts = list(zip(cuts, cuts[1:]))
-            yield _rows(1, [number] * len(parts), [int(bucket[a]) for a, _ in parts],
-                        keys=[_squeeze(np.diff(distinct[a:b], prepend=np.uint64(0))) for a, b in parts],
-                        counts=[_squeeze(n[a:b]) for a, b in parts])
-            rare = np.flatnonzero(~own)
-            pairs, times = np.unique((doc_of[rare].astype(np.uint64) << np.uint64(32)) | block.words[rare].astype(np.uint64), return_counts=True)
-            docs_at = (pairs >> np.uint64(32)).astype(np.int64)
-            yield _rows(2, [number] * len(pairs), times.tolist(), doc=docs_at, word=block.hashes[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)].view(np.int64))
-
-    return texts.mapInArrow(run, _SCHEMA)
-
-
-_SCHEMA = (
-    "kind int, block long, bucket long, doc long, word long, keys binary, counts binary, sizes binary, held binary, ids array<long>"
-)
-_COLUMNS = {
-    "doc": pa.int64(), "word": pa.int64(), "keys": pa.binary(), "counts": pa.binary(), "sizes": pa.binary(), "held": pa.binary(),
-    "ids": pa.list_(pa.int64()),
-}
-
+            yield _rows(0, [number], [-1], keys=[_squeeze(place[at])], sizes=[_squeeze(sizes)], ids=[ids], counts=[sums.tobytes()], held=[held.tobytes()])
+            yield rows
 
-def _rows(kind: int, block: list, bucket: list, **given) -> pa.RecordBatch:
-    n = len(block)
-    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(block, pa.int64()), pa.array(bucket, pa.int64())]
-    columns += [pa.array(given[c], t) if c in given else pa.nulls(n, t) for c, t in _COLUMNS.items()]
-    return pa.RecordBatch.from_arrays(columns, ["kind", "block", "bucket", *_COLUMNS])
+    return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(run, _SCHEMA)
 
 
-def _merged(g: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
-    """Distinct bigrams of a bucket, their counts, and per block row where its bigrams are."""
-    keys = [np.cumsum(_unsqueeze(k, "<u8"), dtype=np.uint64) for k in g.column("keys").to_pylist()]
-    n = np.concatenate([_unsqueeze(c, "<u4") for c in g.column("counts").to_pylist()])
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    return distinct, np.bincount(at, weights=n, minlength=len(distinct)).astype(np.int64), at, [len(k) for k in keys]
+#: Per history: seen bigrams by count up to DISCOUNTED + 1, the sum of counts above DISCOUNTED, unigram mass.
+_SEEN = [f"c{r}" for r in range(1, DISCOUNTED + 2)]
+_EVERY = -1
 
 
-def bigram_table(bigrams: DataFrame) -> DataFrame:
-    """(bucket, history, word, n) of the training bigrams."""
+def bigram_sums(bigrams: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Sums over the training bigrams, of histories that are spread and (history _EVERY) of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, ["bucket"]):
             distinct, n, _, _ = _merged(g)
-            seen = n > 0
-            d = distinct[seen].astype(np.int64)
+            distinct, n = distinct[n > 0], n[n > 0]
+            every = [np.array([np.count_nonzero(n == r)], np.int64) for r in range(1, DISCOUNTED + 2)]
+            h = (distinct >> np.uint64(_ID_BITS)).astype(np.int64)
+            size = int(np.searchsorted(h, vocab.spread))
+            h, w, n = h[:size], (distinct[:size] & np.uint64(_ID_MASK)).astype(np.int64), n[:size]
+            history, at = np.unique(h, return_inverse=True)
+
+            def sums(x: np.ndarray) -> np.ndarray:
+                return np.bincount(at, weights=x, minlength=len(history))
+
+            own = [sums(n == r).astype(np.int64) for r in range(1, DISCOUNTED + 2)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(d), g.column("bucket")[0].as_py(), np.int64)), pa.array((d >> _ID_BITS).astype(np.int32)),
-                    pa.array((d & _ID_MASK).astype(np.int32)), pa.array(n[seen]),
+                    pa.array(np.append(history, _EVERY)), *(pa.array(np.append(a, b)) for a, b in zip(own, every)),
+                    pa.array(np.append(sums(np.where(n > DISCOUNTED, n, 0)), 0.0)), pa.array(np.append(sums(vocab.unigram(w)), 0.0)),
                 ],
-                ["bucket", "history", "word", "n"],
+                ["history", *_SEEN, "large", "lower"],
             )
 
-    return bigrams.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(
-        run, "bucket long, history int, word int, n long"
-    )
+    made = _by_bucket(bigrams).mapInArrow(run, "history long, " + ", ".join(f"{c} long" for c in _SEEN) + ", large double, lower double")
+    return made.groupBy("history").agg(*(F.sum(c).alias(c) for c in (*_SEEN, "large", "lower")))
 
 
 def discounts(seen: dict[int, int]) -> np.ndarray:
@@ -256,54 +356,58 @@ def discounts(seen: dict[int, int]) -> np.ndarray:
     return d
 
 
+def _weights(kept: np.ndarray, n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Count and backoff weight of histories with these sums over the bigrams seen."""
+    left = 1 - lower
+    # a history that was followed by everything gives its seen words all the mass;
+    # one with large counts only, of which nothing is taken off, counts one more
+    full = left < 1e-12
+    total = np.where(full, kept, np.where(kept > n - 1e-9, n + 1, n))
+    return total, np.where(full, 0.0, (1 - kept / total) / np.where(full, 1, left))
+
+
 @dataclass
 class Katz:
-    """Unigram probabilities, discounts, and per history its count and backoff weight."""
+    """Discounts, and count and backoff weight of the histories that are spread."""
 
-    unigram: np.ndarray
+    vocab: Vocabulary
     discount: np.ndarray
     history: np.ndarray
     backoff: np.ndarray
 
     def probability(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Of distinct, sorted bigrams of a bucket, which holds all of a history that is not spread."""
         h, w = (keys >> np.uint64(_ID_BITS)).astype(np.int64), (keys & np.uint64(_ID_MASK)).astype(np.int64)
-        seen = self.discount[np.minimum(n, DISCOUNTED)] * np.where(n <= DISCOUNTED, 1, 1 / self.discount[DISCOUNTED]) * n
-        return np.where(n > 0, seen / np.maximum(self.history[h], 1), self.backoff[h] * self.unigram[w])
+        kept, lower = np.where(n <= DISCOUNTED, self.discount[np.minimum(n, DISCOUNTED)], 1.0) * n, self.vocab.unigram(w)
+        size = int(np.searchsorted(h, self.vocab.spread))
+        total, backoff = np.empty(len(h)), np.empty(len(h))
+        total[:size], backoff[:size] = self.history[h[:size]], self.backoff[h[:size]]
+        if size < len(h):
+            first = size + np.flatnonzero(np.r_[True, h[size + 1 :] != h[size:-1]])
+            sums = (np.add.reduceat(x, first) for x in (kept, n.astype(float), np.where(n > 0, lower, 0.0)))
+            times = np.diff(np.append(first, len(h)))
+            total[size:], backoff[size:] = (np.repeat(x, times) for x in _weights(*sums))
+        return np.where(n > 0, kept / np.maximum(total, 1e-300), backoff * lower)
 
 
-def fit(table: DataFrame, vocab: Vocabulary) -> Katz:
-    """Discounts and exactly normalised backoff weights from the stored bigrams.
+def fit(bigrams: DataFrame, vocab: Vocabulary) -> Katz:
+    """Discounts and exactly normalised backoff weights.
 
     Per history the mass that its discounted bigrams keep and the unigram mass of
-    the words seen after it are summed over the whole table; a row per history
-    reaches the driver, at most one more than there are classes.
+    the words seen after it are summed; a row per history that is spread reaches
+    the driver. Other histories are summed where their bigrams are scored.
     """
-    seen = {r["n"]: r["c"] for r in table.filter(F.col("n") <= DISCOUNTED + 1).groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    unigram, d = vocab.unigram(), discounts(seen)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, w, n = (b.column(c).to_numpy(zero_copy_only=False) for c in ("history", "word", "n"))
-            distinct, at = np.unique(h, return_inverse=True)
-            kept = np.where(n <= DISCOUNTED, d[np.minimum(n, DISCOUNTED)], 1.0) * n
-            size = len(distinct)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(distinct), *(pa.array(np.bincount(at, weights=x, minlength=size)) for x in (kept, n.astype(float), unigram[w]))],
-                ["history", "kept", "n", "lower"],
-            )
-
-    sums = table.select("history", "word", "n").mapInArrow(run, "history int, kept double, n double, lower double")
-    got = sums.groupBy("history").agg(*(F.sum(c).alias(c) for c in ("kept", "n", "lower"))).toArrow()
-    history, backoff = np.zeros(len(unigram)), np.ones(len(unigram))
-    h, kept, n, lower = (got.column(c).to_numpy() for c in ("history", "kept", "n", "lower"))
-    left = 1 - lower
-    # a history that was followed by everything gives its seen words all the mass;
-    # one with large counts only, of which nothing is taken off, counts one more
-    full = left < 1e-12
-    total = np.where(full, kept, np.where(kept > n - 1e-9, n + 1, n))
-    history[h] = total
-    backoff[h] = np.where(full, 0.0, (1 - kept / total) / np.where(full, 1, left))
-    return Katz(unigram, d, history, backoff)
+    got = bigram_sums(bigrams, vocab).toArrow()
+    h = got.column("history").to_numpy()
+    seen = np.column_stack([got.column(c).to_numpy() for c in _SEEN])
+    every = seen[h == _EVERY].sum(0)
+    d = discounts({r: int(c) for r, c in enumerate(every, 1)})
+    large, lower = (got.column(c).to_numpy() for c in ("large", "lower"))
+    small = seen[:, :DISCOUNTED] * np.arange(1, DISCOUNTED + 1)
+    own = h != _EVERY
+    history, backoff = np.zeros(vocab.spread), np.ones(vocab.spread)
+    history[h[own]], backoff[h[own]] = _weights((small @ d[1:] + large)[own], (small.sum(1) + large)[own], lower[own])
+    return Katz(vocab, d, history, backoff)
 
 
 def score_bigrams(bigrams: DataFrame, model: Katz) -> DataFrame:
@@ -320,11 +424,11 @@ def score_bigrams(bigrams: DataFrame, model: Katz) -> DataFrame:
                 ["block", "bucket", "logs"],
             )
 
-    return bigrams.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, "block long, bucket long, logs binary")
+    return _by_bucket(bigrams).mapInArrow(run, "block long, bucket long, logs binary")
 
 
 def sum_documents(encoded: DataFrame, scored: DataFrame) -> DataFrame:
-    """Per document: number, id, tokens, vocabulary sums and bigram log sum."""
+    """Per document: id, tokens, known words, log counts, words of no own with their log counts, bigram log sum."""
     both = encoded.select("block", "bucket", "keys", "counts", "sizes", "held", "ids").unionByName(
         scored.select("block", "bucket", F.col("logs").alias("keys")), allowMissingColumns=True
     )
@@ -335,19 +439,18 @@ def sum_documents(encoded: DataFrame, scored: DataFrame) -> DataFrame:
             logs = np.concatenate([_unsqueeze(x, "<f4") for x in data[1:]]).astype(np.float64)
             at, sizes = _unsqueeze(data[0], "<u4"), _unsqueeze(g.column("sizes")[0].as_py(), "<i8")
             held = np.frombuffer(g.column("held")[0].as_py(), bool)
-            sums = np.frombuffer(g.column("counts")[0].as_py(), "<f8").reshape(-1, 2)
+            sums = np.frombuffer(g.column("counts")[0].as_py(), "<f8").reshape(-1, 4)
             total = np.add.reduceat(logs[at], np.cumsum(sizes + 1) - sizes - 1)
-            docs = np.arange(len(sizes))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(len(sizes), g.column("block")[0].as_py())), pa.array(docs), g.column("ids")[0].values,
-                    pa.array(held), pa.array(sizes + 1), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]), pa.array(total),
+                    g.column("ids")[0].values, pa.array(held), pa.array(sizes + 1), pa.array(sums[:, 0].astype(np.int64)), pa.array(sums[:, 1]),
+                    pa.array(sums[:, 2].astype(np.int64)), pa.array(sums[:, 3]), pa.array(total),
                 ],
-                ["block", "doc", "doc_id", "held_out", "n_tokens", "n_own", "own_log", "bigram_log"],
+                ["doc_id", "held_out", "n_tokens", "n_words_known", "word_log", "n_other", "other_log", "bigram_log"],
             )
 
     return both.repartition("block").sortWithinPartitions("block", "bucket").mapInArrow(
-        run, "block long, doc long, doc_id long, held_out boolean, n_tokens long, n_own long, own_log double, bigram_log double"
+        run, "doc_id long, held_out boolean, n_tokens long, n_words_known long, word_log double, n_other long, other_log double, bigram_log double"
     )
 
 
@@ -363,31 +466,26 @@ def language_model_scores(documents: DataFrame, modulus: int = 7, remainder: int
     texts = documents.select(
         F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id"), modulus, remainder).alias("held_out")
     )
-    words = stage(count_words(texts))
-    vocab = vocabulary(words, texts.filter(~F.col("held_out")).count())
-    buckets = max(1, -(-vocab.tokens // BUCKET_TOKENS))
-    place = scratch_path(spark, "katz-blocks")
-    encode(texts, vocab, buckets).write.partitionBy("kind").option("compression", "zstd").parquet(place)
-    encoded = spark.read.schema(_SCHEMA).parquet(place)
-    bigrams = encoded.filter("kind = 1").select("block", "bucket", "keys", "counts")
-    model = fit(stage(bigram_table(bigrams)), vocab)
-    sums = sum_documents(encoded.filter("kind = 0"), score_bigrams(bigrams, model))
-
-    other = encoded.filter("kind = 2").select("block", "doc", "word", F.col("bucket").alias("times")).join(words, "word", "left")
-    count = F.coalesce("n", F.lit(0))
-    rare = other.groupBy("block", "doc").agg(
-        F.sum(F.col("times") * F.log10(count + 1)).alias("other_log"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("n_other"),
-        F.sum("times").alias("n_all"),
-    )
-    tokens, types = vocab.tokens, vocab.types
-    end_known, end_log = int(vocab.counts[END] > 0), float(np.log10(vocab.counts[END] + 1))
-    inside = float(np.log10(vocab.counts[OTHER] + vocab.other_types + 1))
-    none = F.lit(0)
-    other_log = F.coalesce("other_log", none)
-    return sums.join(rare, ["block", "doc"], "left").select(
+    size = texts.agg(F.count_if(~F.col("held_out")).alias("ends"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+
+    def written(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        place = scratch_path(spark, "katz-blocks")
+        rows.write.partitionBy("kind").option("compression", "zstd").parquet(place)
+        got = spark.read.schema(_SCHEMA).parquet(place)
+        return got.filter("kind = 0"), got.filter("kind = 1")
+
+    read, words = written(read_texts(texts, 1 + size["bytes"] // WORD_BYTES))
+    vocab = vocabulary(words, size["ends"])
+    encoded, bigrams = written(encode(read, resolve(words, vocab), vocab, max(1, -(-vocab.tokens // BUCKET_TOKENS))))
+    model = fit(bigrams, vocab)
+    sums = sum_documents(encoded, score_bigrams(bigrams, model))
+    tokens, types, once = vocab.tokens, vocab.types, int(vocab.steps[OTHER])
+    end_known, end_log = int(size["ends"] > 0), float(np.log10(size["ends"] + 1))
+    inside = float(np.log10(2 * once + 1))
+    return sums.select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("n_own") + F.coalesce("n_other", none) + end_known).cast("long").alias("n_known"),
+        (F.col("n_words_known") + end_known).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("own_log") + other_log + end_log - F.col("n_tokens") * float(np.log10(tokens + types + 1))).alias("base_score"),
-        (F.col("bigram_log") + other_log - F.coalesce("n_all", none) * inside).alias("score"),
+        (F.col("word_log") + end_log - F.col("n_tokens") * float(np.log10(tokens + types + 1))).alias("base_score"),
+        (F.col("bigram_log") + F.col("other_log") - F.col("n_other") * inside).alias("score"),
     )

@@ -267,6 +267,21 @@ def test_katz_equals_the_plain_recursion(which, request):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
 
+def test_katz_counts_bigrams_of_all_words_at_any_size(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(200)] + ["often"] * 200 + ["most"] * 300
+    rows = [(i, " ".join(rng.choice(words, 30))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(katz_by_hand(rows))
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(katz, "WORD_BYTES", 1000)
+    for share in (1e-6, 0.01, 1.0):  # as where a corpus is large: words of a small share, all words
+        monkeypatch.setattr(katz, "VOCABULARY_SHARE", share)
+        for a, b in zip(sorted(map(tuple, katz.language_model_scores(df).collect())), want, strict=True):
+            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-5)
+
+
 def test_katz_beats_the_base_on_held_out_text_and_takes_empty_tables(documents, none):
     got = katz.language_model_scores(documents).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got["s"] > got["b"]
