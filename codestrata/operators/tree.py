@@ -135,9 +135,10 @@ def tree_text(nodes: DataFrame, root_name: Column | None = None) -> DataFrame:
 def tree_edges(nodes: DataFrame) -> DataFrame:
     """Nodes numbered depth first, with the number of their parent.
 
-    Columns: repo, id, label, kind, parent_id (null for the root).
+    Columns: repo, id, label, kind, parent_id (null for the root). A range
+    partition reads its input twice, so the nodes are staged before.
     """
-    ids = _ranked(nodes, "node_path", "parent", "name", "kind").withColumn("id", F.col("rank") - 1)
+    ids = _ranked(stage(nodes), "node_path", "parent", "name", "kind").withColumn("id", F.col("rank") - 1)
     parents = ids.filter(F.col("kind") == DIRECTORY).select(
         "repo", F.col("node_path").alias("parent"), F.col("id").alias("parent_id")
     )
@@ -148,7 +149,12 @@ def tree_edges(nodes: DataFrame) -> DataFrame:
 
 
 def to_dot(edges: DataFrame) -> DataFrame:
-    """(repo, line_no, text): the graph in DOT, a node line and its edge line."""
+    """(repo, line_no, text): the graph in DOT, a node line and its edge line.
+
+    The edges are used twice here, and again by whoever sorts the lines, so they
+    are staged once.
+    """
+    edges = stage(edges)
     label = F.concat(F.col("kind"), F.lit("_"), F.col("id").cast("string"))
     shown = F.concat(F.col("label"), F.when(F.col("kind") == DIRECTORY, "/").otherwise(""))
     node = F.concat(

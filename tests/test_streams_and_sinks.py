@@ -174,3 +174,21 @@ def test_ranges_of_many_files_stay_few_tasks():
     assert [(f, *dealt[f]) for f, *_ in ranges] == [r[:3] for r in ranges]
     # a few files are still cut at the split
     assert len(layout.deal([("r/a", 0, 30_000, 30_000)])) == 4
+
+
+def test_graph_sink_reads_its_nodes_once(spark, tmp_path):
+    from codestrata.operators.tree import to_dot, tree_edges, tree_nodes
+    from codestrata.sources.sinks import write_graph
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(path):
+        read.add(1)
+        return path
+
+    files = spark.createDataFrame([("r", f"d{k % 7}/f{k}.py") for k in range(50)], "repo string, path string")
+    nodes = tree_nodes(files).withColumn("node_path", seen.asNondeterministic()("node_path"))
+    write_graph(to_dot(tree_edges(nodes)), str(tmp_path / "graph"))
+    assert read.value == 50 + 7 + 1
+    assert spark.read.text(str(tmp_path / "graph")).count() == 2 * (50 + 7 + 1) - 1 + 2
