@@ -25,6 +25,8 @@ NEAR, OF = 4, 5
 #: Candidates agree in one of BANDS groups of MINIMA minima: of pairs at 0.8 all but
 #: (1 - 0.8 ** 6) ** 40, five in a million, whatever their size.
 BANDS, MINIMA = 40, 6
+#: Texts whose sets of shingles a task holds before it sends them on.
+SLICE = 512
 #: Shingles that count as one more row where groups are cut to size.
 ROW_SHINGLES = 512
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * MINIMA, np.uint64, endpoint=False) | np.uint64(1)
@@ -359,6 +361,13 @@ def near_sets(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tu
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of SLICE rows at most, so that few sets are held at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def linked_prints(prints: DataFrame, distance: int) -> DataFrame:
     """(node, bucket) of the nodes in ``prints`` (node, fp) whose fingerprints are linked: what links connect is a bucket.
 
@@ -396,7 +405,7 @@ def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096, dist
     kind = rows.schema["row"].dataType.simpleString()
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             prints, sets = np.zeros(b.num_rows, np.uint64), []
             for i, t in enumerate(b.column("text")):
                 hashes = shingle_hashes(t.as_py(), shingle)
@@ -442,7 +451,7 @@ def similar_rows(rows: DataFrame, shingle: int = 5, group_rows: int = 4096, dist
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, packed = None, b""
-        for b in batches:
+        for b in _slices(batches):
             sets = []
             for node, text in zip(b.column("node").to_pylist(), b.column("text")):
                 if node != last:  # the groups of a row follow each other
