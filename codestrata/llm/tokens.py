@@ -122,7 +122,15 @@ class Encoder:
         return b"".join([self._piece(p) for p in _WORD_PIECES.findall(word)])
 
     def _unit(self, unit: str) -> bytes:
-        return b"".join([self._piece(p) for p in _BYTE_PIECES.findall(unit)])
+        pieces = _BYTE_PIECES.findall(unit)
+        if len(pieces) == 1:
+            return self._piece(unit)
+        # pieces of a new unit are often units that are remembered; short ones are from now on
+        out, words, spaced = [], self.words, self.spaced
+        for p in pieces:
+            ids = spaced.get(p[1:]) if p[0] == " " else words[p] if len(p) < 3 else words.get(p)
+            out.append(self._piece(p) if ids is None else ids)
+        return b"".join(out)
 
     def whole(self, text: str) -> bytes:
         """Ids by the library's own call on the whole text."""
