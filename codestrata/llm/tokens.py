@@ -1,10 +1,11 @@
-"""Token ids of whole texts by the installed tokenizer library, with memory of words.
-
-The library spends its time on the merges of rare words. A text of these
-vocabularies falls into pieces that never reach over ASCII white space, so ids
-are looked up per word and the library's own BPE model is asked once per new
-piece. Texts or settings for which that is not known to hold go through the
-library as a whole.
+"""Token ids of whole texts by the installed tokenizer library, with memory of pieces.
+
+The library spends its time on the merges of rare words. It cuts a text into
+pieces before it merges, so texts are cut by the same pattern, ids are looked up
+per piece and the library's own BPE model is asked once per new piece: a word
+costs one question, whatever its case (where that does not count) and whatever
+stands beside it. Texts or settings for which the cutting is not known go through
+the library as a whole.
 """
 
 from __future__ import annotations
@@ -17,17 +18,15 @@ from pathlib import Path
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Words in the younger of two generations that a worker process remembers.
-MOST_WORDS = 400_000
+#: Pieces in the younger of two generations that a worker process remembers, and characters of the longest.
+MOST_PIECES, LONGEST_PIECE = 250_000, 64
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Characters whose class, case and form the splitting below knows.
 _KNOWN = re.compile(f"[ \\t\\n\\r!-~{_LATIN}]*")
 #: The splitting patterns of the two vocabularies, over known characters.
-_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[%s]+|%s|[^\\s%s0-9]+"
-_WORD_PIECES = re.compile(_SPLIT % (_LATIN.replace("A-Z", ""), "[0-9]", _LATIN))
-_BYTE_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d| ?[%s]+| ?[0-9]+| ?[^\\s%s0-9]+|\\s+(?!\\S)|\\s+" % (_LATIN, _LATIN))
-_BYTE_WORDS = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_WORD_PIECES = re.compile("[%s]+|'(?:[stmd]|re|ve|ll)|[0-9]|[^\\s%s0-9]+" % (_LATIN.replace("A-Z", ""), _LATIN))
+_BYTE_PIECES = re.compile(" ?[%s]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\\s%s0-9]+|\\s+(?!\\S)|\\s+" % (_LATIN, _LATIN))
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,20 +69,22 @@ def _kind(s: dict) -> str | None:
 
 
 class _Memory(dict):
-    """Ids by word: what ``learn`` gave, in two generations of bounded size."""
+    """Ids by piece: what ``learn`` gave, in two generations of bounded size; long pieces are not kept."""
 
     def __init__(self, learn):
         self.learn = learn
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
+    def __missing__(self, piece: str) -> bytes:
+        if len(piece) > LONGEST_PIECE:
+            return self.learn(piece)
+        ids = self.old.get(piece)
         if ids is None:
-            ids = self.learn(word)
-        if len(self) >= MOST_WORDS:
+            ids = self.learn(piece)
+        if len(self) >= MOST_PIECES:
             self.old = dict(self)
             self.clear()
-        self[word] = ids
+        self[piece] = ids
         return ids
 
 
@@ -104,8 +105,7 @@ class Encoder:
         self.kind = _kind(settings(path))
         self.model = self.tokenizer.model
         self.bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
-        self.words = _Memory(self._word if self.kind == "word" else self._unit)
-        self.spaced = _Memory(lambda unit: self._unit(" " + unit))
+        self.memory = _Memory(self._piece)
 
     def _piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
@@ -115,15 +115,6 @@ class Encoder:
         table = self.bytes
         return b"".join([table[t.id] for t in self.model.tokenize(letters)])
 
-    def _word(self, word: str) -> bytes:
-        word = word.lower()
-        if word.isalpha():
-            return self._piece(word)
-        return b"".join([self._piece(p) for p in _WORD_PIECES.findall(word)])
-
-    def _unit(self, unit: str) -> bytes:
-        return b"".join([self._piece(p) for p in _BYTE_PIECES.findall(unit)])
-
     def whole(self, text: str) -> bytes:
         """Ids by the library's own call on the whole text."""
         if self.kind == "sentencepiece":
@@ -135,15 +126,8 @@ class Encoder:
             return b""
         if self.kind not in ("word", "byte") or "<|" in text or not _KNOWN.fullmatch(text):
             return self.whole(text)
-        words = self.words
-        if self.kind == "word":
-            return b"".join([words[w] for w in text.split()])
-        if "  " in text or " \n" in text or "\n " in text or "\t" in text or "\r" in text:
-            return b"".join([words[w] for w in _BYTE_WORDS.findall(text)])
-        # single spaces: each starts a unit
-        first, *rest = text.split(" ")
-        spaced = self.spaced
-        return b"".join([words[first], *[spaced[w] for w in rest]])
+        cut = _WORD_PIECES.findall(text.lower()) if self.kind == "word" else _BYTE_PIECES.findall(text)
+        return b"".join(map(self.memory.__getitem__, cut))
 
 
 _ENCODERS: dict[str, Encoder] = {}

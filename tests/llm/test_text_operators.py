@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -302,6 +303,31 @@ def test_remembered_words_give_the_ids_of_the_library(path, documents):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_a_word_is_encoded_once_whatever_stands_beside_it(path, monkeypatch):
+    asked, library, ask = [], Tokenizer.from_file(path), Encoder._piece
+    monkeypatch.setattr(Encoder, "_piece", lambda self, piece: (asked.append(piece), ask(self, piece))[1])
+    own, text = Encoder(path), " Reshsh Reshsh, Reshsh. (Reshsh Reshsh&&& Reshsh;"
+    assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum("resh" in a.lower() for a in asked) == 1 + ("Reshsh" in asked)  # with and without the space before it
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_memory_of_pieces_is_bounded_in_bytes(path):
+    rng, own = np.random.default_rng(5), Encoder(path)
+    letters = rng.integers(97, 123, (300_000, 9), dtype=np.uint8)
+    texts = [" ".join(bytes(w).decode() for w in letters[a : a + 1000]) for a in range(0, len(letters), 1000)]
+    tracemalloc.start()
+    try:
+        for t in texts:
+            own.encode(t)
+        own.encode("".join(texts).replace(" ", ""))  # one word of 2.7 million letters
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 50 << 20
+
+
 def test_token_counts_encode_misses_only(spark, odd, none, documents, monkeypatch):
     cache, library = scratch_path(spark, "cache"), Tokenizer.from_file(WORD)
     how = dict(tokenizer=WORD, cache=cache, normalise=token_counts.single_spaces)
