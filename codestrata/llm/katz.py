@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.llm.quality import held_out
 from codestrata.llm.shared import groups
-from codestrata.session import scratch_path
+from codestrata.session import drop_scratch, scratch_path
 
 #: Histories with this share of the training tokens are spread over the buckets.
 VOCABULARY_SHARE = 1e-6
@@ -104,6 +104,22 @@ def _unsqueeze(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
 
 
+def _squeeze_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys: differences of the upper halves, and of the lower ones under one upper half."""
+    high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys & np.uint64(_ID_MASK)).astype(np.uint32)
+    up = np.diff(high, prepend=np.uint32(0))
+    return _squeeze(np.concatenate([up, np.where(up == 0, np.diff(low, prepend=np.uint32(0)), low)]))
+
+
+def _unsqueeze_keys(data: bytes) -> np.ndarray:
+    up, step = _unsqueeze(data, "<u4").reshape(2, -1).astype(np.uint64)
+    sums = np.cumsum(step, dtype=np.uint64)
+    first = np.flatnonzero(up)
+    first = first if len(up) and up[0] else np.append(0, first)
+    low = sums - np.repeat(sums[first] - step[first], np.diff(np.append(first, len(up)))) if len(up) else sums
+    return (np.cumsum(up, dtype=np.uint64) << np.uint64(32)) | low
+
+
 _SCHEMA = (
     "kind int, block long, bucket long, keys binary, counts binary, places binary, sizes binary, held binary, ids array<long>"
 )
@@ -126,7 +142,7 @@ def _dealt(block: int, keys: np.ndarray, n: np.ndarray, bucket: np.ndarray) -> t
     cuts = [*np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist(), len(bucket)] if len(bucket) else [0]
     parts = list(zip(cuts, cuts[1:]))
     return order, _rows(1, [block] * len(parts), [int(bucket[a]) for a, _ in parts],
-                        keys=[_squeeze(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in parts],
+                        keys=[_squeeze_keys(keys[a:b]) for a, b in parts],
                         counts=[_squeeze(n[a:b]) for a, b in parts])
 
 
@@ -136,7 +152,7 @@ def _hash_bucket(x: np.ndarray, buckets: int) -> np.ndarray:
 
 def _merged(g: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
     """Distinct keys of a bucket, their counts, and per block row where its keys are."""
-    keys = [np.cumsum(_unsqueeze(k, "<u8"), dtype=np.uint64) for k in g.column("keys").to_pylist()]
+    keys = [_unsqueeze_keys(k) for k in g.column("keys").to_pylist()]
     n = np.concatenate([_unsqueeze(c, "<u4") for c in g.column("counts").to_pylist()])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     return distinct, np.bincount(at, weights=n, minlength=len(distinct)).astype(np.int64), at, [len(k) for k in keys]
@@ -468,15 +484,16 @@ def language_model_scores(documents: DataFrame, modulus: int = 7, remainder: int
     )
     size = texts.agg(F.count_if(~F.col("held_out")).alias("ends"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
 
-    def written(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        place = scratch_path(spark, "katz-blocks")
+    def written(rows: DataFrame, place: str) -> tuple[DataFrame, DataFrame]:
         rows.write.partitionBy("kind").option("compression", "zstd").parquet(place)
         got = spark.read.schema(_SCHEMA).parquet(place)
         return got.filter("kind = 0"), got.filter("kind = 1")
 
-    read, words = written(read_texts(texts, 1 + size["bytes"] // WORD_BYTES))
+    by_word, by_class = scratch_path(spark, "katz-words"), scratch_path(spark, "katz-classes")
+    read, words = written(read_texts(texts, 1 + size["bytes"] // WORD_BYTES), by_word)
     vocab = vocabulary(words, size["ends"])
-    encoded, bigrams = written(encode(read, resolve(words, vocab), vocab, max(1, -(-vocab.tokens // BUCKET_TOKENS))))
+    encoded, bigrams = written(encode(read, resolve(words, vocab), vocab, max(1, -(-vocab.tokens // BUCKET_TOKENS))), by_class)
+    drop_scratch(spark, by_word)  # the blocks by class hold all that is asked from here on
     model = fit(bigrams, vocab)
     sums = sum_documents(encoded, score_bigrams(bigrams, model))
     tokens, types, once = vocab.tokens, vocab.types, int(vocab.steps[OTHER])

@@ -6,6 +6,7 @@ import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -268,6 +269,22 @@ def test_katz_equals_the_plain_recursion(which, request):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
 
 
+def test_katz_keeps_the_texts_once_on_disk(spark, documents, monkeypatch):
+    made = []
+    monkeypatch.setattr(katz, "scratch_path", lambda spark, label: (made.append(scratch_path(spark, label)), made[-1])[1])
+    katz.language_model_scores(documents).count()
+    assert [Path(p.removeprefix("file:")).is_dir() for p in made] == [False] * (len(made) - 1) + [True]
+
+
+def test_katz_packs_bigrams_by_history():
+    rng = np.random.default_rng(3)
+    odd = [[], [0], [0, 1, 2**64 - 1], [2**32, 2**32 + 7, 2**33], [5, 2**40, 2**40 + 1]]
+    keys = np.unique(rng.geometric(1e-4, 30_000).astype(np.uint64) << np.uint64(32) | rng.geometric(1e-4, 30_000).astype(np.uint64))
+    for k in [*(np.array(o, np.uint64) for o in odd), rng.integers(0, 2**64, 1000, np.uint64), keys]:
+        assert katz._unsqueeze_keys(katz._squeeze_keys(np.sort(k))).tolist() == np.sort(k).tolist()
+    assert len(katz._squeeze_keys(keys)) < 0.9 * len(katz._squeeze(np.diff(keys, prepend=np.uint64(0))))
+
+
 def test_katz_counts_bigrams_of_all_words_at_any_size(spark, monkeypatch):
     rng = np.random.default_rng(8)
     words = [f"w{k}" for k in range(200)] + ["often"] * 200 + ["most"] * 300
