@@ -345,6 +345,20 @@ def test_memory_of_pieces_is_bounded_in_bytes(path):
     assert held < 50 << 20
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_long_words_are_not_remembered(path):
+    rng, own = np.random.default_rng(6), Encoder(path)
+    texts = [bytes(w).decode() for w in rng.integers(97, 123, (300, 5000), dtype=np.uint8)]
+    tracemalloc.start()
+    try:
+        for t in texts:
+            own.encode(t)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 1 << 20
+
+
 def test_token_counts_encode_misses_only(spark, odd, none, documents, monkeypatch):
     cache, library = scratch_path(spark, "cache"), Tokenizer.from_file(WORD)
     how = dict(tokenizer=WORD, cache=cache, normalise=token_counts.single_spaces)
