@@ -19,14 +19,24 @@ from codestrata.session import stage
 _FINE, _COARSE = 31_250, 32_000
 UNIT = _FINE * _COARSE
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-#: Entries a task holds before it passes sums on.
+#: Counts of texts a task holds before it passes them on.
 HELD = 300_000
+#: Occurrences of terms, once for each source of their text, that a task holds before it passes sums on; rows of a batch of sums.
+ENTRIES, SENT = 1 << 20, 1 << 16
 #: Pairs of sources evaluated at once.
 STEP = 1 << 19
 #: Slices that pairs of sources of one language are dealt into.
 SLICES = 16
 
 
+class Numbers(dict):
+    """Numbers things in the order in which they are first met."""
+
+    def __missing__(self, thing: object) -> int:
+        n = self[thing] = len(self)
+        return n
+
+
 def share(count: Column, total: Column) -> Column:
     """1 + floor(UNIT * count / total), exact while totals stay below 2.9e14."""
     whole = F.call_function("div", count * F.lit(_FINE), total)
@@ -92,49 +102,74 @@ def term_counts(documents: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str, bytes | None], list[int]] = {}
+        terms, named = Numbers(), Numbers()
+        cut: list[np.ndarray] = []  # the terms of each text, by number
+        met: list[int] = []  # how many sources each text has
+        held: list[tuple[int, int]] = []  # each text's sources, by number, with their rows
         key: tuple[str, bytes] | None = None
         text: bytes | None = None
         sources: Counter = Counter()
 
-        def flush() -> pa.RecordBatch:
-            keys, sums = list(held), np.array(list(held.values()), np.int64).reshape(-1, 2)
-            columns = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["lang", "source", "term", "count", "docs"])
-
-        def add() -> None:
+        def flush() -> Iterator[pa.RecordBatch]:
+            sizes, own = np.array([len(c) for c in cut], np.int64), np.array(met, np.int64)
+            group, n = np.array(held, np.int64).reshape(-1, 2).T
+            found, times = np.unique(np.repeat(np.arange(len(cut)), sizes) << 32 | np.concatenate(cut), return_counts=True)
+            text, term = found >> 32, found & 0xFFFFFFFF
+            # the terms of a text, once for each of its sources
+            often = own[text]
+            at = np.arange(often.sum()) + np.repeat((np.cumsum(own) - own)[text] - np.cumsum(often) + often, often)
+            sums = group[at] << 32 | np.repeat(term, often)
+            order = np.argsort(sums)
+            sums = sums[order]
+            heads = np.flatnonzero(np.r_[True, sums[1:] != sums[:-1]][: len(sums)])
+            count = np.add.reduceat((np.repeat(times, often) * n[at])[order], heads)
+            docs = np.add.reduceat(n[at][order], heads)
+            rows = np.zeros(len(named), np.int64)
+            np.add.at(rows, group, n)
+            group = np.r_[sums[heads] >> 32, np.arange(len(named))]
+            count, docs = np.r_[count, np.zeros(len(named), np.int64)], np.r_[docs, rows]
+            term = pa.array(np.r_[sums[heads] & 0xFFFFFFFF, rows], mask=np.arange(len(group)) >= len(heads))
+            words = pa.array(list(terms), pa.binary())
+            lang, source = (pa.array([k[i] for k in named], pa.string()) for i in (0, 1))
+            for a in range(0, len(group), SENT):
+                which = pa.array(group[a : a + SENT])
+                yield pa.RecordBatch.from_arrays(
+                    [lang.take(which), source.take(which), words.take(term[a : a + SENT]), pa.array(count[a : a + SENT]), pa.array(docs[a : a + SENT])],
+                    ["lang", "source", "term", "count", "docs"])
+
+        def add() -> int:
+            """Entries that the text adds, one at least."""
             if key is None:
-                return
-            terms = Counter(TERM.findall(zlib.decompress(text).lower()) if text else ())
-            for source, n in sources.items():
-                held.setdefault((key[0], source, None), [0, 0])[1] += n
-                for term, count in terms.items():
-                    sums = held.get(k := (key[0], source, term))
-                    if sums is None:
-                        held[k] = [count * n, n]
-                    else:
-                        sums[0] += count * n
-                        sums[1] += n
-
+                return 0
+            got = TERM.findall(zlib.decompress(text).lower()) if text else ()
+            cut.append(np.fromiter(map(terms.__getitem__, got), np.int64, len(got)))
+            met.append(len(sources))
+            held.extend((named[key[0], source], n) for source, n in sources.items())
+            return max(1, len(got)) * len(sources)
+
+        entries = 0
         for b in batches:
             rows = zip(*(b.column(c).to_pylist() for c in ("lang", "digest", "source", "n", "text")))
             for lang, digest, source, n, body in rows:
                 if (lang, digest) != key:
-                    add()
-                    if len(held) > HELD:
-                        yield flush()
-                        held.clear()
+                    entries += add()
+                    if entries > ENTRIES:
+                        yield from flush()
+                        for x in (terms, named, cut, met, held):
+                            x.clear()
+                        entries = 0
                     key, text, sources = (lang, digest), None, Counter()
                 if n:
                     sources[source] += n
                 elif text is None:
                     text = body
-        add()
-        yield flush()
+        if entries + add():
+            yield from flush()
 
     met = collapsed(documents).repartition("lang", "digest").sortWithinPartitions("lang", "digest")
     made = met.mapInArrow(run, "lang string, source string, term binary, count long, docs long")
-    return made.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
+    # a task has summed its rows already: they are exchanged as they are, and summed after that
+    return made.repartition("lang", "source", "term").groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
 
 def kept_terms(counts: DataFrame, least: int) -> DataFrame:

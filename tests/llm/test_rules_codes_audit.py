@@ -236,6 +236,26 @@ def test_audit_against_brute_force(spark, monkeypatch):
     assert sorted(tuple(r) for r in source_audit.audit(docs).collect()) == want
 
 
+@pytest.mark.parametrize("entries, sent", [(1 << 20, 1 << 16), (0, 1), (40, 7)])
+def test_terms_are_counted_whatever_a_task_holds(spark, monkeypatch, entries, sent):
+    monkeypatch.setattr(source_audit, "ENTRIES", entries)
+    monkeypatch.setattr(source_audit, "SENT", sent)
+    rows = [("en", "a", "one Two two"), ("en", "b", "one Two two"), ("en", "b", "one Two two"), ("fr", "a", "two"), ("fr", "a", ""), ("en", "c", None), ("en", "a", "Öl one")]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").repartition(3)
+    got = {(r["lang"], r["source"], r["term"] and r["term"].decode()): (r["count"], r["docs"]) for r in source_audit.term_counts(docs).collect()}
+    assert got == {
+        ("en", "a", "one"): (2, 2), ("en", "a", "two"): (2, 1), ("en", "a", "Öl"): (1, 1), ("en", "b", "one"): (2, 2), ("en", "b", "two"): (4, 2),
+        ("fr", "a", "two"): (1, 1), ("en", "a", None): (0, 2), ("en", "b", None): (0, 2), ("en", "c", None): (0, 1), ("fr", "a", None): (0, 2),
+    }
+
+
+def test_a_task_sends_a_term_once(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} every where {i}", "en", "ab"[i % 2]) for i in range(400)], "doc_id long, text string, lang string, source string")
+    plan = source_audit.term_counts(docs.coalesce(1))._jdf.queryExecution().executedPlan().toString()
+    # no sums before the exchange, where the terms of a task have been summed already
+    assert plan.index("partial_sum") < plan.index("REPARTITION_BY_COL") < plan.index("MapInArrow")
+
+
 def test_copies_are_tokenized_once(spark):
     docs = spark.createDataFrame([(i, "same text here", "en", "ab"[i % 2]) for i in range(100)], "doc_id long, text string, lang string, source string")
     got = source_audit.collapsed(docs.coalesce(1)).collect()
