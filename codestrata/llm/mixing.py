@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codestrata.llm.shared import at_place, join_counted
+from codestrata.llm.shared import at_place, join_counted, tasks_for
 from codestrata.session import stage
 
 #: Fixed value: a token here is a run without ASCII white space.
@@ -121,12 +121,13 @@ def repeated(rows: DataFrame, times: Column, name: str) -> DataFrame:
     )
 
 
-def running_tokens(documents: DataFrame, order: list[str]) -> DataFrame:
+def running_tokens(documents: DataFrame, order: list[str], tasks: int | None = None) -> DataFrame:
     """Add ``before``: the tokens of the same source ahead of the row in ``order``.
 
     Rows are range-partitioned by source and order, so that a source of any size
     spreads over many tasks, and numbered inside each partition; sums per
-    (source, partition), of which there are few, give the offsets.
+    (source, partition), of which there are few, give the offsets; given ``tasks``,
+    so many tasks at most pass them on.
     """
     placed = stage(
         documents.repartitionByRange("source", *order).sortWithinPartitions("source", *order)
@@ -134,7 +135,8 @@ def running_tokens(documents: DataFrame, order: list[str]) -> DataFrame:
     ).withColumn("_part", F.shiftright("_at", _LOCAL_BITS))
     inside = Window.partitionBy("_part", "source").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = placed.groupBy("source", "_part").agg(F.sum("n_tokens").alias("_sum")).select(
+    sums = placed.groupBy("source", "_part").agg(F.sum("n_tokens").alias("_sum"))
+    pieces = (sums if tasks is None else sums.coalesce(tasks)).select(
         F.col("source").alias("_source"), F.col("_part").alias("_piece"),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_ahead"),
     )
@@ -208,7 +210,8 @@ def mix_rows(
         "row", given["source"].alias("source"), doc.alias("doc"), F.xxhash64(text).alias("tie"), "file", "at",
     )
     narrow = stage(known.select("source", "doc", "tie", "file", "at", token_count(text).alias("n_tokens")))
-    sources = stage(source_tokens(narrow))
+    tasks = tasks_for(narrow.count())  # of steps that have a row per source, or less than a row per document
+    sources = stage(source_tokens(narrow).coalesce(tasks))
     size = sources.agg((F.sum(F.coalesce(F.octet_length("source"), F.lit(0))) + 256 * F.count(F.lit(1))).alias("size")).first()["size"] or 0
     plan = stage(
         budgets(sources, find_exponent(sources, entropy, repeats), tokens)
@@ -221,14 +224,16 @@ def mix_rows(
             return left.join(right, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
         return join_counted(left, facts, "source", values)
 
-    counts = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("_rows"))
-    plan = stage(counts.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"))
+    counts = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("_rows")).coalesce(tasks)
+    plan = stage(
+        counts.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").coalesce(tasks)
+    )
     key = order_key(F.lit(str(seed)), F.col("full").cast("string"), F.col("doc"))
     place = F.struct(key.alias("key"), "doc", "tie", "file", "at")
     last_epoch = with_plan(narrow.filter("n_tokens > 0"), plan, ["full", "rest"]).filter("rest > 0").withColumn("key", key)
-    taken = running_tokens(last_epoch, ["key", "doc", "tie", "file", "at"]).filter("before < rest")
+    taken = running_tokens(last_epoch, ["key", "doc", "tie", "file", "at"], tasks).filter("before < rest").coalesce(tasks)
     ends = taken.groupBy("source").agg(F.max(F.struct("key", "doc", "tie", "file", "at")).alias("end")).withColumnRenamed("source", "_source")
-    facts = stage(plan.join(ends, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source"))
+    facts = stage(plan.join(ends.coalesce(tasks), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source").coalesce(tasks))
     words = F.coalesce(text.rlike(TOKEN), F.lit(False))
     times = F.when(words, F.col("full") + F.coalesce(place <= F.col("end"), F.lit(False)).cast("long")).otherwise(1)
     return repeated(with_plan(known, facts, ["full", "end"]), times, "copy").select("row.*")

@@ -133,37 +133,47 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, values: list[str])
     return found.unionByName(joined)
 
 
+#: Narrow rows that make a task of their own in steps that follow each other; fewer rows have FEW_TASKS tasks at most.
+TASK_ROWS, FEW_TASKS = 50_000, 12
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks that steps over so many narrow rows need, however many shuffle partitions the session has."""
+    return max(FEW_TASKS, -(-rows // TASK_ROWS))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
     ``edges`` has long columns a and b. Rounds of hooking to the smallest
     neighbouring label and pointer jumping; each needs joins on a node and
     minima per node only, so no node's neighbours meet in one task. Every round
-    is written to the shared folder. Returns (node, component).
+    is written to the shared folder; the last looks only whether a label has a
+    smaller neighbour. Tasks follow the number of edges, not the session's number
+    of shuffle partitions, since the driver keeps something of each task of each
+    round. Returns (node, component).
     """
     both = stage(
         edges.filter("a is not null and b is not null and a != b")
         .select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
         .select("e.a", "e.b").distinct()
     )
+    tasks = tasks_for(both.count())
     labels = stage(
         both.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("_least"))
-        .select("node", F.least("node", "_least").alias("label"))
+        .select("node", F.least("node", "_least").alias("label")).coalesce(tasks)
     )
     while True:
         nearest = (
-            both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_near"))
+            both.join(labels, both.a == labels.node).coalesce(tasks).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("_near"))
         )
-        now = labels.join(nearest, "node").withColumn("_least", F.least("label", "_near"))
+        now = stage(labels.join(nearest, "node").select("node", "label", "_near").coalesce(tasks))
+        if not now.agg(F.max(F.col("_near") < F.col("label"))).first()[0]:
+            return labels.withColumnRenamed("label", "component")
+        least = F.least("label", "_near").alias("label")
         hooked = (
-            now.select(F.explode(F.array(F.struct(F.col("node"), F.col("_least")), F.struct(F.col("label").alias("node"), F.col("_least")))).alias("e"))
-            .groupBy("e.node").agg(F.min("e._least").alias("label"))
+            now.select(F.explode(F.array(F.struct("node", least), F.struct(F.col("label").alias("node"), least))).alias("e"))
+            .groupBy("e.node").agg(F.min("e.label").alias("label"))
         )
         up = hooked.select(F.col("node").alias("label"), F.col("label").alias("_up"))
-        jumped = hooked.join(up, "label").select("node", F.col("_up").alias("label"))
-        before = labels.select("node", F.col("label").alias("_before"))
-        labels = stage(jumped.join(before, "node").select("node", "label", (F.col("label") != F.col("_before")).alias("_moved")))
-        moved = labels.filter("_moved").limit(1).count()
-        labels = labels.drop("_moved")
-        if not moved:
-            return labels.withColumnRenamed("label", "component")
+        labels = stage(hooked.coalesce(tasks).join(up, "label").select("node", F.col("_up").alias("label")).coalesce(tasks))

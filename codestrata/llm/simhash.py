@@ -168,14 +168,16 @@ def plan_parts(distinct: DataFrame, distance: int) -> list[tuple[list[int], int]
     n, both = bit_counts(distinct)
     n = max(n, 2)  # a probe is never free, so that few rows take the plan with fewest probes
     pairs = n * n / 2
+    cuts = {m: bit_groups(n, both, m) for m in range(2, distance + 2)}
+    # all cuts are measured in one job, of one row per fingerprint and group
+    masks = F.array(*[F.lit(_signed(_mask(g))) for parts in cuts.values() for g in parts])
+    values = distinct.select("fp", F.posexplode(masks).alias("part", "mask")).groupBy("part", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
+    sums = values.agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(F.sum(F.pow(F.col("n").cast("double"), 2)).alias("s"))
+    found = {r["part"]: r["s"] for r in sums.collect()}
     options = []
-    for m in range(2, distance + 2):
-        parts = bit_groups(n, both, m)
-        sums = [
-            F.sum(F.pow(F.col("n").cast("double"), 2)).alias("s")
-        ]
-        values = distinct.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(_mask(g)))) for g in parts])).alias("part", "value"))
-        measured = {r["part"]: r["s"] for r in values.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("part").agg(*sums).collect()}
+    for m, parts in cuts.items():
+        before = sum(len(cuts[k]) for k in range(2, m))
+        measured = {i: found[before + i] for i in range(m) if before + i in found}
         costs = []
         for i, g in enumerate(parts):
             share = agreement(n, both, g, distance)

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from codestrata.llm import katz, mixing, packing, quality, simhash, token_counts, token_files
 from codestrata.llm.shared import components, split_large
 from codestrata.llm.tokens import Encoder
-from codestrata.session import scratch_path
+from codestrata.session import scratch_path, stage
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -68,6 +68,28 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_component_rounds_have_tasks_by_edges(spark):
+    tracker = spark.sparkContext.statusTracker()
+    settings = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    edges = stage(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("component-rounds", "")
+        assert {r["component"] for r in components(edges).collect()} == {0}
+        jobs = tracker.getJobIdsForGroup("component-rounds")
+        stages = {s for j in jobs for s in tracker.getJobInfo(j).stageIds}
+        tasks = [info.numTasks for s in sorted(stages) if (info := tracker.getStageInfo(s)) is not None]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # only the distinct edges meet in as many tasks as there are shuffle partitions
+    assert sum(n == 61 for n in tasks) <= 1 and len(tasks) > 10
+
+
+
 def test_split_large_keeps_every_pair(spark):
     rows = spark.range(57).select(F.lit(1).alias("k"), "id").unionByName(spark.range(3).select(F.lit(2).alias("k"), "id"))
     met = defaultdict(set)
