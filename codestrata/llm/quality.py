@@ -69,6 +69,11 @@ def _bucket(word: str) -> int:
     return at
 
 
+def _forget() -> None:
+    """At the end of a task: the worker process serves later steps, which have their own to hold."""
+    _BUCKETS.clear()
+
+
 def features(text: str | None, metadata: Sequence[object]) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values of one document.
 
@@ -148,6 +153,7 @@ def train(sample: DataFrame, metadata: tuple[str, ...], rank: int, epochs: int =
                 ],
                 ["doc_id", "quality", "count", "at", "value"],
             )
+        _forget()
 
     got = sample.mapInArrow(run, "doc_id long, quality int, count long, at array<int>, value array<float>").toArrow()
     got = got.sort_by([("doc_id", "ascending")])
@@ -196,6 +202,7 @@ def score(documents: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",))
                     [*(b.column(k) for k in keep), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
                     [*keep, "_score", "_predicted"],
                 )
+        _forget()
 
     source = documents.select(*columns)
     kinds = {f.name: f.dataType.simpleString() for f in source.schema.fields}

@@ -585,3 +585,19 @@ def test_similar_texts_leaves_pairs_below_the_similarity(spark):
     rows = [t for p in pairs for t in p] + [" ".join(shared + words_of(rng, 45)) for _ in range(30)]  # one family, no two at 0.8
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     assert all(r["doc_id"] == r["component_id"] for r in simhash.similar_texts(df).collect())
+
+
+def test_quality_leaves_no_words_in_the_workers(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more of them", 10) for i in range(200)], "doc_id long, text string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    assert quality.quality(docs, labels).count() == 200
+
+    def held(batches):
+        import pyarrow as pa
+
+        from codestrata.llm import quality as loaded
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(loaded._BUCKETS)] * b.num_rows, pa.int64())], ["n"])
+
+    assert {r["n"] for r in spark.range(64, numPartitions=16).mapInArrow(held, "n long").collect()} == {0}
